@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, licenses
+from . import chat, licenses, toxicity, urls
 
 QUERIES = {
     "op2_license_scan": licenses.op2_license_scan,
     "op4_chat_perspectives": chat.op4_chat_perspectives,
+    "op5_url_filter": urls.op5_url_filter,
+    "op8_toxicity": toxicity.op8_toxicity,
 }
 ORACLES = {
     "op2_license_scan": licenses.oracle_sql,
