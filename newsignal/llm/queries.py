@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, toxicity, urls
+from . import chat, licenses, quality, toxicity, urls
 
 QUERIES = {
+    "op1_quality_rules": quality.op1_quality_rules,
     "op2_license_scan": licenses.op2_license_scan,
     "op4_chat_perspectives": chat.op4_chat_perspectives,
     "op5_url_filter": urls.op5_url_filter,

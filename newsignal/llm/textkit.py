@@ -117,8 +117,10 @@ def line_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     breaks = np.flatnonzero(buf == 10)
     starts = np.unique(np.concatenate([offs[:-1][full], breaks + 1]))
     starts = starts[starts < len(buf)]
-    stops = np.sort(np.concatenate([breaks, offs[1:][full]]))
-    ends = stops[np.searchsorted(stops, starts)] if len(starts) else starts
+    if not len(starts):
+        return starts, starts
+    stops = offs[1:][full]
+    ends = np.minimum(np.append(breaks, len(buf))[np.searchsorted(breaks, starts)], stops[np.searchsorted(stops, starts, side="right")])
     keep = ends > starts
     return starts[keep], ends[keep]
 
