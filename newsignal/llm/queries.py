@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, quality, toxicity, urls
+from . import bpe, chat, licenses, quality, toxicity, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_license_scan": licenses.op2_license_scan,
     "op4_chat_perspectives": chat.op4_chat_perspectives,
     "op5_url_filter": urls.op5_url_filter,
+    "op6_bpe": bpe.op6_bpe,
     "op8_toxicity": toxicity.op8_toxicity,
 }
 ORACLES = {
