@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, licenses, quality, rans, toxicity, urls
+from . import bpe, chat, htmltext, licenses, quality, rans, toxicity, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_url_filter": urls.op5_url_filter,
     "op6_bpe": bpe.op6_bpe,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_main_text": htmltext.op9_main_text,
     "op10_token_files": rans.op10_token_files,
 }
 ORACLES = {
