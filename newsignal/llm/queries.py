@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, htmltext, licenses, quality, rans, toxicity, urls
+from . import bpe, chat, decontam, htmltext, licenses, quality, rans, toxicity, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_chat_perspectives": chat.op4_chat_perspectives,
     "op5_url_filter": urls.op5_url_filter,
     "op6_bpe": bpe.op6_bpe,
+    "op7_decontamination": decontam.op7_decontamination,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_main_text": htmltext.op9_main_text,
     "op10_token_files": rans.op10_token_files,
