@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, htmltext, licenses, quality, rans, toxicity, urls
+from . import bpe, chat, decontam, htmltext, jaccard, licenses, quality, rans, toxicity, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_license_scan": licenses.op2_license_scan,
+    "op3_ngram_jaccard": jaccard.op3_ngram_jaccard,
     "op4_chat_perspectives": chat.op4_chat_perspectives,
     "op5_url_filter": urls.op5_url_filter,
     "op6_bpe": bpe.op6_bpe,
