@@ -158,7 +158,7 @@ class Prefixes:
         return out[::-1]
 
 
-def _chars(kind: str) -> str:
+def latin_class(kind: str) -> str:
     """The characters up to U+024F that ``regex`` puts in a class, as ranges for ``re``."""
     found = [c for c in range(0x250) if regex.match(kind, chr(c))]
     runs: list[list[int]] = []
@@ -180,7 +180,7 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
     every = regex.compile(pattern).findall
     if pattern != _BYTE_LEVEL:
         return every
-    letter, digit, space = _chars(r"\p{L}"), _chars(r"\p{N}"), _chars(r"\s")
+    letter, digit, space = latin_class(r"\p{L}"), latin_class(r"\p{N}"), latin_class(r"\s")
     latin = re.compile(f" ?[{letter}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{digit}]+| ?[^{space}{letter}{digit}]+|[{space}]+(?![^{space}])|[{space}]+").findall
     other = re.compile("[^\u0000-\u024f]").search
     return lambda text: every(text) if other(text) else latin(text)

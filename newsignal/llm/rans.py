@@ -17,6 +17,7 @@ x falls below 2^31, lanes in ascending order.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -28,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import latin_class
 from .shared import materialise, shared_dir, table
 from .textkit import slices
 
@@ -37,10 +39,13 @@ BLOCK_TOKENS = 1 << 17
 #: Aim for so many bytes of ids in one shard, which one task writes.
 SHARD_BYTES = 16 << 20
 #: Texts are tokenized together up to so many bytes; distinct words whose ids a worker keeps.
-BATCH_BYTES, CACHE = 2 << 20, 300_000
+BATCH_BYTES, CACHE = 2 << 20, 800_000
 _LOW = np.uint64(1 << 31)
-#: White space as the library sees it; str.split also takes the separators U+001C to U+001F for it.
-_SPACE, _SEPARATORS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"), re.compile("[\x1c-\x1f]")
+#: Characters beyond the Latin ones, and the one of them whose lower case is two characters.
+_OTHER, _SEPARATORS = re.compile("[^\u0000-\u024f]|\u0130"), re.compile("[\x1c-\x1f]")
+# The normaliser and the pattern of the lower-casing vocabulary.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _HEADER = struct.Struct("<4sIQQIQQII")
 
 
@@ -148,12 +153,20 @@ def id_kind(size: int) -> np.dtype:
     return np.dtype("<u2" if size <= 1 << 16 else "<u4")
 
 
+def _byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it prints, else one from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
 class WordTokenizer:
-    """The tokenizers library behind a bounded cache of words.
+    """The tokenizers library behind a bounded cache of words, and of the pieces that its vocabulary splits them into.
 
-    The vocabulary's normaliser and splitter never look across white space, so the ids of a text
-    are those of its parts between white space, one after the other; each part is given to the
-    library once.  ``plain`` encodes whole texts instead, for vocabularies where that doesn't hold.
+    For the lower-casing vocabulary with word ends, a text of Latin letters is split at white space,
+    which no piece spans, its words are lowered and split by an expression equal to the vocabulary's
+    own (both act on single characters there), and the library's model encodes each distinct piece once.  Any other text, and any other vocabulary,
+    is encoded by the library as a whole.
     """
 
     def __init__(self, path: str, plain: bool = False):
@@ -163,39 +176,46 @@ class WordTokenizer:
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         self.kind = id_kind(self.size)
-        self.plain = plain
-        self.cache: dict[str, bytes] = {}
+        parts = json.loads(self.tokenizer.to_str())
+        self.plain = plain or parts["normalizer"] != _NORMALIZER or parts["pre_tokenizer"]["pretokenizers"][0]["pattern"] != {"Regex": _SPLIT}
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        letter, digit, space = latin_class(r"\p{L}"), latin_class(r"\p{N}"), latin_class(r"\s")
+        self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^{space}{letter}{digit}]+").findall
+        self.letters = _byte_letters()
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of what stands between white space, piece by piece."""
+        out = []
+        for piece in self.split(word.lower()):
+            ids = self.pieces.get(piece)
+            if ids is None:
+                shown = "".join([self.letters[b] for b in piece.encode()])
+                ids = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], self.kind).tobytes()
+                if len(piece) <= 64:
+                    self.pieces[piece] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of ``kind``."""
-        if self.plain:
-            return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        split = [[x for x in _SPACE.split(t) if x] if _SEPARATORS.search(t) else t.split() for t in texts]
-        every = set().union(*split)
-        new = every.difference(self.cache)
-        if len(self.cache) + len(new) > CACHE:
-            self.cache, new = {}, every
-        words = sorted(new)
-        for k in range(0, len(words), 2048):
-            self._learn(words[k : k + 2048])
-        get = self.cache.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
+        # str.split would also cut at U+001C to U+001F; a text with one of them is taken as one word.
+        split = [None if self.plain or _OTHER.search(t) else [t] if _SEPARATORS.search(t) else t.split() for t in texts]
+        every = set().union(*(s for s in split if s))
+        new = every.difference(self.words)
+        if len(self.words) + len(new) > CACHE:
+            self.words, self.pieces, new = {}, {}, every
+        self.words.update({w: self._word(w) for w in new})
+        get = self.words.__getitem__
+        out = [self._whole(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
         for w in [w for w in new if len(w) > 64]:
-            del self.cache[w]
+            del self.words[w]
         return out
 
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode words as one text; a token belongs to the word that its first character lies in."""
-        encoded = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ends = np.cumsum(np.array([len(w) + 1 for w in words]))
-        starts = np.array([a for a, _ in encoded.offsets], np.int64)
-        cuts = np.searchsorted(starts, np.concatenate([[0], ends])).tolist()
-        raw, width = np.array(encoded.ids, self.kind).tobytes(), self.kind.itemsize
-        for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True):
-            self.cache[w] = raw[width * a : width * b]
-
-
 _LOADED: dict[tuple[str, bool], WordTokenizer] = {}
 
 
