@@ -221,3 +221,36 @@ def evidence_chain(spark, d):
     s = F.element_at(F.split("text", "[.]"), 1)
     j = reps.join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), s.alias("s")), "vec_id").filter(F.length("s") > 20)
     return j.select("label", "vec_id", F.left("s", F.lit(200)).alias("evidence"))
+
+
+@query(r"""
+WITH $ARTICLES, m AS (SELECT doc_id, unnest(regexp_extract_all(title, '([A-Z][a-z]+(?: [a-z]+){0,2})', 1)) AS raw FROM articles),
+a AS (SELECT doc_id, raw, regexp_replace(raw, '(?i)^((the|a|an|mr|mrs|ms|dr|ceo|president|minister)[.]? )+', '') AS n FROM m),
+b AS (SELECT doc_id, raw, trim(regexp_replace(n, '(?i)( (says|said|announces|launches|reports|plans|wins|news|today|[0-9]+|-[^ ]*)){1,4}$', '')) AS n FROM a)
+SELECT doc_id, raw, CASE WHEN length(n) < 2 OR len(string_split(n, ' ')) > 4 OR lower(n) IN ('company', 'government', 'market', 'report', 'today', 'monday', 'group', 'bank') THEN '' ELSE n END AS name FROM b""")
+def entity_names(spark, d):
+    """Capitalised spans of titles, cleaned."""
+    from ..functions.names import clean_name
+
+    m = articles(spark, d).select("doc_id", F.explode(F.regexp_extract_all("title", F.lit("([A-Z][a-z]+(?: [a-z]+){0,2})"), F.lit(1))).alias("raw"))
+    return m.select("doc_id", "raw", clean_name(F.col("raw")).alias("name"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE event_type = 'signup'")
+def event_props(spark, d):
+    """A field of the JSON column, read with a fixed schema."""
+    e = table(spark, d, "events").filter("event_type = 'signup'")
+    return e.select("event_id", F.from_json("props", "k string")["k"].alias("k"))
+
+
+@query("""
+WITH s AS (SELECT s_suppkey, s_name, s_acctbal FROM supplier), m AS (SELECT c_custkey, CASE WHEN c_acctbal >= 5000 THEN 'high' WHEN c_acctbal >= 0 THEN 'medium' ELSE 'low' END AS severity, c_acctbal FROM customer)
+SELECT c_custkey, severity, round(least(0.4 * (CASE severity WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.6 ELSE 0.3 END) + 0.3 * greatest(c_acctbal, 0) / 10000 + 0.15, CASE severity WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.7 ELSE 0.4 END), 7) AS actionability FROM m""")
+def actionability(spark, d):
+    """Severity, score and coherence weighed, under the ceiling of the severity."""
+    bal = F.col("c_acctbal")
+    severity = F.when(bal >= 5000, "high").when(bal >= 0, "medium").otherwise("low")
+    level = F.when(bal >= 5000, 1.0).when(bal >= 0, 0.6).otherwise(0.3)
+    ceiling = F.when(bal >= 5000, 1.0).when(bal >= 0, 0.7).otherwise(0.4)
+    score = F.least(0.4 * level + 0.3 * F.greatest(bal, F.lit(0.0)) / 10000 + 0.15, ceiling)
+    return table(spark, d, "customer").select("c_custkey", severity.alias("severity"), F.round(score, 7).alias("actionability"))

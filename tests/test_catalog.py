@@ -129,3 +129,16 @@ def test_sources(spark, tmp_path):
     runs = spark.createDataFrame([("a", 5, "3"), ("b", 6, "1"), ("c", 8, "2")], "id string, step_count int, recorded_at string")
     assert latest_complete(runs).first()["id"] == "c"
     assert first_nonempty([runs.limit(0), runs.filter("id = 'a'"), runs]).count() == 1
+
+
+def test_names_and_answers(spark):
+    from newsignal.functions import names
+
+    pick = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    for raw, want in [("The Acme's (ACM) says 2024", "Acme"), ("Dr. Jane Doe", "Jane Doe"), ("market", ""), ("one two three four five", "")]:
+        assert pick(names.clean_name(F.lit(raw))) == want
+    assert pick(names.description_not_name(F.lit("Top 10 startups"))) and not pick(names.description_not_name(F.lit("Acme Ltd")))
+    for said in ('Sure:\n```json\n{"a": 1, "b": [1, 2]}\n```', '{"a": 1, "b": [1, 2', 'x {"a": 1, "b": [1, 2],'):
+        got = pick(names.answer(F.lit(said), "a int, b array<int>"))
+        assert (got["a"], list(got["b"])) == (1, [1, 2])
+    assert pick(names.answer(F.lit("no object"), "a int, b array<int>")) is None or pick(names.answer(F.lit("no object"), "a int, b array<int>"))["a"] is None
