@@ -1,8 +1,11 @@
 """Token ids in files of static range asymmetric numeral system (rANS) blocks.
 
-Format, version 1.  A file set is a folder of Parquet parts, so that it can lie in any store that
-Spark reaches and a task that is run again replaces what it wrote.  Each row is one block: whole
-documents of one shard, encoded by themselves with frequency tables that all blocks share.
+Format, version 1.  A file set is a folder with two folders of Parquet parts, so that it can lie in
+any store that Spark reaches and a task that is run again replaces what it wrote.  Each row of
+``blocks`` is one block: whole documents of one shard, encoded by themselves with frequency tables
+that all blocks share.  The one row of ``tables`` holds these: ``version``, ``scale`` (SCALE), ``size``
+(symbols of the vocabulary), ``crc`` (CRC-32 of the frequencies), ``frequencies`` (u32 of each symbol).
+A file set is decoded from these files alone.
 
 ``header`` (little-endian): magic ``NSR1``, lanes (u32), tokens (u64), documents (u64), number of
 checkpoints (u32), number of payload words (u64), tokens of the shard before this block (u64), CRC-32
@@ -33,7 +36,7 @@ from .bpe import latin_class
 from .shared import materialise, shared_dir, table
 from .textkit import slices
 
-SCALE, LANES, CHECKPOINT = 22, 512, 256
+VERSION, SCALE, LANES, CHECKPOINT = 1, 22, 512, 256
 #: Documents join a block until it has so many tokens; a longer document is a block of its own.
 BLOCK_TOKENS = 1 << 17
 #: Aim for so many bytes of ids in one shard, which one task writes.
@@ -47,6 +50,7 @@ _OTHER, _SEPARATORS = re.compile("[^\u0000-\u024f]|\u0130"), re.compile("[\x1c-\
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _HEADER = struct.Struct("<4sIQQIQQII")
+_TABLES = "version int, scale int, size int, crc long, frequencies binary"
 
 
 class Frequencies:
@@ -59,10 +63,30 @@ class Frequencies:
         share = counts / max(1, counts.sum())
         f = 1 + np.floor(share * (total - size)).astype(np.int64)
         f[int(np.argmax(f))] += total - int(f.sum())  # what rounding left goes to the first of the most frequent
+        self._set(f)
+
+    def _set(self, f: np.ndarray) -> None:
         self.freq = f.astype(np.uint64)
         self.start = np.concatenate([[0], np.cumsum(f)[:-1]]).astype(np.uint64)
         self._slots: np.ndarray | None = None
 
+    def row(self) -> tuple[int, int, int, int, bytes]:
+        """The row that stores the frequencies: version, scale, size, crc, frequencies."""
+        raw = self.freq.astype("<u4").tobytes()
+        return VERSION, SCALE, len(self.freq), zlib.crc32(raw), raw
+
+    @classmethod
+    def of_row(cls, version: int, scale: int, size: int, crc: int, frequencies: bytes) -> Frequencies:
+        """The frequencies that a row stores; another format, or a wrong checksum, is an error."""
+        if version != VERSION or scale != SCALE:
+            raise ValueError(f"tables of version {version} and scale {scale}")
+        f = np.frombuffer(frequencies, "<u4").astype(np.int64) if len(frequencies) == 4 * size else None
+        if f is None or zlib.crc32(frequencies) != crc or int(f.sum()) != 1 << SCALE or int(f.min()) < 1:
+            raise ValueError("damaged frequency tables")
+        made = cls.__new__(cls)
+        made._set(f)
+        return made
+
     @property
     def slots(self) -> np.ndarray:
         """The symbol of each slot."""
@@ -258,7 +282,9 @@ def count_ids(tokens: DataFrame, size: int) -> np.ndarray:
 
 def write_blocks(tokens: DataFrame, table_: Frequencies, path: str, shards: int) -> None:
     """Write (doc_id, ids) as a file set, shards and blocks in ascending doc_id order (null first)."""
-    shared = tokens.sparkSession.sparkContext.broadcast(table_)
+    spark = tokens.sparkSession
+    spark.createDataFrame([table_.row()], _TABLES).coalesce(1).write.parquet(f"{path}/tables")
+    shared = spark.sparkContext.broadcast(table_)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -292,16 +318,25 @@ def write_blocks(tokens: DataFrame, table_: Frequencies, path: str, shards: int)
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("_tie")]
     ordered = tokens.withColumn("_tie", F.xxhash64("ids")).repartitionByRange(shards, *order).sortWithinPartitions(*order)
-    ordered.select("doc_id", "ids").mapInArrow(run, "shard int, block int, n_tokens long, doc_ids array<long>, header binary, lengths binary, payload binary, checkpoints binary").write.parquet(path)
+    ordered.select("doc_id", "ids").mapInArrow(run, "shard int, block int, n_tokens long, doc_ids array<long>, header binary, lengths binary, payload binary, checkpoints binary").write.parquet(f"{path}/blocks")
+
+
+def read_tables(spark: SparkSession, path: str) -> Frequencies:
+    """The frequency tables of a file set."""
+    found = spark.read.schema(_TABLES).parquet(f"{path}/tables").take(2)
+    if len(found) != 1:
+        raise ValueError("a file set has one row of tables")
+    return Frequencies.of_row(*found[0])
 
 
-def read_blocks(spark: SparkSession, path: str, table_: Frequencies, keep_ids: bool = False) -> DataFrame:
+def read_blocks(spark: SparkSession, path: str, table_: Frequencies | None = None, keep_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (and ids) of each document in a file set.
 
-    Blocks are decoded independently of each other.  Where a block starts comes from its header
+    The frequency tables come from the file set, if they aren't given.  Blocks are decoded independently of each other.  Where a block starts comes from its header
     and the sizes of the shards before its own, of which the driver holds one number each.
     """
-    blocks = spark.read.parquet(path)
+    table_ = table_ or read_tables(spark, path)
+    blocks = spark.read.parquet(f"{path}/blocks")
     sizes = {r["shard"]: r["n"] for r in blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect()}  # one row a shard
     before, at = {}, 0
     for shard in sorted(sizes):
@@ -346,5 +381,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = f"{shared_dir(spark)}/newsignal/tokens-{uuid.uuid4().hex}"
-    table_ = write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
-    return read_blocks(spark, path, table_)
+    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return read_blocks(spark, path)

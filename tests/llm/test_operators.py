@@ -319,6 +319,20 @@ def test_token_files_round_trip(spark, docs, prose, tmp_path):
     assert rans.read_blocks(spark, empty, rans.write_tokens(docs([]), empty, path, end_id=1)).count() == 0
 
 
+def test_token_files_are_read_without_the_writer(spark, docs, prose, tmp_path):
+    import public_tokenizers
+
+    path, files = public_tokenizers.path("word_bpe_49k.json"), f"file://{tmp_path}/set"
+    table = rans.write_tokens(docs([(k, prose(200, k)) for k in range(4)]), files, path, end_id=1)
+    fields = ("doc_id", "start", "n_tokens", "ids_crc32", "ids")
+    assert rows(rans.read_blocks(spark.newSession(), files, keep_ids=True), *fields) == rows(rans.read_blocks(spark, files, table, keep_ids=True), *fields)
+    version, scale, size, crc, raw = table.row()
+    assert size == 49408 and np.array_equal(rans.Frequencies.of_row(version, scale, size, crc, raw).start, table.start)
+    for wrong in ((version + 1, scale, size, crc, raw), (version, scale + 1, size, crc, raw), (version, scale, size - 1, crc, raw), (version, scale, size, crc ^ 1, raw)):
+        with pytest.raises(ValueError):
+            rans.Frequencies.of_row(*wrong)
+
+
 def test_rans_blocks():
     rng = np.random.default_rng(5)
     counts = np.zeros(1000, np.int64)
