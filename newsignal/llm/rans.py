@@ -190,18 +190,22 @@ class WordTokenizer:
     For the lower-casing vocabulary with word ends, a text of Latin letters is split at white space,
     which no piece spans, its words are lowered and split by an expression equal to the vocabulary's
     own (both act on single characters there), and the library's model encodes each distinct piece once.  Any other text, and any other vocabulary,
-    is encoded by the library as a whole.
+    is encoded by the library as a whole.  With ``added``, what stands for an added token in a text becomes
+    that token, as the library does by default, and such a text is encoded by the library as a whole too.
     """
 
-    def __init__(self, path: str, plain: bool = False):
+    def __init__(self, path: str, plain: bool = False, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
         self.size = self.tokenizer.get_vocab_size()
         self.kind = id_kind(self.size)
         parts = json.loads(self.tokenizer.to_str())
-        self.plain = plain or parts["normalizer"] != _NORMALIZER or parts["pre_tokenizer"]["pretokenizers"][0]["pattern"] != {"Regex": _SPLIT}
+        # Special tokens are only ids where the library looks for them; others, and those that the normaliser may make, always are.
+        looked = [t for t in parts["added_tokens"] if added or not t["special"]]
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in looked)).search if looked else None
+        self.plain = plain or any(t["normalized"] for t in looked) or parts["normalizer"] != _NORMALIZER or parts["pre_tokenizer"]["pretokenizers"][0]["pattern"] != {"Regex": _SPLIT}
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         letter, digit, space = latin_class(r"\p{L}"), latin_class(r"\p{N}"), latin_class(r"\s")
@@ -227,7 +231,7 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of ``kind``."""
         # str.split would also cut at U+001C to U+001F; a text with one of them is taken as one word.
-        split = [None if self.plain or _OTHER.search(t) else [t] if _SEPARATORS.search(t) else t.split() for t in texts]
+        split = [None if self.plain or _OTHER.search(t) or (self.added and self.added(t)) else [t] if _SEPARATORS.search(t) else t.split() for t in texts]
         every = set().union(*(s for s in split if s))
         new = every.difference(self.words)
         if len(self.words) + len(new) > CACHE:
@@ -240,20 +244,20 @@ class WordTokenizer:
         return out
 
 
-_LOADED: dict[tuple[str, bool], WordTokenizer] = {}
+_LOADED: dict[tuple[str, bool, bool], WordTokenizer] = {}
 
 
-def _tokenizer(path: str, plain: bool) -> WordTokenizer:
-    if (path, plain) not in _LOADED:
-        _LOADED[path, plain] = WordTokenizer(path, plain)
-    return _LOADED[path, plain]
+def _tokenizer(path: str, plain: bool, added: bool) -> WordTokenizer:
+    if (path, plain, added) not in _LOADED:
+        _LOADED[path, plain, added] = WordTokenizer(path, plain, added)
+    return _LOADED[path, plain, added]
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int, plain: bool = False) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, end_id: int, plain: bool = False, added: bool = False) -> DataFrame:
     """doc_id and ids (little-endian, ``end_id`` last) of every whole text; null counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(path, plain)
+        tok = _tokenizer(path, plain, added)
         end = np.array([end_id], tok.kind).tobytes()
         for b in batches:
             for i, j, _, _ in slices(b.column("text"), BATCH_BYTES):
@@ -362,15 +366,16 @@ def read_blocks(spark: SparkSession, path: str, table_: Frequencies | None = Non
     return blocks.select("shard", "doc_ids", "header", "lengths", "payload", "checkpoints").mapInArrow(run, schema)
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, plain: bool = False) -> Frequencies:
+def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, plain: bool = False, added: bool = False) -> Frequencies:
     """Tokenize, count the ids of all documents for the shared tables, and write the file set; returns the tables.
 
     Cases: a null or empty text is the end id alone; null doc_ids come first; rows of one doc_id
     are ordered by a hash of their ids, repeated ones all stay; extra columns are ignored; an empty table
-    makes an empty file set.
+    makes an empty file set.  An added token's content in a text becomes its id with ``added`` (the
+    library's default), else it is split like other words.
     """
-    size = _tokenizer(vocabulary, plain).size
-    tokens = materialise(tokenize(docs, vocabulary, end_id, plain), "ids")
+    size = _tokenizer(vocabulary, plain, added).size
+    tokens = materialise(tokenize(docs, vocabulary, end_id, plain, added), "ids")
     table_ = Frequencies(count_ids(tokens, size))
     held = tokens.agg(F.sum(F.length("ids"))).first()[0] or 0
     write_blocks(tokens, table_, path, max(1, -(-held // SHARD_BYTES)))
@@ -381,5 +386,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = f"{shared_dir(spark)}/newsignal/tokens-{uuid.uuid4().hex}"
-    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1, added=True)
     return read_blocks(spark, path)

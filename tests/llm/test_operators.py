@@ -333,6 +333,21 @@ def test_token_files_are_read_without_the_writer(spark, docs, prose, tmp_path):
             rans.Frequencies.of_row(*wrong)
 
 
+def test_token_file_query_reads_added_tokens_like_the_library(spark, docs, prose, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["one <|endoftext|> two", "one<|STARTOFTEXT|>two", "<|startoftext|>", "a\x1c<|endoftext|>\x85 漢", "<|endoftext|><|endoftext|> It's", "<|endof text|> |>", prose(30, 1)]
+    docs(list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    at = 0
+    for r in sorted(rans.op10_token_files(spark, str(tmp_path)).collect()):
+        ids = [*lib.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 1]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert 49407 in lib.encode(texts[0], add_special_tokens=False).ids
+
+
 def test_rans_blocks():
     rng = np.random.default_rng(5)
     counts = np.zeros(1000, np.int64)
