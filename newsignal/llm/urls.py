@@ -4,21 +4,22 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, table
+from .shared import ascii_lower, materialise, table
 
 #: (verdict, host, path): the rules of the query.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-#: Size of the unigram vocabulary and of the naive Bayes table, most frequent first; both models are broadcast.
-VOCABULARY = 100_000
-#: Longest word that Viterbi considers, and how many segmentations a worker keeps.
-MAX_WORD, CACHE = 24, 200_000
+#: Pages are taken in chunks of about so many, each with the part of the models that its urls can use; the driver collects no model.
+CHUNK = 1_024
+#: Longest word that Viterbi considers.
+MAX_WORD = 24
+_RUN = re.compile("[a-z]+|[0-9]+|[^\x00-\x7f]+")
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -57,25 +58,22 @@ def segment(word: str, logp: dict[str, float], total: float) -> list[str]:
 
 
 class Segmenter:
-    """Segmentation with a bounded cache, as hosts repeat."""
+    """Segmentation under the counts of the words that the texts can hold, and the sum of all counts."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.total = float(sum(counts.values()))
+    def __init__(self, counts: dict[str, int], total: int):
+        self.total = float(total)
         self.logp = {w: math.log(n / self.total) for w, n in counts.items()}
         self.cache: dict[str, list[str]] = {}
 
     def words(self, text: str, mark: str) -> list[str]:
         out = []
-        for run in re.findall("[a-z]+|[0-9]+|[^\x00-\x7f]+", text):
+        for run in _RUN.findall(text):
             if "0" <= run[0] <= "9":
                 out.append(f"{mark}#{min(len(run), 9)}")  # a number counts by its length
                 continue
             got = self.cache.get(run)
             if got is None:
-                # Beyond 256 letters a run is cut in pieces: a bounded table for any text, and every letter still counts.
-                got = [w for k in range(0, len(run), 256) for w in segment(run[k : k + 256], self.logp, self.total)]
-                if len(self.cache) < CACHE:
-                    self.cache[run] = got
+                got = self.cache[run] = segment(run, self.logp, self.total)
             out += [mark + w for w in got]
         return out
 
@@ -83,8 +81,8 @@ class Segmenter:
         return self.words(host, "h:") + self.words(path.lower(), "p:")
 
 
-def unigrams(pages: DataFrame, size: int = VOCABULARY) -> dict[str, int]:
-    """Counts over all pages of words a-z, the ``size`` most frequent.
+def unigrams(pages: DataFrame) -> DataFrame:
+    """(word, n): counts over all pages of words a-z that Viterbi can consider.
 
     Words come from the text (tags, character references and host names are none) and from the
     parts of urls that are words already: the last two labels of a host, the parts of labels with
@@ -94,38 +92,49 @@ def unigrams(pages: DataFrame, size: int = VOCABULARY) -> dict[str, int]:
     text = F.regexp_replace(F.lower("html"), r"<[^>]*>|&#?[a-z0-9]+;|[a-z0-9-]+([.][a-z0-9-]+)+", " ")
     hyphens = F.array_join(F.filter(F.split(host, "[.]"), lambda x: x.contains("-")), " ")
     words = F.split(F.concat_ws(" ", text, F.substring_index(host, ".", -2), hyphens, F.lower(path)), "[^a-z]+")
-    rows = (
-        pages.select(F.explode(words).alias("word")).filter(f"length(word) between 1 and {MAX_WORD}").groupBy("word").agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), "word").limit(size).collect()
-    )
-    return {r["word"]: r["n"] for r in rows}
+    return pages.select(F.explode(words).alias("word")).filter(f"length(word) between 1 and {MAX_WORD}").groupBy("word").agg(F.count("*").alias("n"))
 
 
-def fit_bayes(labelled: DataFrame, words: dict[str, int], size: int = VOCABULARY) -> tuple[float, dict[str, float]]:
-    """(log prior odds, log odds of tokens) of block against allow, from all pages that a rule decides."""
+def pieces(parsed: DataFrame) -> DataFrame:
+    """(_chunk, word): every piece of the letter runs of a chunk that could be a word."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seg = Segmenter(words)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            block, allow = Counter(), Counter()
-            for host, path, verdict in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                to = block if verdict == "block" else allow
-                to.update(seg.tokens(host, path))
-                to[""] += 1  # the number of pages
-            keys = list(block | allow)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([block[k] for k in keys], pa.int64()), pa.array([allow[k] for k in keys], pa.int64())], ["token", "b", "a"])
-
-    rows = (
-        labelled.select("host", "path", "_verdict").mapInArrow(count, "token string, b long, a long").groupBy("token").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
-    )
-    rows = rows.orderBy(F.col("token") != "", F.desc(F.col("b") + F.col("a")), "token").limit(size).collect()
-    pages = next(((r["b"], r["a"]) for r in rows if r["token"] == ""), (0, 0))
-    seen = [r for r in rows if r["token"] != ""]
-    nb, na = sum(r["b"] for r in seen) + len(seen) + 1, sum(r["a"] for r in seen) + len(seen) + 1
-    odds = {r["token"]: math.log((r["b"] + 1) / nb) - math.log((r["a"] + 1) / na) for r in seen}
-    if not pages[0] or not pages[1]:  # one class only: nothing to tell apart
-        return 0.0, {}
-    return math.log(pages[0] / pages[1]), odds
+            runs = defaultdict(set)
+            for chunk, host, path in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                runs[chunk].update(r for r in _RUN.findall(host) + _RUN.findall(path.lower()) if "a" <= r[0] <= "z")
+            for chunk, own in runs.items():
+                found = list({r[i:j] for r in own for i in range(len(r)) for j in range(i + 1, min(len(r), i + MAX_WORD) + 1)})
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(found), pa.int64()), pa.array(found, pa.string())], ["_chunk", "word"])
+
+    return parsed.select("_chunk", "host", "path").mapInArrow(run, "_chunk long, word string").distinct()
+
+
+def tokenise(parsed: DataFrame, counts: DataFrame) -> DataFrame:
+    """``parsed`` with the tokens of each page; a chunk meets the counts of its own pieces only."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    known = pieces(parsed).join(counts, "word")
+
+    def run(pages: pa.Table, words: pa.Table) -> pa.Table:
+        seg = Segmenter(dict(zip(words["word"].to_pylist(), words["n"].to_pylist(), strict=True)), total)
+        tokens = [seg.tokens(h, p) for h, p in zip(pages["host"].to_pylist(), pages["path"].to_pylist(), strict=True)]
+        return pages.append_column("tokens", pa.array(tokens, pa.list_(pa.string())))
+
+    kept = "page_id long, host string, path string, rule string, _verdict string, _chunk long"
+    left = parsed.select("page_id", "host", "path", "rule", "_verdict", "_chunk")
+    return left.groupBy("_chunk").cogroup(known.select("_chunk", "word", "n").groupBy("_chunk")).applyInArrow(run, kept + ", tokens array<string>")
+
+
+def fit_bayes(tokenised: DataFrame) -> tuple[float, tuple[int, int], DataFrame]:
+    """(log prior odds, smoothed sums of block and allow, (token, b, a)) from all pages that a rule decides; no rows if they are of one class."""
+    labelled = tokenised.filter("_verdict is not null").select((F.col("_verdict") == "block").alias("block"), "tokens")
+    seen = labelled.select("block", F.explode("tokens").alias("token")).groupBy("token").agg(F.count_if("block").alias("b"), F.count_if(~F.col("block")).alias("a"))
+    seen = materialise(seen, "bayes")
+    b, a = labelled.agg(F.count_if("block"), F.count_if(~F.col("block"))).first()
+    if not b or not a:  # one class only: nothing to tell apart
+        return 0.0, (1, 1), seen.filter("false")
+    sums = seen.agg(F.sum("b"), F.sum("a"), F.count("*")).first()
+    return math.log(b / a), ((sums[0] or 0) + sums[2] + 1, (sums[1] or 0) + sums[2] + 1), seen
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -143,24 +152,23 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> D
     host, path = split_url(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    ruled = parsed.withColumns({"rule": rule, "_verdict": verdict})
-    words = unigrams(pages)
-    prior, odds = fit_bayes(ruled.filter("_verdict is not null"), words)
-    model = pages.sparkSession.sparkContext.broadcast((words, prior, odds))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, prior, odds = model.value
-        seg = Segmenter(words)
-        for b in batches:
-            tokens = [seg.tokens(h, p) for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True)]
-            scores = [prior + sum(map(odds.get, t, [0.0] * len(t))) for t in tokens]
-            verdicts = [v or ("block" if s > 0 else "allow") for v, s in zip(b.column("_verdict").to_pylist(), scores, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("page_id"), b.column("host"), b.column("path"), b.column("rule"), pa.array(verdicts, pa.string()), pa.array([" ".join(t) for t in tokens], pa.string()), pa.array(scores, pa.float64())],
-                ["page_id", "host", "path", "rule", "verdict", "words", "score"],
-            )
-
-    return ruled.mapInArrow(score, "page_id long, host string, path string, rule string, verdict string, words string, score double")
+    ruled = materialise(parsed.withColumns({"rule": rule, "_verdict": verdict, "_row": F.monotonically_increasing_id()}), "urls")
+    chunks = max(1, -(-ruled.count() // CHUNK))
+    tokenised = materialise(tokenise(ruled.withColumn("_chunk", F.pmod(F.xxhash64("_row"), F.lit(chunks))), materialise(unigrams(pages), "words")), "tokens")
+    prior, (nb, na), seen = fit_bayes(tokenised)
+    used = tokenised.select("_chunk", F.explode("tokens").alias("token")).distinct().join(seen, "token").select(F.col("_chunk").alias("_at"), "token", "b", "a")
+
+    def score(rows: pa.Table, found: pa.Table) -> pa.Table:
+        odds = {t: math.log((b + 1) / nb) - math.log((a + 1) / na) for t, b, a in zip(*(found[c].to_pylist() for c in ("token", "b", "a")), strict=True)}
+        tokens = rows["tokens"].to_pylist()
+        scores = [prior + sum(map(odds.get, t, [0.0] * len(t))) for t in tokens]
+        verdicts = [v or ("block" if s > 0 else "allow") for v, s in zip(rows["_verdict"].to_pylist(), scores, strict=True)]
+        return pa.Table.from_arrays(
+            [*(rows[c] for c in ("page_id", "host", "path", "rule")), pa.array(verdicts, pa.string()), pa.array([" ".join(t) for t in tokens], pa.string()), pa.array(scores, pa.float64())],
+            ["page_id", "host", "path", "rule", "verdict", "words", "score"],
+        )
+
+    return tokenised.groupBy("_chunk").cogroup(used.groupBy("_at")).applyInArrow(score, "page_id long, host string, path string, rule string, verdict string, words string, score double")
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,6 +151,23 @@ def test_url_rules(spark):
     assert urls.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_rare_words_and_long_runs_are_segmented(spark):
+    import itertools
+    import math
+
+    common = ["x" + "".join(w) for w in itertools.islice(itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=4), 100_010)]
+    html = [" ".join(common), " ".join(common), "zebra quokka casino", ""]
+    url = ["http://a.net/1", "http://example.net/en/2", "http://zebraquokka.b.info/3", f"http://b.info/{'casino' * 60}"]
+    pages = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(zip(url, html))], "page_id long, url string, html string")
+    out = {r["page_id"]: r for r in urls.judge_urls(pages).collect()}
+    assert out[2]["words"].split()[:2] == ["h:zebra", "h:quokka"] and out[3]["words"] == "h:b h:info" + " p:casino" * 60
+    # naive Bayes by hand: h:a h:net p:#1 is blocked, h:example h:net p:en p:#1 is allowed
+    seen = {"h:a": (1, 0), "h:net": (1, 1), "p:#1": (1, 1), "h:example": (0, 1), "p:en": (0, 1)}
+    nb, na = 3 + 5 + 1, 4 + 5 + 1
+    want = sum(math.log((b + 1) / nb) - math.log((a + 1) / na) for t in out[2]["words"].split() if t in seen for b, a in [seen[t]])
+    assert abs(out[2]["score"] - want) < 1e-9
+
+
 def test_segmentation_splits_known_words():
     import math
 
