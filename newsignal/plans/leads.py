@@ -141,7 +141,7 @@ WITH b AS (SELECT l.doc_id, quality, md5(substring(text, 1, 512)) AS h FROM labe
 m AS (SELECT min(n) AS least FROM (SELECT count(*) AS n FROM u GROUP BY quality)) SELECT doc_id, quality FROM u, m WHERE k <= 2 * least""")
 def balanced_labels(spark, d):
     """Distinct labelled texts, no class more than twice as large as the other (the first by id stay)."""
-    b = table(spark, d, "labels").select("doc_id", "quality").join(table(spark, d, "documents").select("doc_id", F.md5(F.substring("text", 1, 512)).alias("h")), "doc_id")
+    b = table(spark, d, "labels").select("doc_id", "quality").join(table(spark, d, "documents").select("doc_id", F.md5("text").alias("h")), "doc_id")
     once = rank.first_of(b, ["h"], [F.col("doc_id")])
     least = once.groupBy("quality").count().agg(F.min("count").alias("least"))
     numbered = once.withColumn("k", F.row_number().over(Window.partitionBy("quality").orderBy("doc_id")))

@@ -142,3 +142,11 @@ def test_names_and_answers(spark):
         got = pick(names.answer(F.lit(said), "a int, b array<int>"))
         assert (got["a"], list(got["b"])) == (1, [1, 2])
     assert pick(names.answer(F.lit("no object"), "a int, b array<int>")) is None or pick(names.answer(F.lit("no object"), "a int, b array<int>"))["a"] is None
+
+
+def test_balanced_labels_keep_texts_with_one_opening(spark, tmp_path):
+    opening = "same header " * 50
+    texts = [opening + "first", opening + "second", opening + "first", "short", "other"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1), (1, 1), (2, 1), (3, 0), (4, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert sorted(tuple(r) for r in catalog.QUERIES["balanced_labels"](spark, str(tmp_path)).collect()) == [(0, 1), (1, 1), (3, 0), (4, 0)]
