@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine
-
 # Words that no search looks for.
 STOPWORDS = ["the", "and", "for", "are", "was", "with", "that", "this", "from", "has", "have", "its", "not", "but", "they", "their", "will", "been", "were", "which"]
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -32,21 +32,77 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, query_key: str, text, qu
     idf = idf.join(F.broadcast(mean)).select("token", "avgdl", F.when(F.col("idf") < 0, F.col("low")).otherwise(F.col("idf")).alias("idf"))
     asked = tokens(queries, query_key, query_text).groupBy(query_key, "token").agg(F.count("*").alias("times"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scores = asked.join(idf, "token").join(tf, "token").join(length, key).groupBy(query_key, key).agg(F.sum(part).alias("score")).filter(F.col("score") > least)
+    scores = asked.join(idf, "token").join(tf, "token").join(length, key).groupBy(query_key, key).agg(F.round(F.sum(part), 9).alias("score")).filter(F.col("score") > least)  # rounded, so that equal texts tie
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))).filter(F.col("rank") <= most)
 
 
+#: Rows of one block of queries and of one block of the base, of which one task compares two.
+QUERY_BLOCK, BASE_BLOCK = 1_024, 8_192
+
+
+def _blocks(df: DataFrame, rows: int) -> int:
+    return max(1, -(-df.count() // rows))
+
+
+def _unit(column: pd.Series) -> np.ndarray:
+    m = np.stack(column.to_numpy()).astype(float)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
 def neighbours(queries: DataFrame, base: DataFrame, key: str, vector: str, most: int, least: float = -1.0) -> DataFrame:
     """(src, dst, sim, rank): the most similar rows of ``base`` for each query, itself left out.
 
-    Queries are a stated, bounded set; the base is read once, against the broadcast queries, and
-    only the best of each partition are shuffled.
+    Queries and base are dealt into blocks; a task multiplies two blocks and gives the best of
+    each query, so nothing that grows is broadcast and no row of pairs is made.
+    """
+    nq, nb = _blocks(queries, QUERY_BLOCK), _blocks(base, BASE_BLOCK)
+    q = queries.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(nq)).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb - 1).cast("long"))).alias("j"))
+    b = base.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(nb)).alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("i"))
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"src": np.empty(0, np.int64), "dst": np.empty(0, np.int64), "sim": np.empty(0)})
+        y = y.sort_values("id")
+        src, dst, sim = x["id"].to_numpy(), y["id"].to_numpy(), _unit(x["v"]) @ _unit(y["v"]).T
+        sim[src[:, None] == dst[None]] = -np.inf
+        best = np.argsort(-sim, axis=1, kind="stable")[:, :most]
+        out = pd.DataFrame({"src": np.repeat(src, best.shape[1]), "dst": dst[best].ravel(), "sim": np.take_along_axis(sim, best, 1).ravel()})
+        return out[out["sim"] >= least]
+
+    found = q.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(run, "src long, dst long, sim double")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("sim"), "dst"))).filter(F.col("rank") <= most)
+
+
+def against_all(queries: DataFrame, base: DataFrame, key: str) -> DataFrame:
+    """Every query (alias x) with every row of the base (alias y), joined by blocks of queries."""
+    nq = _blocks(queries, QUERY_BLOCK)
+    x = queries.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(nq)))
+    y = base.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))))
+    return x.alias("x").join(y.alias("y"), F.col("x._block") == F.col("y._block"))
+
+
+def coherence(rows: DataFrame, group: str, key: str, vector: str) -> DataFrame:
+    """(group, coherence, pairs): the mean cosine of all pairs of a group, negative ones counted as 0; a group of one is coherent.
+
+    Groups are dealt into blocks, and cells of two blocks give sums.
     """
-    q = queries.select(F.col(key).alias("src"), F.col(vector).alias("_q"))
-    b = base.select(F.col(key).alias("dst"), F.col(vector).alias("_b"))
-    sims = b.join(F.broadcast(q), F.col("src") != F.col("dst")).select("src", "dst", cosine(F.col("_q"), F.col("_b")).alias("sim"))
-    best = sims.filter(F.col("sim") >= least).withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("sim"), "dst")))
-    return best.filter(F.col("rank") <= most)
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_n")).withColumn("_blocks", F.ceil(F.col("_n") / QUERY_BLOCK))
+    dealt = rows.join(sizes, group).withColumn("_own", F.pmod(F.xxhash64(key), F.col("_blocks")))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    cells = dealt.select(F.col(group).alias("g"), F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", F.col(vector).alias("v"))
+
+    def run(cell: pd.DataFrame) -> pd.DataFrame:
+        i, j, own = cell["i"].iloc[0], cell["j"].iloc[0], cell["_own"].to_numpy()
+        unit = _unit(cell["v"])
+        if i == j:
+            sim = (unit @ unit.T)[np.triu_indices(len(unit), 1)]
+        else:
+            sim = (unit[own == i] @ unit[own == j].T).ravel()
+        return pd.DataFrame({"g": [cell["g"].iloc[0]], "total": [float(np.maximum(sim, 0).sum())], "pairs": [len(sim)]})
+
+    kind = dict(rows.dtypes)[group]
+    sums = cells.groupBy("g", "i", "j").applyInPandas(run, f"g {kind}, total double, pairs long").groupBy(F.col("g").alias(group)).agg(F.sum("total").alias("total"), F.sum("pairs").alias("pairs"))
+    return sums.select(group, F.when(F.col("pairs") > 0, F.col("total") / F.col("pairs")).otherwise(1.0).alias("coherence"), "pairs")
 
 
 def mutual_edges(knn: DataFrame) -> DataFrame:

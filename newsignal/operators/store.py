@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a reliable checkpoint, in the folder that ``spark.checkpoint.dir`` names; local sessions without one get their own."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(f"/tmp/checkpoints/newsignal-core-{os.getpid()}")
+    return df.checkpoint()
+
+
 def filled(name: str, side: str):
     """A text column of one side, empty counting as missing."""
     return F.nullif(F.col(f"{side}.{name}"), F.lit(""))

@@ -146,12 +146,12 @@ def company_domain_guess(spark, d):
 
 @query("""
 WITH k(kind, word, weight) AS (VALUES ('growth','the',1),('growth','tion',1),('risk','ing ',2),('risk','er ',1),('deal','que',2),('deal','en ',1)),
-s AS (SELECT doc_id, kind, sum(weight) AS score FROM documents, k WHERE contains(lower(substring(text, 1, 380)), word) GROUP BY doc_id, kind),
+s AS (SELECT doc_id, kind, sum(weight) AS score FROM documents, k WHERE contains(lower(text), word) GROUP BY doc_id, kind),
 b AS (SELECT doc_id, kind, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, kind) AS r FROM s)
 SELECT d.doc_id, coalesce(b.kind, 'general') AS event_type, CAST(coalesce(b.score, 0) AS BIGINT) AS score FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id AND r = 1""")
 def event_keyword_score(spark, d):
     """The event type whose keywords weigh most; the word list is an expression, so no join is needed."""
-    low = F.lower(F.substring("text", 1, 380))
+    low = F.lower("text")
     kinds = {"growth": [("the", 1), ("tion", 1)], "risk": [("ing ", 2), ("er ", 1)], "deal": [("que", 2), ("en ", 1)]}
     scores = {k: sum((F.when(low.contains(w), n).otherwise(0) for w, n in words), F.lit(0)) for k, words in kinds.items()}
     # Largest score first, then the first kind by name: the least of (-score, kind).
@@ -205,12 +205,12 @@ def doc_freq_cap(spark, d):
 
 
 @query("""
-WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(substring(text, 1, 80)), '([a-z0-9]{2,})', 1)) AS token FROM documents)
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '([a-z0-9]{2,})', 1)) AS token FROM documents)
 SELECT token FROM w WHERE token NOT IN (SELECT DISTINCT lower(source) FROM documents)""")
 def source_decontam(spark, d):
-    """Title words that aren't the name of a source."""
+    """Words of all texts that aren't the name of a source."""
     docs = table(spark, d, "documents")
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.substring("text", 1, 80)), F.lit("([a-z0-9]{2,})"), F.lit(1))).alias("token")).distinct()
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]{2,})"), F.lit(1))).alias("token")).distinct()
     return words.join(docs.select(F.lower("source").alias("token")).distinct(), "token", "left_anti")
 
 
@@ -224,28 +224,39 @@ def impact_gate_fail_open(spark, d):
 
 # --- near duplicates -----------------------------------------------------------------------------
 
+_GRAMS = "(SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS token FROM (SELECT id, regexp_extract_all(strip_accents(lower(body)), '[\\p{L}\\p{N}_]{2,}') AS w FROM %s))"
 _TFIDF = r"""
-WITH docs AS (SELECT doc_id, text FROM documents WHERE lang = 'es'), n AS (SELECT count(*) AS n FROM docs),
-w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([a-z0-9_]{2,})', 1)) AS token FROM docs),
-tf AS (SELECT doc_id, token, count(*) AS tf FROM w GROUP BY doc_id, token), df AS (SELECT token, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM tf, n GROUP BY token, n),
-r AS (SELECT doc_id, token, tf * idf AS w FROM tf JOIN df USING (token)), s AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM r GROUP BY doc_id),
-v AS (SELECT doc_id, token, w / norm AS w FROM r JOIN s USING (doc_id)),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.w * b.w) AS cosine FROM v a JOIN v b ON a.token = b.token AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id HAVING sum(a.w * b.w) >= 0.7)
-"""
+n_%(k)s AS (SELECT count(*) AS n FROM %(t)s), tf_%(k)s AS (SELECT id, token, count(*) AS tf FROM """ + _GRAMS.replace("%s", "%(t)s") + r""" GROUP BY id, token),
+df_%(k)s AS (SELECT token, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM tf_%(k)s, n_%(k)s GROUP BY token, n), r_%(k)s AS (SELECT id, token, tf * idf AS w FROM tf_%(k)s JOIN df_%(k)s USING (token)),
+s_%(k)s AS (SELECT id, sqrt(sum(w * w)) AS norm FROM r_%(k)s GROUP BY id), v_%(k)s AS (SELECT id, token, w / norm AS w FROM r_%(k)s JOIN s_%(k)s USING (id)),
+p_%(k)s AS MATERIALIZED (SELECT a.id AS a, b.id AS b, sum(a.w * b.w) AS cosine FROM v_%(k)s a JOIN v_%(k)s b ON a.token = b.token AND a.id < b.id GROUP BY a.id, b.id HAVING sum(a.w * b.w) >= %(least)s)"""
+_WORDS = "WITH d AS (SELECT min(doc_id) AS id, text AS body FROM documents GROUP BY text), "
 
 
-@query(_TFIDF + "SELECT a, b, round(cosine, 6) AS cosine FROM p")
+@query(_WORDS + _TFIDF % {"k": "b", "t": "d", "least": 0.7} + " SELECT a, b, round(cosine, 6) AS cosine FROM p_b")
 def tfidf_pairs(spark, d):
-    """All pairs of Spanish documents with a TF-IDF cosine of 0.7 or more."""
-    docs = table(spark, d, "documents").filter("lang = 'es'").select("doc_id", "text")
-    return dedup.similar_pairs(dedup.tfidf(docs, "doc_id", F.col("text")), "doc_id", 0.7).withColumn("cosine", F.round("cosine", 6))
+    """All pairs of different texts with a TF-IDF cosine (words and pairs of words) of 0.7 or more; equal texts stand for one, the first."""
+    docs = table(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("id"))
+    return dedup.similar_pairs(dedup.tfidf(docs, "id", F.col("text")), "id", 0.7).withColumn("cosine", F.round("cosine", 6))
+
 
+# The greedy pass in SQL: a recursive walk in time order, which keeps a row if no kept one is similar.
+_GREEDY = """
+o_%(k)s AS (SELECT id, row_number() OVER (ORDER BY id) AS pos FROM %(t)s),
+e_%(k)s AS (SELECT b.pos AS pos, list(a.pos) AS earlier FROM p_%(k)s p JOIN o_%(k)s a ON a.id = p.a JOIN o_%(k)s b ON b.id = p.b GROUP BY b.pos),
+i_%(k)s AS (SELECT pos, earlier, row_number() OVER (ORDER BY pos) AS step FROM e_%(k)s),
+g_%(k)s(step, gone) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT i.step, CASE WHEN len(list_filter(i.earlier, lambda x: NOT list_contains(g.gone, x))) > 0 THEN list_append(g.gone, i.pos) ELSE g.gone END FROM g_%(k)s g JOIN i_%(k)s i ON i.step = g.step + 1),
+k_%(k)s AS (SELECT id FROM o_%(k)s WHERE NOT list_contains((SELECT gone FROM g_%(k)s ORDER BY step DESC LIMIT 1), pos))"""
 
-@query(_TFIDF + "SELECT doc_id FROM docs WHERE doc_id NOT IN (SELECT b FROM p)")
-def near_dup_direct(spark, d):
-    docs = table(spark, d, "documents").filter("lang = 'es'").select("doc_id", "text")
-    pairs = dedup.similar_pairs(dedup.tfidf(docs, "doc_id", F.col("text")), "doc_id", 0.7)
-    return dedup.drop_direct_duplicates(docs.select("doc_id"), "doc_id", pairs)
+
+@query("WITH RECURSIVE d AS (SELECT min(doc_id) AS id, substring(text, 1, 80) AS title, min_by(text, doc_id) AS body FROM documents GROUP BY substring(text, 1, 80)), td AS (SELECT id, title AS body FROM d), "
+       + _TFIDF % {"k": "t", "t": "td", "least": 0.85} + ", " + _GREEDY % {"k": "t", "t": "td"} + ", bd0 AS (SELECT min(id) AS id, body FROM d JOIN k_t USING (id) GROUP BY body), "
+       + _TFIDF % {"k": "b", "t": "bd0", "least": 0.7} + ", " + _GREEDY % {"k": "b", "t": "bd0"} + " SELECT id AS doc_id FROM k_b")
+def near_dup_two_pass(spark, d):
+    """Articles left by two passes of greedy near-duplicate removal, the earliest winning: titles from 0.85 on, then whole bodies from 0.70 on."""
+    a = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 80).alias("title"), F.col("text").alias("body"))
+    titles = dedup.drop_near_duplicates(a, "doc_id", F.col("title"), 0.85)
+    return dedup.drop_near_duplicates(titles, "doc_id", F.col("body"), 0.70).select("doc_id")
 
 
 # --- entities ------------------------------------------------------------------------------------
@@ -276,16 +287,17 @@ def entity_salience(spark, d):
     return mentions(spark, d).drop("source_name")
 
 
-@query("WITH" + _MENTIONS + "SELECT lower(entity) AS entity, count(DISTINCT doc_id) AS n_articles, count(DISTINCT source_name) AS n_sources, round(avg(salience), 4) AS avg_salience FROM s GROUP BY lower(entity) HAVING count(DISTINCT doc_id) >= 2 AND avg(salience) >= 0.30")
+@query("WITH" + _MENTIONS + "SELECT lower(entity) AS entity, count(DISTINCT doc_id) AS n_articles, count(DISTINCT source_name) AS n_sources, round(CAST(sum(CAST(salience AS DECIMAL(18, 4))) AS DOUBLE) / count(*), 4) AS avg_salience FROM s GROUP BY lower(entity) HAVING count(DISTINCT doc_id) >= 2 AND sum(CAST(salience AS DECIMAL(18, 4))) >= 0.30 * count(*)")
 def entity_groups(spark, d):
-    g = mentions(spark, d).groupBy(F.lower("entity").alias("entity")).agg(F.count_distinct("doc_id").alias("n_articles"), F.count_distinct("source_name").alias("n_sources"), F.avg("salience").alias("avg_salience"))
-    return g.filter("n_articles >= 2 and avg_salience >= 0.30").withColumn("avg_salience", F.round("avg_salience", 4))
+    g = mentions(spark, d).groupBy(F.lower("entity").alias("entity")).agg(F.count_distinct("doc_id").alias("n_articles"), F.count_distinct("source_name").alias("n_sources"), F.sum(F.col("salience").cast("decimal(18,4)")).alias("total"), F.count("*").alias("n"))
+    # Sums of the rounded values are exact, so their order doesn't show.
+    return g.filter("n_articles >= 2 and total >= 0.30 * n").select("entity", "n_articles", "n_sources", F.round(F.col("total").cast("double") / F.col("n"), 4).alias("avg_salience"))
 
 
-@query("WITH" + _MENTIONS + ", g AS (SELECT lower(entity) AS entity FROM s GROUP BY lower(entity) HAVING count(DISTINCT doc_id) >= 2 AND avg(salience) >= 0.30) SELECT doc_id FROM articles WHERE doc_id NOT IN (SELECT doc_id FROM s JOIN g ON lower(s.entity) = g.entity)")
+@query("WITH" + _MENTIONS + ", g AS (SELECT lower(entity) AS entity FROM s GROUP BY lower(entity) HAVING count(DISTINCT doc_id) >= 2 AND sum(CAST(salience AS DECIMAL(18, 4))) >= 0.30 * count(*)) SELECT doc_id FROM articles WHERE doc_id NOT IN (SELECT doc_id FROM s JOIN g ON lower(s.entity) = g.entity)")
 def ungrouped_docs(spark, d):
     m = mentions(spark, d)
-    g = m.groupBy(F.lower("entity").alias("e")).agg(F.count_distinct("doc_id").alias("n"), F.avg("salience").alias("s")).filter("n >= 2 and s >= 0.30")
+    g = m.groupBy(F.lower("entity").alias("e")).agg(F.count_distinct("doc_id").alias("n"), F.sum(F.col("salience").cast("decimal(18,4)")).alias("s"), F.count("*").alias("m")).filter("n >= 2 and s >= 0.30 * m")
     grouped = m.join(g, F.lower("entity") == F.col("e")).select("doc_id").distinct()
     return articles(spark, d).select("doc_id").join(grouped, "doc_id", "left_anti")
 
@@ -325,49 +337,52 @@ def knn_vote(spark, d):
 
 
 @query("""
-WITH q AS (SELECT vec_id AS src, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 10 = 0),
-s AS (SELECT x.src AS src, y.src AS dst, list_cosine_similarity(x.a, y.a) AS sim FROM q x JOIN q y ON x.src <> y.src),
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT x.vec_id AS src, y.vec_id AS dst, list_cosine_similarity(x.v, y.v) AS sim FROM e x JOIN e y ON x.vec_id <> y.vec_id),
 k AS (SELECT src, dst, sim, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS rank FROM s)
-SELECT x.src, x.dst, round(x.sim, 6) AS sim FROM k x JOIN k y ON x.src = y.dst AND x.dst = y.src WHERE x.rank <= 5 AND y.rank <= 5 AND x.src < x.dst AND x.sim > 0""")
+SELECT x.src, x.dst, round(x.sim, 6) AS sim FROM k x JOIN k y ON x.src = y.dst AND x.dst = y.src WHERE x.rank <= 5 AND y.rank <= 5 AND x.src % 50 = 0 AND x.sim > 0""")
 def mutual_knn(spark, d):
-    """Mutual five-nearest-neighbour edges among anchors (every tenth vector)."""
-    q = table(spark, d, "embeddings").filter("vec_id % 10 = 0")
-    return search.mutual_edges(search.neighbours(q, q, "vec_id", "embedding", 5)).withColumn("sim", F.round("sim", 6))
+    """Mutual five-nearest-neighbour edges of the stated query vectors (ids divisible by 50), both directions against all rows."""
+    q, e = _queries(spark, d)
+    near = search.neighbours(q, e, "vec_id", "embedding", 5)
+    asked = e.join(near.select(F.col("dst").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    back = search.neighbours(asked, e, "vec_id", "embedding", 5).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return near.filter("sim > 0").join(back, ["src", "dst"], "left_semi").select("src", "dst", F.round("sim", 6).alias("sim"))
 
 
 @query("""
 WITH stop AS (SELECT unnest(['the','and','for','are','was','with','that','this','from','has','have','its','not','but','they','their','will','been','were','which']) AS token),
-w AS (SELECT doc_id, unnest(regexp_extract_all(lower(substring(text, 1, 580)), '([a-z]{3,})', 1)) AS token FROM documents), f AS (SELECT * FROM w WHERE token NOT IN (SELECT token FROM stop)),
+w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([a-z]{3,})', 1)) AS token FROM documents), f AS (SELECT * FROM w WHERE token NOT IN (SELECT token FROM stop)),
 tf AS (SELECT doc_id, token, count(*) AS tf FROM f GROUP BY doc_id, token), dl AS (SELECT doc_id, count(*) AS dl FROM f GROUP BY doc_id),
 c AS (SELECT count(*) AS n, avg(coalesce(dl, 0)) AS avgdl FROM documents LEFT JOIN dl USING (doc_id)),
 i AS (SELECT token, ln((n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, c GROUP BY token, n), m AS (SELECT 0.25 * avg(idf) AS low FROM i),
-a AS (SELECT item_id, token, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '([a-z]{3,})', 1)) AS token FROM benchmark WHERE item_id < 20) WHERE token NOT IN (SELECT token FROM stop) GROUP BY item_id, token),
-s AS (SELECT item_id, tf.doc_id, sum(times * (CASE WHEN idf < 0 THEN low ELSE idf END) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score FROM a JOIN i USING (token) JOIN tf USING (token) JOIN dl ON dl.doc_id = tf.doc_id, c, m GROUP BY item_id, tf.doc_id),
+a AS (SELECT item_id, token, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '([a-z]{3,})', 1)) AS token FROM benchmark) WHERE token NOT IN (SELECT token FROM stop) GROUP BY item_id, token),
+s AS (SELECT item_id, tf.doc_id, round(sum(times * (CASE WHEN idf < 0 THEN low ELSE idf END) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 9) AS score FROM a JOIN i USING (token) JOIN tf USING (token) JOIN dl ON dl.doc_id = tf.doc_id, c, m GROUP BY item_id, tf.doc_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0.1)
 SELECT item_id, doc_id, round(score, 4) AS score, rank FROM k WHERE rank <= 5""")
 def bm25_search(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 580).alias("body"))
-    asked = table(spark, d, "benchmark").filter("item_id < 20").select("item_id", F.col("text").alias("question"))
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("body"))
+    asked = table(spark, d, "benchmark").select("item_id", F.col("text").alias("question"))
     return search.bm25(docs, asked, "doc_id", "item_id", F.col("body"), F.col("question"), 0.1, 5).withColumn("score", F.round("score", 4))
 
 
 @query("""
 WITH $ARTICLES, e AS (SELECT doc_id, source_name, published_at, list_distinct(list_filter(string_split(lower(title || ' ' || substring(summary, 1, 100)), ' '), lambda w: length(w) >= 4)) AS words, embedding::DOUBLE[] AS v
-  FROM articles JOIN embeddings ON vec_id = doc_id WHERE doc_id < 100),
+  FROM articles JOIN embeddings ON vec_id = doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, greatest(least(list_cosine_similarity(a.v, b.v), 1), 0) AS semantic, len(list_intersect(a.words, b.words)) / greatest(len(list_distinct(list_concat(a.words, b.words))), 1) AS lexical,
-  abs(epoch(a.published_at) - epoch(b.published_at)) / 3600 AS h, CASE WHEN a.source_name = b.source_name THEN 0.3 ELSE 1 END AS source FROM e a JOIN e b ON a.doc_id < b.doc_id)
+  abs(epoch(a.published_at) - epoch(b.published_at)) / 3600 AS h, CASE WHEN a.source_name = b.source_name THEN 0.3 ELSE 1 END AS source FROM e a JOIN e b ON a.doc_id <> b.doc_id AND a.doc_id % 50 = 0)
 SELECT a, b, round(greatest(least((0.35 * semantic + 0.05 * lexical + 0.10 * greatest(exp(-h * h / 128), exp(-h * h / 10368)) + 0.15 * source) / 0.65, 1), 0), 6) AS blended FROM p""")
 def pair_blend(spark, d):
-    """Semantic, lexical, temporal and source signals of the pairs of one group (the first hundred articles), blended by weight."""
-    a = articles(spark, d).join(table(spark, d, "embeddings"), F.col("doc_id") == F.col("vec_id")).filter("doc_id < 100")
+    """Semantic, lexical, temporal and source signals of stated articles (ids divisible by 50) with all others, blended by weight."""
+    a = articles(spark, d).join(table(spark, d, "embeddings"), F.col("doc_id") == F.col("vec_id"))
     e = a.select("doc_id", "source_name", "published_at", F.col("embedding").cast("array<double>").alias("v"), T.word_set(F.concat("title", F.lit(" "), F.substring("summary", 1, 100))).alias("words"))
-    x, y = e.alias("x"), F.broadcast(e).alias("y")
+    both = search.against_all(e.filter("doc_id % 50 = 0"), e, "doc_id").filter("x.doc_id <> y.doc_id")
     h = F.abs(F.unix_micros(F.col("x.published_at").cast("timestamp")) - F.unix_micros(F.col("y.published_at").cast("timestamp"))) / 3.6e9
     semantic = F.greatest(F.least(T.cosine(F.col("x.v"), F.col("y.v")), F.lit(1.0)), F.lit(0.0))
     temporal = F.greatest(F.exp(-h * h / 128), F.exp(-h * h / 10368))
     source = F.when(F.col("x.source_name") == F.col("y.source_name"), 0.3).otherwise(1.0)
     blend = (0.35 * semantic + 0.05 * T.jaccard(F.col("x.words"), F.col("y.words")) + 0.10 * temporal + 0.15 * source) / 0.65
-    return x.join(y, F.col("x.doc_id") < F.col("y.doc_id")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.round(F.greatest(F.least(blend, F.lit(1.0)), F.lit(0.0)), 6).alias("blended"))
+    return both.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.round(F.greatest(F.least(blend, F.lit(1.0)), F.lit(0.0)), 6).alias("blended"))
 
 
 # --- clusters (embeddings.label as cluster) -------------------------------------------------------
@@ -408,14 +423,11 @@ def noise_reassign(spark, d):
 
 
 @query("""
-WITH g AS (SELECT label, embedding::DOUBLE[] AS v, vec_id FROM embeddings WHERE vec_id < 200)
+WITH g AS (SELECT label, embedding::DOUBLE[] AS v, vec_id FROM embeddings)
 SELECT a.label, round(avg(greatest(list_cosine_similarity(a.v, b.v), 0)), 6) AS coherence, count(*) AS pairs FROM g a JOIN g b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label""")
 def cluster_coherence(spark, d):
-    """Mean pairwise cosine, clipped at 0, within clusters of bounded size (the first 200 vectors)."""
-    g = table(spark, d, "embeddings").filter("vec_id < 200").select("label", "vec_id", "embedding")
-    x, y = g.alias("x"), g.alias("y")
-    sim = F.greatest(T.cosine(F.col("x.embedding"), F.col("y.embedding")), F.lit(0.0))
-    return x.join(y, (F.col("x.label") == F.col("y.label")) & (F.col("x.vec_id") < F.col("y.vec_id"))).groupBy(F.col("x.label").alias("label")).agg(F.round(F.avg(sim), 6).alias("coherence"), F.count("*").alias("pairs"))
+    """Mean pairwise cosine, clipped at 0, of whole clusters: sums over cells of two blocks."""
+    return search.coherence(table(spark, d, "embeddings"), "label", "vec_id", "embedding").select(F.col("label"), F.round("coherence", 6).alias("coherence"), "pairs")
 
 
 @query("""
@@ -578,11 +590,11 @@ def run_drops(spark, d):
 
 
 @query("""
-WITH p AS (SELECT p_partkey, string_split(lower(p_name), ' ') AS triggers, p_brand FROM part WHERE p_partkey <= 50), c AS (SELECT o_orderpriority AS segment, list_distinct(list(lower(o_orderstatus))) AS statuses, avg(o_totalprice) AS worth FROM orders GROUP BY o_orderpriority)
+WITH p AS (SELECT p_partkey, string_split(lower(p_name), ' ') AS triggers, p_brand FROM part), c AS (SELECT o_orderpriority AS segment, list_distinct(list(lower(o_orderstatus))) AS statuses, avg(o_totalprice) AS worth FROM orders GROUP BY o_orderpriority)
 SELECT p_partkey, segment, round(0.5 * len(list_filter(triggers, lambda t: length(t) > 4)) / len(triggers) + 0.3 * least(worth / 300000, 1) + 0.2 * len(statuses) / 3, 3) AS score FROM p, c""")
 def product_match(spark, d):
-    """Every product against every segment; both sides are small lists, one of them broadcast."""
-    p = table(spark, d, "part").filter("p_partkey <= 50").select("p_partkey", F.split(F.lower("p_name"), " ").alias("triggers"))
+    """Every product against every segment; segments are the few values of one column, and broadcast."""
+    p = table(spark, d, "part").select("p_partkey", F.split(F.lower("p_name"), " ").alias("triggers"))
     c = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("segment")).agg(F.collect_set(F.lower("o_orderstatus")).alias("statuses"), F.avg("o_totalprice").alias("worth"))
     score = 0.5 * F.size(F.filter("triggers", lambda t: F.length(t) > 4)) / F.size("triggers") + 0.3 * F.least(F.col("worth") / 300000, F.lit(1.0)) + 0.2 * F.size("statuses") / 3
     return p.join(F.broadcast(c)).select("p_partkey", "segment", F.round(score, 3).alias("score"))

@@ -29,7 +29,7 @@ def scrape_candidates(spark, d):
 
 @query("""
 WITH s AS (SELECT doc_id, (CASE WHEN contains(t, 'trash') THEN 1 ELSE 0 END + CASE WHEN contains(t, 'scum') THEN 1 ELSE 0 END) AS strong, (CASE WHEN contains(t, 'the ') THEN 1 ELSE 0 END + CASE WHEN contains(t, ' que ') THEN 1 ELSE 0 END + CASE WHEN contains(t, ' die ') THEN 1 ELSE 0 END) AS weak FROM (SELECT doc_id, lower(text) AS t FROM documents))
-SELECT doc_id, CASE WHEN strong >= 1 OR weak >= 2 THEN 'noise' ELSE 'general' END AS kind, round(least(0.04 * (strong + weak), 0.12), 4) AS boost FROM s""")
+SELECT doc_id, CASE WHEN strong >= 1 OR weak >= 2 THEN 'noise' ELSE 'general' END AS kind, CAST(round(least(0.04 * (strong + weak), 0.12), 4) AS DOUBLE) AS boost FROM s""")
 def noise_sweep(spark, d):
     """One strong or two weak hits make a text noise; every hit gives a small, capped boost."""
     low = F.lower("text")
@@ -84,9 +84,9 @@ def segment_dedup(spark, d):
     return rank.first_of(k, ["segment"], [F.col("p_partkey")])
 
 
-@query("SELECT source, count(*) AS n, round(1 - count(DISTINCT substring(lower(text), 1, 80)) / count(*), 6) AS duplicate_rate FROM documents GROUP BY source")
+@query("SELECT source, count(*) AS n, round(1 - count(DISTINCT lower(text)) / count(*), 6) AS duplicate_rate FROM documents GROUP BY source")
 def duplicate_label_rate(spark, d):
-    g = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_distinct(F.substring(F.lower("text"), 1, 80)).alias("k"))
+    g = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_distinct(F.lower("text")).alias("k"))
     return g.select("source", "n", F.round(1 - F.col("k") / F.col("n"), 6).alias("duplicate_rate"))
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Lengths of the title and the summary that an article takes from its document.
-TITLE, SUMMARY = 80, 300
+#: Length of the title that an article takes from its document; the rest is its summary.
+TITLE = 80
 #: SQL of ``articles`` for DuckDB, as a common table expression.
-ARTICLES_SQL = """articles AS (SELECT doc_id, substring(text, 1, 80) AS title, substring(text, 81, 300) AS summary, source AS source_name, lang,
+ARTICLES_SQL = """articles AS (SELECT doc_id, substring(text, 1, 80) AS title, substring(text, 81) AS summary, source AS source_name, lang,
     TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS published_at, n_chars FROM documents)"""
 
 
@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, title, summary, source_name, lang, published_at, n_chars: documents as articles, one a minute from 2024 on."""
     return table(spark, sf_dir, "documents").select(
-        "doc_id", F.substring("text", 1, TITLE).alias("title"), F.substring("text", TITLE + 1, SUMMARY).alias("summary"), F.col("source").alias("source_name"), "lang",
+        "doc_id", F.substring("text", 1, TITLE).alias("title"), F.substr("text", F.lit(TITLE + 1)).alias("summary"), F.col("source").alias("source_name"), "lang",
         (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("doc_id").cast("int"))).alias("published_at"), "n_chars",
     )
 
