@@ -28,12 +28,38 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+class Workspace:
+    """Intermediate tables of one run in the shared folder: they cut the lineage, survive lost executors, and go when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/newsignal/{tag}-{uuid.uuid4().hex}"
+        self.live: list[tuple[DataFrame, str]] = []
+        self.made = 0
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` and read it back."""
+        self.made += 1
+        path = f"{self.folder}/{self.made}-{name}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.live.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete the files of tables that this workspace keeps."""
+        for found, path in [x for x in self.live if any(x[0] is t for t in tables)]:
+            place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            self.live = [x for x in self.live if x[0] is not found]
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        """Delete all but the tables that the result still reads."""
+        self.drop(*[t for t, _ in self.live if not any(t is x for x in tables)])
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/newsignal/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Workspace(df.sparkSession, tag).keep(df, tag)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
