@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The setting by which Spark deletes the shuffle files of a query when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Words are maximal runs of anything but these separators (ASCII white space).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -40,7 +42,12 @@ class Workspace:
         """Write ``df`` and read it back."""
         self.made += 1
         path = f"{self.folder}/{self.made}-{name}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(SHUFFLE_CLEANUP)
+        self.spark.conf.set(SHUFFLE_CLEANUP, "true")  # what the table was made of is no longer needed
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(SHUFFLE_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.live.append((out, path))
         return out
