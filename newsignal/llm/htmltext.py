@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -13,39 +15,46 @@ from pyspark.sql import DataFrame, SparkSession
 from .shared import table
 
 # What elements are.
-BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-CONTAINERS = frozenset("article aside blockquote body center details div dl fieldset figure footer form header html li main menu nav ol section table tbody td th thead tr ul dialog".split())
+BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+CONTAINERS = frozenset("article aside blockquote body center details dialog div dl fieldset figure footer form header html li main menu nav ol section table tbody td th thead tr ul".split())
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 dt dd pre".split())
 SILENT = frozenset("applet audio button canvas datalist embed head iframe map math noframes noscript object option script select style svg template textarea title video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# The parts of a page that are never its article, by element, by role and by a word of class or id.
 BOILERPLATE = frozenset("nav aside footer form menu dialog".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-# Words of class and id that mark what isn't the article.
-MARKS = frozenset(
-    "ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs byline-share comment commentlist comments consent cookie cookies copyright disqus feedback footer "
-    "gdpr legal login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion recommended related replies reply respond "
-    "search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split()
-)
+MARKS = frozenset("ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer menu nav navbar navigation newsletter pagination sidebar signup sponsor sponsored subscribe".split())
 #: Standard deviation of the Gaussian over lines, and the threshold in standard deviations of the smoothed ratios.
 SIGMA, THRESHOLD = 1.0, 0.5
-#: Shares of the content's text that an article element, or any other element, must hold to be the region.
-ARTICLE_SHARE, ELEMENT_SHARE = 0.5, 0.8
+#: Share of the mass of the main cluster that an element must hold to be its region.
+REGION_SHARE = 0.8
+#: Share of linked letters from which a line at the edge of a region is a link and no text.
+LINK_SHARE = 0.6
 
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _TOKENS = re.compile("[^a-z0-9]+")
 
 
-class Lines(HTMLParser):
-    """Parser events to lines: one for each block, with its text, tags and place.
+class Line(NamedTuple):
+    """One block's text, the tags since the line before, the letters in links, its container, and whether that is apart from the article."""
+
+    text: str
+    tags: int
+    linked: int
+    place: int
+    apart: bool
 
-    A line is (text, number of tags, letters in links, path of container numbers, boilerplate).
-    """
+
+class Lines(HTMLParser):
+    """Parser events to lines: one for each block.  Containers are numbered as they open; ``parents`` has the one around each."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
-        self.kinds: list[str] = []  # of containers, by number
-        self.stack: list[tuple[str, bool]] = []
-        self.path: tuple[int, ...] = ()
+        self.lines: list[Line] = []
+        self.kinds: list[str] = []
+        self.parents: list[int] = []
+        self.stack: list[tuple[str, bool, int]] = []
+        self.open: Counter[str] = Counter()
         self.text: list[str] = []
         self.tags = self.linked = self.links = self.silent = self.apart = self.within = 0
         self.silent_tag = ""
@@ -53,7 +62,7 @@ class Lines(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, self.linked, self.path, self.apart > 0))
+            self.lines.append(Line(text, self.tags, self.linked, self.stack[-1][2] if self.stack else -1, self.apart > 0))
             self.tags = 0
         self.text, self.linked = [], 0
 
@@ -80,21 +89,19 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag == "br":
             self.text.append(" ")
-            return
-        if tag in BLOCKS or tag == "dialog":
+        elif tag in BLOCKS:
             self.flush()
             # An element that takes its exclusion from its own attributes, e.g. a paragraph of adverts, is a container for as long.
-            apart = self._boilerplate(tag, attrs) if tag in CONTAINERS or attrs else False
-            if tag in ("body", "html"):
-                apart = False
-            if tag not in CONTAINERS and self.stack and self.stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "pre"):
+            apart = tag not in ("body", "html") and (tag in CONTAINERS or bool(attrs)) and self._boilerplate(tag, attrs)
+            if tag not in CONTAINERS and self.stack and self.stack[-1][0] in LEAVES:
                 self._pop()  # such an element ends where the next block begins
             if (tag in CONTAINERS or apart) and tag not in VOID:
-                self.stack.append((tag, apart))
+                self.parents.append(self.stack[-1][2] if self.stack else -1)
+                self.stack.append((tag, apart, len(self.kinds)))
+                self.kinds.append(tag)
+                self.open[tag] += 1
                 self.apart += apart
                 self.within += tag in ("article", "main")
-                self.path += (len(self.kinds),)
-                self.kinds.append(tag)
         elif tag == "a":
             self.links = 1
 
@@ -105,10 +112,10 @@ class Lines(HTMLParser):
                 self.handle_endtag(tag)
 
     def _pop(self) -> None:
-        tag, apart = self.stack.pop()
+        tag, apart, _ = self.stack.pop()
+        self.open[tag] -= 1
         self.apart -= apart
         self.within -= tag in ("article", "main")
-        self.path = self.path[:-1]
 
     def handle_endtag(self, tag: str) -> None:
         if self.silent:
@@ -117,13 +124,12 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag == "a":
             self.links = 0
-        elif tag in BLOCKS or tag == "dialog":
+        elif tag in BLOCKS:
             self.flush()
-            for k in range(len(self.stack) - 1, -1, -1):
-                if self.stack[k][0] == tag:
-                    while len(self.stack) > k:
-                        self._pop()
-                    break
+            if self.open[tag]:
+                while self.stack[-1][0] != tag:
+                    self._pop()
+                self._pop()
 
     def handle_data(self, data: str) -> None:
         if not self.silent:
@@ -132,6 +138,11 @@ class Lines(HTMLParser):
                 self.linked += len(data.strip())
 
 
+def ratios(lines: list[Line]) -> np.ndarray:
+    """Text-to-tag ratio of each line; letters in links are no text."""
+    return np.array([max(0, len(x.text) - x.linked) / max(1, x.tags) for x in lines], dtype=np.float64)
+
+
 def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     """Gaussian smoothing; beyond the ends nothing is added and weights are those of what is there."""
     reach = max(1, int(np.ceil(3 * sigma)))
@@ -140,11 +151,11 @@ def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(values, kernel)[near] / np.convolve(np.ones(len(values)), kernel)[near]
 
 
-def content_lines(lines: list[tuple[str, int, int, tuple[int, ...], bool]]) -> np.ndarray:
-    """Which lines are in the cluster of high text-to-tag ratio."""
-    ratio = np.array([max(0, len(text) - linked) / max(1, tags) for text, tags, linked, _, _ in lines], dtype=np.float64)
-    even = smooth(ratio) if len(ratio) else ratio
-    return even >= THRESHOLD * even.std() if len(even) else np.zeros(0, bool)
+def clusters(even: np.ndarray) -> list[tuple[int, int]]:
+    """(first, after the last) of the runs of lines whose smoothed ratio reaches the threshold."""
+    high = np.concatenate([[False], even >= max(THRESHOLD * float(even.std()), 1e-9), [False]])
+    edges = np.flatnonzero(high[1:] != high[:-1])
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
 def main_text(html: str) -> str:
@@ -153,42 +164,54 @@ def main_text(html: str) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    lines, kinds = parser.lines, parser.kinds
-    content = content_lines(lines)
-    kept = [k for k, (_, _, _, _, apart) in enumerate(lines) if not apart]
-    dense = [k for k in kept if content[k]] or kept
-    if not dense:
+    lines, kinds, parents = parser.lines, parser.kinds, parser.parents
+    if not any(not x.apart for x in lines):
         return ""
-    mass: dict[int, int] = {}
-    for k in dense:
-        for place in lines[k][3]:
-            mass[place] = mass.get(place, 0) + len(lines[k][0])
-    total = sum(len(lines[k][0]) for k in dense)
-    articles = [p for p in mass if kinds[p] in ("article", "main") and mass[p] >= ARTICLE_SHARE * total]
-    if articles:
-        # The innermost one that loses nothing: <main> around <article>, but not the teasers beside it.
-        top = max(mass[p] for p in articles)
-        region = max((p for p in articles if mass[p] >= ELEMENT_SHARE * top), default=articles[0])
-        return "\n".join(lines[k][0] for k in kept if region in lines[k][3])
-    held = [p for p in mass if mass[p] >= ELEMENT_SHARE * total]
-    region = max(held) if held else None  # a later number lies further in
-    inside = [k for k in kept if region is None or region in lines[k][3]]
-    plain = [k for k in inside if lines[k][2] <= 0.6 * len(lines[k][0])]
-    first, last = min((k for k in dense if k in set(inside)), default=0), max((k for k in dense if k in set(inside)), default=len(lines))
-    return "\n".join(lines[k][0] for k in plain if first - 1 <= k <= last + 1)
+    # The mass of a line is its text times its smoothed ratio, in the cluster with the most of it; what is apart has none.
+    even = smooth(ratios(lines))
+    mass = np.array([0.0 if x.apart else len(x.text) * r for x, r in zip(lines, even, strict=True)])
+    runs = clusters(even)
+    first, last = max(runs, key=lambda r: (mass[r[0] : r[1]].sum(), -r[0]), default=(0, len(lines)))
+    if not mass[first:last].sum():  # links only, or nothing but what is apart is dense
+        first, last, mass = 0, len(lines), np.array([0.0 if x.apart else float(len(x.text)) for x in lines])
+    held = [0.0] * len(kinds)
+    for x, m in zip(lines[first:last], mass[first:last], strict=True):
+        if x.place >= 0:
+            held[x.place] += m
+    for k in range(len(kinds) - 1, -1, -1):  # an element opens after the one around it
+        if parents[k] >= 0:
+            held[parents[k]] += held[k]
+    need = REGION_SHARE * mass[first:last].sum() - 1e-9
+    region = max((k for k in range(len(kinds)) if held[k] >= need), default=-1)  # a later one lies further in
+    around = region
+    while around >= 0 and kinds[around] not in ("article", "main"):
+        around = parents[around]
+    region = around if around >= 0 else region  # a section of an article is no article
+    inside = [region < 0] * len(kinds)
+    for k in range(max(region, 0), len(kinds)):
+        inside[k] = k == region or inside[k] or parents[k] >= 0 and inside[parents[k]]
+    kept = [k for k, x in enumerate(lines) if not x.apart and (inside[x.place] if x.place >= 0 else region < 0)]
+    if around < 0:  # no element says where the article ends: links at the edges, outside the cluster, are menus
+        link = lambda k: lines[k].linked > LINK_SHARE * len(lines[k].text) and not first <= k < last
+        text = [k for k in kept if not link(k)] or kept
+        kept = [k for k in kept if text[0] <= k <= text[-1]]
+    return "\n".join(lines[k].text for k in kept)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: the main text of each page, from the whole html.
 
     Parser events give one line for each block.  Its text-to-tag ratio is smoothed over the
-    neighbours, and the lines above a threshold are the content cluster.  The region is the
-    innermost article (or other) element that holds most of the cluster's text; all of its blocks
-    count, short ones too, but for those that an element name, a role or a class sets apart:
-    menus, headers, footers, sidebars, notices, adverts, forms, reader comments.
-
-    Cases: null or empty html has empty text; html that is cut off, wrongly nested or plain text
-    is read as far as it goes; repeated rows are read alike; page_id and url may be null; extra columns are ignored.
+    neighbours by a Gaussian, and runs of lines above a threshold are clusters.  The cluster with
+    the most text, weighted by its ratio, selects the region: the innermost element that holds most
+    of it, or the article element around that.  All blocks of the region count, short ones too, but
+    for the parts that the page itself names as none of the article, by an element, a role or a
+    class: menus, headers, footers, sidebars, notices, adverts, forms, reader comments.
+
+    Cases: null or empty html has empty text; html that is cut off, wrongly or deeply nested or
+    plain text is read as far as it goes, however long; of clusters of equal mass the first counts, of
+    elements the innermost; repeated rows are read alike; page_id and url may be null; extra
+    columns are ignored; an empty table stays empty.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
