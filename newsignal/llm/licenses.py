@@ -28,6 +28,14 @@ _BSD_TAIL = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS
 _ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
 _ISC_TAIL = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
 
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain.\n"
+    "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n"
+    "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. "
+    "We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. "
+    "We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n"
+)
+
 # Known licence texts and notices.
 LICENSES = [
     ("MIT", "MIT License\n" + _PERMISSION + "\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n" + _AS_IS),
@@ -38,6 +46,7 @@ LICENSES = [
     ("BSD-3-Clause", _BSD_HEAD + "\n1. " + _BSD_1 + "\n2. " + _BSD_2 + "\n3. " + _BSD_3 + "\n" + _BSD_TAIL),
     ("ISC", _ISC + ", provided that the above copyright notice and this permission notice appear in all copies.\n" + _ISC_TAIL),
     ("0BSD", _ISC + ".\n" + _ISC_TAIL),
+    ("Unlicense", _UNLICENSE + _AS_IS.replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS") + "\nFor more information, please refer to <https://unlicense.org>"),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -50,39 +59,82 @@ LICENSES = [
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
 ]
 
-#: A line that only says who holds the copyright, or that all rights are reserved.
-_COPYRIGHT_LINE = r"(^|\n)[ \t]*(((copyright|\(c\)|©)[ \t]*)+[^\n]*[0-9]{4}[^\n]*|all rights reserved\.?[ \t]*)($|(\n))"
+# Fixed values: (name, words, SHA-256 of the canonical text) of the long licences, from the texts that Debian installs in /usr/share/common-licenses.
+DIGESTS = [
+    ("Apache-2.0", 1609, "4f4efc99b21676427023f964ba9cf67d7063cce2d807400514641d03c8fc64e3"),
+    ("Artistic-1.0", 983, "bc4d0c00d493021b9f3b1041689fa28b4bf980cf2e37601f7cb475a7265e3b93"),
+    ("CC0-1.0", 1088, "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", 3315, "b1f65daa9629999daa8f6054cae35d89d60ee1849ea0b7633e5344aa68b9b338"),
+    ("GFDL-1.3", 3732, "5b157581d13408f14fb2a5239bf7cd819b15b3b79a5bb413122811f990dd30d2"),
+    ("GPL-1.0", 2068, "2b62a0899e7031347a9577241eb9b504d0eafb4d91b28e1f99580099701d0a1a"),
+    ("GPL-2.0", 2976, "d3d1ea54d09952fcd9626a8c4c7c325e00c7f6febdc41bf004285919d6bfaa0a"),
+    ("GPL-3.0", 5684, "d0789f68ce73b9e5aca95bb2dba2f119b08a484f0c2b8875edd430f7ac40622c"),
+    ("LGPL-2.0", 4200, "1862ecc2c3c5e3b9e88481e95603c88e089c43e9d5702b2ec01391491b606a9e"),
+    ("LGPL-2.1", 4401, "ac0856eb11aebb30c08445444c942c1ddcde9d0a0447c9ed2b8a19ab7d51eba5"),
+    ("LGPL-3.0", 1231, "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", 3790, "a423ad6d373d0bbd7aff7a4a1d2f6f4a2553f8bf186d5e34301c2a32360fc4e3"),
+    ("MPL-2.0", 2427, "2ae5d4417f09cff2e3412d0e35c4ee2439f6c18ca69d7d9cc799b33614c368a5"),
+]
+
+#: A line that only says who holds the copyright (by a year, a sign or a name), or that all rights are reserved.
+_COPYRIGHT_LINE = (
+    r"(^|\n)[ \t]*((?i:copyright|\(c\)|©)[^\n]*[0-9]{4}[^\n]*|(?i:copyright[ \t]*\(c\))[^\n]*|(?i:copyright)?[ \t]*©[^\n]*|Copyright( by| [A-Z][a-z][^ \t\n,;:]*){1,6}[.,]?|(?i:all rights reserved)\.?)[ \t]*($|(\n))"
+)
 _PUNCTUATION = r"[^a-z0-9\x80-\x{10FFFF}]+"
 #: The copyright pattern eats the line break that a following copyright line starts with, so it runs this often.
 _PASSES = 2
+#: Words that the spellings add to a text at most, and take away, for each one-word spelling: lines are looked up by their count first.
+_MORE_WORDS = 3
 
 
-def canonical(c: Column) -> Column:
-    """Text that two copies of a licence share: lower case, no copyright lines, no punctuation, one spelling."""
-    c = ascii_lower(F.coalesce(c, F.lit("")))
+def _without_copyright(c: Column) -> Column:
     for _ in range(_PASSES):
         c = F.regexp_replace(c, _COPYRIGHT_LINE, "$1$5")
-    c = F.concat(F.lit(" "), F.regexp_replace(c, _PUNCTUATION, " "), F.lit(" "))
+    return c
+
+
+def _words(c: Column) -> Column:
+    """Lower-case words, one blank between them."""
+    return F.trim(F.regexp_replace(ascii_lower(c), _PUNCTUATION, " "))
+
+
+def _spelt(words: Column) -> Column:
+    """One spelling; each word has blanks of its own, so that neighbours are all found."""
+    c = F.concat(F.lit(" "), F.replace(words, F.lit(" "), F.lit("  ")), F.lit(" "))
     for old, new in SPELLINGS:
-        c = F.replace(c, F.lit(f" {old} "), F.lit(f" {new} "))
+        c = F.replace(c, F.lit(f" {old.replace(' ', '  ')} "), F.lit(f" {new.replace(' ', '  ')} "))
     return F.trim(F.regexp_replace(c, " +", " "))
 
 
+def canonical(c: Column) -> Column:
+    """Text that two copies of a licence share: lower case, no copyright lines, no punctuation, one spelling."""
+    return _spelt(_words(_without_copyright(F.coalesce(c, F.lit("")))))
+
+
 def canonical_text(text: str) -> str:
     """``canonical`` for one Python string."""
-    t = re.sub("[A-Z]+", lambda m: m[0].lower(), text)
+    t = text
     for _ in range(_PASSES):
         t = re.sub(_COPYRIGHT_LINE, lambda m: m[1] + (m[5] or ""), t)
-    t = " " + re.sub(r"[^a-z0-9\x80-\U0010FFFF]+", " ", t) + " "
+    t = re.sub("[A-Z]+", lambda m: m[0].lower(), t)
+    t = re.sub(r"[^a-z0-9\x80-\U0010FFFF]+", " ", t).strip(" ")
+    t = " " + t.replace(" ", "  ") + " "
     for old, new in SPELLINGS:
-        t = t.replace(f" {old} ", f" {new} ")
+        t = t.replace(f" {old.replace(' ', '  ')} ", f" {new.replace(' ', '  ')} ")
     return re.sub(" +", " ", t).strip(" ")
 
 
-def known_licenses(spark: SparkSession, texts: list[tuple[str, str]] = LICENSES) -> DataFrame:
-    """(license_digest, license_id) of the given texts, each digest once."""
-    rows = {hashlib.sha256(canonical_text(t).encode()).hexdigest(): name for name, t in reversed(texts)}
-    return spark.createDataFrame(sorted(rows.items()), "license_digest string, license_id string")
+def _digest(canonical: str) -> str:
+    return hashlib.sha256(canonical.encode()).hexdigest()
+
+
+def known_licenses(spark: SparkSession, texts: list[tuple[str, str]] = LICENSES, digests: list[tuple[str, int, str]] = DIGESTS) -> DataFrame:
+    """(license_digest, n_words, license_id) of the given texts and digests; of several names of one digest the first counts."""
+    rows = {d: (d, n, name) for name, n, d in reversed(digests)}
+    for name, t in reversed(texts):
+        c = canonical_text(t)
+        rows[_digest(c)] = _digest(c), len(c.split()), name
+    return spark.createDataFrame(sorted(rows.values()), "license_digest string, n_words long, license_id string")
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -91,20 +143,23 @@ def scan_licenses(docs: DataFrame, known: DataFrame) -> DataFrame:
     The canonical text's SHA-256 is hash-joined to the known digests, so a text is found when all
     of it is one licence, whatever its case, punctuation, copyright line or spelling.  The lines
     of longer texts are looked up the same way (``notices``: sorted distinct licence ids,
-    ``n_notices``: lines that are one).  Only lines whose digest is known are shuffled.
+    ``n_notices``: lines that are one); of those only lines with as many words as a known text
+    are spelt out and hashed.  ``known``: license_digest (each once), n_words, license_id.
 
-    Cases: a null or empty text has the digest of the empty string and no licence; a null doc_id
-    stays null, with whole-text matches only counted for it; repeated rows are repeated; rows that share
-    a doc_id share their notices; extra columns are ignored.  A known table without rows matches nothing.
+    Cases: a null or empty text has the digest of the empty string and no licence; a very long text
+    is one digest and as many lines as it has; a null doc_id stays null, with whole-text matches
+    only counted for it; repeated rows are repeated; rows that share a doc_id share their notices;
+    extra columns are ignored.  A known table without rows matches nothing; no documents give no rows.
     """
+    sizes = sorted({n + k for (n,) in known.select("n_words").distinct().collect() for k in range(-_MORE_WORDS, _MORE_WORDS + 1)})  # a set of small numbers
     known = known.select(F.col("license_digest").alias("_known"), "license_id")
     docs = docs.select("doc_id", F.col("text").alias("_text"))
     whole = docs.select("doc_id", F.sha2(canonical(F.col("_text")), 256).alias("digest")).join(known, F.col("digest") == F.col("_known"), "left").drop("_known")
     lines = docs.filter("doc_id is not null").select("doc_id", F.explode(F.split(F.col("_text"), "\n")).alias("_line"))
-    found = (
-        lines.select("doc_id", F.sha2(canonical(F.col("_line")), 256).alias("_d")).join(F.broadcast(known), F.col("_d") == F.col("_known"))
-        .groupBy("doc_id").agg(F.count("*").alias("n_notices"), F.array_join(F.sort_array(F.collect_set("license_id")), ",").alias("notices"))
-    )
+    lines = lines.select("doc_id", _words(F.col("_line")).alias("_words"))
+    likely = lines.filter((F.length("_words") - F.length(F.replace(F.col("_words"), F.lit(" "), F.lit(""))) + 1).isin(sizes))
+    hits = likely.select("doc_id", F.sha2(_spelt(F.col("_words")), 256).alias("_d")).join(known, F.col("_d") == F.col("_known"))
+    found = hits.groupBy("doc_id").agg(F.count("*").alias("n_notices"), F.array_join(F.sort_array(F.collect_set("license_id")), ",").alias("notices"))
     return whole.join(found, "doc_id", "left").withColumns({"n_notices": F.coalesce("n_notices", F.lit(0)).cast("long"), "notices": F.coalesce("notices", F.lit(""))})
 
 
@@ -112,25 +167,26 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"), known_licenses(spark))
 
 
-def _sql(c: str) -> str:
-    c = f"translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    for _ in range(_PASSES):
+def _sql(c: str, lines: bool = False) -> str:
+    c = f"coalesce({c}, '')"
+    for _ in range(0 if lines else _PASSES):
         c = f"regexp_replace({c}, '{_COPYRIGHT_LINE}', '\\1\\5', 'g')"
-    c = f"' ' || regexp_replace({c}, '{_PUNCTUATION}', ' ', 'g') || ' '"
+    c = f"translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    c = f"' ' || replace(trim(regexp_replace({c}, '{_PUNCTUATION}', ' ', 'g'), ' '), ' ', '  ') || ' '"
     for old, new in SPELLINGS:
-        c = f"replace({c}, ' {old} ', ' {new} ')"
-    return f"trim(regexp_replace({c}, ' +', ' ', 'g'))"
+        c = f"replace({c}, ' {old.replace(' ', '  ')} ', ' {new.replace(' ', '  ')} ')"
+    return f"trim(regexp_replace({c}, ' +', ' ', 'g'), ' ')"
 
 
 def oracle_sql() -> str:
-    rows = {hashlib.sha256(canonical_text(t).encode()).hexdigest(): name for name, t in reversed(LICENSES)}
+    rows = {d: name for name, _, d in reversed(DIGESTS)} | {_digest(canonical_text(t)): name for name, t in reversed(LICENSES)}
     values = ", ".join(f"('{d}', '{n}')" for d, n in rows.items())
     return f"""
 WITH known(d, license_id) AS (VALUES {values}),
 w AS (SELECT doc_id, sha256({_sql('text')}) AS digest FROM documents),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
 f AS (SELECT doc_id, count(*) AS n_notices, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices
-      FROM (SELECT doc_id, sha256({_sql('line')}) AS d FROM l) JOIN known USING (d) GROUP BY doc_id)
+      FROM (SELECT doc_id, sha256({_sql('line', True)}) AS d FROM l) JOIN known USING (d) GROUP BY doc_id)
 SELECT w.doc_id, w.digest, k.license_id, coalesce(f.n_notices, 0) AS n_notices, coalesce(f.notices, '') AS notices
 FROM w LEFT JOIN known k ON w.digest = k.d LEFT JOIN f ON f.doc_id = w.doc_id
 """
