@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .shared import table
+from .shared import Workspace, table
 
 #: Passages are windows of so many words, one half apart; items are indexed in segments that fit in the overlap.
 PASSAGE, SEGMENT = 128, 64
@@ -55,13 +56,15 @@ def _hashes(text: str) -> np.ndarray:
 
 
 def split_item(text: str) -> tuple[str, str]:
-    """(question, answer): the last line is the answer, else the last sentence; one sentence is all question."""
+    """(question, answer): the last line is the answer, else the last sentence, else the last quarter of the words; one word is all question."""
     text = text.strip()
     for mark in ("\n", ". ", "? ", "! "):
         head, _, tail = text.rpartition(mark)
         if head.strip() and tail.strip():
             return head + mark.strip(), tail
-    return text, ""
+    words = text.split()
+    cut = len(words) - max(1, len(words) // 4)
+    return (" ".join(words[:cut]), " ".join(words[cut:])) if cut > 0 else (text, "")
 
 
 def _grams(words: np.ndarray, n: int) -> np.ndarray:
@@ -101,8 +104,39 @@ class Index:
         return np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)]), np.array([x // BLOCK for x, _ in flat], np.int64), np.array([m for _, m in flat], np.float64)
 
 
-def build_index(rows: list[tuple[int, str]]) -> Index:
-    """Index (item_id, text) rows; an item without words is never found, repeated ids are searched with all their texts."""
+def item_segments(words: np.ndarray) -> list[np.ndarray]:
+    """An item's words in equal segments that fit in the overlap of passages."""
+    cuts = -(-len(words) // SEGMENT)
+    return [words[len(words) * k // cuts : len(words) * (k + 1) // cuts] for k in range(cuts)]
+
+
+@dataclass
+class Statistics:
+    """Of all items: segments, their mean length, and how many of them have each of some terms."""
+
+    total: int
+    mean: float
+    df: dict[int, int]
+
+
+def count_terms(texts: Iterable[str]) -> tuple[int, int, Counter[int]]:
+    """(segments, words, segments of each term) of some items."""
+    total, size, df = 0, 0, Counter()
+    for text in texts:
+        for words in item_segments(_hashes(text)):
+            total, size = total + 1, size + len(words)
+            df.update(np.unique(words).tolist())
+    return total, size, df
+
+
+def build_index(rows: list[tuple[int, str]], known: Statistics | None = None) -> Index:
+    """Index (item_id, text) rows under the statistics of all items (of these rows if none are given).
+
+    An item without words is never found, repeated ids are searched with all their texts.
+    """
+    if known is None:
+        total, size, df = count_terms(text for _, text in rows)
+        known = Statistics(total, size / max(1, total), df)
     segments: list[tuple[int, np.ndarray]] = []
     parts: dict[int, list[tuple[np.ndarray, np.ndarray, int]]] = {}
     for item, text in rows:
@@ -112,22 +146,19 @@ def build_index(rows: list[tuple[int, str]]) -> Index:
         question, answer = (_hashes(t) for t in split_item(text))
         n = min(GRAM, max(1, len(question)))
         parts.setdefault(item, []).append((_grams(question, n), answer, n))
-        cuts = max(1, -(-len(words) // SEGMENT))
-        for k in range(cuts):
-            segments.append((item, words[len(words) * k // cuts : len(words) * (k + 1) // cuts]))
+        segments += [(item, part) for part in item_segments(words)]
     found: dict[int, list[tuple[int, int]]] = {}
     for number, (_, words) in enumerate(segments):
         for term, count in zip(*np.unique(words, return_counts=True), strict=True):
             found.setdefault(int(term), []).append((number, int(count)))
     total = len(segments)
-    mean = sum(len(w) for _, w in segments) / max(1, total)
     terms = sorted(found)
     impact: dict[int, list[float]] = {}
     own = np.zeros(total)
     for term in terms:
-        df = len(found[term])
-        idf = math.log(1 + (total - df + 0.5) / (df + 0.5))
-        impact[term] = [idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(segments[s][1]) / mean)) for s, tf in found[term]]
+        df = known.df[term]
+        idf = math.log(1 + (known.total - df + 0.5) / (df + 0.5))
+        impact[term] = [idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(segments[s][1]) / known.mean)) for s, tf in found[term]]
         for (s, _), x in zip(found[term], impact[term], strict=True):
             own[s] += x
     lists = []
@@ -243,7 +274,7 @@ class Searcher:
         for (t, item), score in sorted(best.items()):
             words = hashes[first[t] : first[t + 1]]
             q, a = max((self._overlap(words, part) for part in index.parts[item]), key=min)
-            yield t, item, score, q, a
+            yield t, item, round(score, 9), q, a  # the order of additions shows beyond that
 
     def _passages(self, term: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(begin, stop, text) of all passages, half a passage apart, and the numbers of those with a block that can reach the rest."""
@@ -272,44 +303,85 @@ class Searcher:
         question, answer, n = part
         q = float(np.isin(question, _grams(words, n)).mean()) if len(question) else 1.0
         m = min(GRAM, len(answer))
-        return q, float(np.isin(_grams(answer, m), _grams(words, m)).mean()) if m else 1.0
+        return q, float(np.isin(_grams(answer, m), _grams(words, m)).mean()) if m else q  # one word: the question is all there is
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap, leaked) of every item that a passage of a document retrieves.
 
     Items are indexed by BM25 with impacts as shares of an item's own score.  All passages of all
     documents are queries; passages whose terms cannot reach the threshold are left out by their
     bounds, the others are searched by block-max WAND.  ``leaked``: the whole document holds
-    enough of the question's and of the answer's trigrams.
-
-    Cases: null or empty texts and items without words find nothing; a null doc_id stays null; rows of one
-    doc_id are searched one by one, with one result row each; an empty benchmark finds nothing;
-    extra columns are ignored.
+    enough of the question's and of the answer's trigrams.  Counts of segments, their mean length
+    and the terms' frequencies are those of all items, so results don't depend on ``index_bytes``,
+    the size of the indexes that are broadcast one after the other.
+
+    Cases: null or empty texts and items without words find nothing; an item of one word is all
+    question; a very long text is searched whole, passage by passage; scores and overlaps just at
+    their bounds count; a null doc_id stays null; rows of one doc_id are searched one by one, with
+    one result row each, and rows of one item_id with all their texts; an empty benchmark finds
+    nothing; extra columns are ignored.
     """
-    found = None
-    for index in indexes(docs.sparkSession, benchmark):
+    work = Workspace(docs.sparkSession, "leaks")
+    shards, made = IndexShards(benchmark, index_bytes, work), None
+    for shard, index in enumerate(shards):
         part = _search(docs, index)
-        found = part if found is None else found.unionByName(part)
-    return found
-
-
-def indexes(spark: SparkSession, benchmark: DataFrame) -> list:
-    """Broadcast indexes that together hold all items: one, unless the benchmark outgrows what may be broadcast."""
-    items = benchmark.select("item_id", "text").filter("item_id is not null and text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-size // INDEX_BYTES))
-    made = []
-    for shard in range(shards):
-        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard) if shards > 1 else items
-        made.append(spark.sparkContext.broadcast(build_index(sorted((r[0], r[1]) for r in rows.collect()))))
+        if len(shards) > 1:  # written, so that only one index is held at a time
+            part = work.keep(part, f"found-{shard}")
+            index.destroy()
+        made = part if made is None else made.unionByName(part)
     return made
 
 
-def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text leaks an item, in one pass over the rows; cases as in ``find_leaks``."""
-    for index in indexes(docs.sparkSession, benchmark):
-        docs = docs.mapInArrow(_without(index), docs.schema)
+class IndexShards:
+    """Broadcast indexes that together hold all items, made one at a time: one, unless the benchmark outgrows what may be broadcast."""
+
+    def __init__(self, benchmark: DataFrame, index_bytes: int, work: Workspace):
+        self.spark = benchmark.sparkSession
+        items = benchmark.select("item_id", "text").filter("item_id is not null and text is not null")
+        size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.shards = max(1, -(-size // index_bytes))
+        self.items = items.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(self.shards)))
+        self.terms = work.keep(self.items.select("shard", "text").mapInArrow(_terms, "shard long, term long, n long, size long"), "terms")
+        row = self.terms.filter("term is null").agg(F.sum("n"), F.sum("size")).first()
+        self.total, self.words = row[0] or 0, row[1] or 0
+
+    def __len__(self) -> int:
+        return self.shards
+
+    def __iter__(self):
+        counts = self.terms.filter("term is not null")
+        df = counts.groupBy("term").agg(F.sum("n").alias("n"))
+        for shard in range(self.shards):
+            mine = df.join(counts.filter(F.col("shard") == shard).select("term").distinct(), "term").toArrow()  # of at most index_bytes of text
+            known = Statistics(self.total, self.words / max(1, self.total), dict(zip(mine["term"].to_numpy().view(np.uint64).tolist(), mine["n"].to_pylist(), strict=True)))
+            rows = self.items.filter(F.col("shard") == shard).select("item_id", "text").collect()
+            yield self.spark.sparkContext.broadcast(build_index(sorted((r[0], r[1]) for r in rows), known))
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, term, segments with it, null) and (shard, null, segments, words) of some items."""
+    names = ["shard", "term", "n", "size"]
+    for b in batches:
+        shards = b.column("shard").to_numpy()
+        for shard in np.unique(shards).tolist():
+            total, size, df = count_terms(b.column("text").filter(pa.array(shards == shard)).to_pylist())
+            terms = np.array([*df], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([shard] * len(df), pa.int64()), pa.array(terms), pa.array([*df.values()], pa.int64()), pa.nulls(len(df), pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.nulls(1, pa.int64()), pa.array([total], pa.int64()), pa.array([size], pa.int64())], names)
+
+
+def drop_leaked(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """``docs`` without the rows whose text leaks an item, with all their columns as they are; cases as in ``find_leaks``."""
+    work = Workspace(docs.sparkSession, "leaks")
+    shards = IndexShards(benchmark, index_bytes, work)
+    for shard, index in enumerate(shards):
+        rest = docs.mapInArrow(_without(index), docs.schema)
+        if len(shards) > 1:
+            rest = work.keep(rest, f"rest-{shard}")
+            index.destroy()
+            work.drop(docs)
+        docs = rest
     return docs
 
 
