@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,8 +20,10 @@ BITS, RANK, THRESHOLD = 18, 4, 0.3
 TOXIC_ROWS, CLEAN_ROWS = 4_000, 8_000
 #: A term is a word, or its first so many bytes: compounds share their beginning.
 PREFIXES = (4, 5, 6, 7)
-#: A bucket takes part if its counts in the two labels differ by so many standard deviations.
-LEAST_Z, LEAST_DOCS = 4.0, 3
+#: A bucket takes part if its counts in the two labels differ by so many standard deviations, or the counts of a pair that it is in.
+LEAST_Z, LEAST_DOCS, LEAST_PAIR_Z = 4.0, 3, 8.0
+#: Pairs are tried among so many buckets, those that split the rows most evenly.
+PAIRED = 2048
 
 #: Letters, digits and all bytes beyond ASCII; case is folded for A-Z.
 _LETTERS = np.zeros(256, dtype=bool)
@@ -80,7 +82,40 @@ class Machine:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit(rows: list[tuple[int, np.ndarray]], totals: tuple[int, int], epochs: int = 30, rate: float = 0.15, l2: float = 1e-4) -> Machine:
+def _z(toxic: np.ndarray, clean: np.ndarray, pos: int, neg: int) -> np.ndarray:
+    """How many standard deviations the shares of the two labels with a feature differ."""
+    p, q = (toxic + 0.5) / (pos + 1), (clean + 0.5) / (neg + 1)
+    shared = (toxic + clean + 1) / (pos + neg + 2)
+    return (p - q) / np.sqrt(np.maximum(shared * (1 - shared), 1e-9) * (1 / pos + 1 / neg))
+
+
+def telling_pairs(rows: list[tuple[int, np.ndarray]], z: np.ndarray, seen: np.ndarray, pos: int, neg: int) -> np.ndarray:
+    """The buckets of pairs that tell the labels apart, and do so better than either bucket alone: they may say nothing by themselves."""
+    share = seen / len(rows)
+    some = np.argsort(-(share * (1 - share)), kind="stable")[:PAIRED]
+    some = np.sort(some[seen[some] >= LEAST_DOCS])
+    place = np.full(len(seen), -1)
+    place[some] = np.arange(len(some))
+    both = np.zeros((2, len(some), len(some)), np.float32)
+    for label in (0, 1):
+        own = [b for l, b in rows if l == label]
+        for lo in range(0, len(own), 1024):
+            block = np.zeros((min(1024, len(own) - lo), len(some)), np.float32)
+            for k, b in enumerate(own[lo : lo + 1024]):
+                at = place[b]
+                block[k, at[at >= 0]] = 1
+            both[label] += block.T @ block
+    found = np.zeros(len(some), bool)
+    alone = np.abs(z[some])
+    for k in range(len(some)):
+        pair = np.abs(_z(both[1, k], both[0, k], pos, neg))
+        hit = (pair >= LEAST_PAIR_Z) & (pair >= np.maximum(alone, alone[k]) + 2) & (both[0, k] + both[1, k] >= LEAST_DOCS)
+        hit[k] = False
+        found |= hit
+    return some[found]
+
+
+def fit(rows: list[tuple[int, np.ndarray]], totals: tuple[int, int], epochs: int = 20, rate: float = 0.15, l2: float = 1e-4) -> Machine:
     """Train on (label, buckets) rows by AdaGrad; ``totals``: how many clean and toxic labels there are in all, for the weights of the two."""
     none = np.empty(0, np.int64)
     y = np.array([r[0] for r in rows], dtype=np.float64)
@@ -91,10 +126,9 @@ def fit(rows: list[tuple[int, np.ndarray]], totals: tuple[int, int], epochs: int
     size = 1 << BITS
     toxic = np.bincount(np.concatenate([b for l, b in rows if l]), minlength=size)[:size].astype(float)
     clean = np.bincount(np.concatenate([b for l, b in rows if not l]), minlength=size)[:size].astype(float)
-    p, q = (toxic + 0.5) / (pos + 1), (clean + 0.5) / (neg + 1)
-    shared = (toxic + clean + 1) / (pos + neg + 2)
-    z = (p - q) / np.sqrt(shared * (1 - shared) * (1 / pos + 1 / neg))
+    z = _z(toxic, clean, pos, neg)
     buckets = np.flatnonzero((np.abs(z) >= LEAST_Z) & (toxic + clean >= LEAST_DOCS))
+    buckets = np.union1d(buckets, telling_pairs(rows, z, toxic + clean, pos, neg))
     place = np.full(size, -1)
     place[buckets] = np.arange(len(buckets))
     own = [place[b][place[b] >= 0] for _, b in rows]
@@ -127,7 +161,12 @@ def fit(rows: list[tuple[int, np.ndarray]], totals: tuple[int, int], epochs: int
 
 
 def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Machine:
-    """Fit on a bounded sample: of each label the rows with the smallest hashes of doc_id, held-out rows left out."""
+    """Fit on a bounded sample: of each label the rows with the smallest hashes of doc_id, held-out rows left out.
+
+    Of rows that share a doc_id, and of near copies with one label (those with the same least hash
+    of their five-word passages), the first counts for all: copies would only weigh a text more.
+    A doc_id with several labels counts as toxic if any of them does.
+    """
     usable = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {bool(r[0]): r[1] for r in usable.groupBy(F.col("toxic") > 0).count().collect()}
     by_hash = lambda cond, n: usable.filter(cond).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
@@ -143,7 +182,9 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
                 own = [bucket[x:y].astype(np.uint32).tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([ids[i:j], toxic[i:j].cast(pa.int32()), pa.array(least.view(np.int64)), pa.array(own, pa.binary())], ["doc_id", "toxic", "key", "buckets"])
 
-    got = texts.mapInArrow(features, "doc_id long, toxic int, key long, buckets binary").toArrow()
+    # Of rows that share a doc_id one is taken, so the driver gets at most toxic_rows + clean_rows.
+    once = texts.mapInArrow(features, "doc_id long, toxic int, key long, buckets binary").groupBy("doc_id", "toxic").agg(F.min(F.struct("key", "buckets")).alias("x"))
+    got = once.select("doc_id", "toxic", "x.key", "x.buckets").toArrow()
     rows = sorted(zip(*(got.column(c).to_pylist() for c in ("doc_id", "toxic", "key", "buckets")), strict=True))
     seen: set[tuple[int, int]] = set()
     kept = []
@@ -154,6 +195,21 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
     return fit(kept, (counts.get(False, 0), counts.get(True, 0)))
 
 
+def _scorer(m: Machine) -> Callable[[pa.Array], np.ndarray]:
+    """A function from texts to scores."""
+    chosen = np.zeros(1 << BITS, bool)
+    chosen[m.buckets] = True
+
+    def score(texts: pa.Array) -> np.ndarray:
+        out = np.empty(len(texts))
+        for i, j, buf, offs in tk.slices(texts):
+            text, bucket, _ = terms(buf, offs, chosen)
+            out[i:j] = m.scores(text, bucket, j - i)
+        return out
+
+    return score
+
+
 def score_toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 from THRESHOLD on), from the whole text alone.
 
@@ -165,19 +221,26 @@ def score_toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        chosen = np.zeros(1 << BITS, bool)
-        chosen[m.buckets] = True
+        score = _scorer(shared.value)
         for b in batches:
-            scores = np.empty(b.num_rows)
-            for i, j, buf, offs in tk.slices(b.column("text")):
-                text, bucket, _ = terms(buf, offs, chosen)
-                scores[i:j] = m.scores(text, bucket, j - i)
+            scores = score(b.column("text"))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], [*b.schema.names, "score", "predicted"])
 
     return docs.mapInArrow(run, schema)
 
 
+def drop_toxic(docs: DataFrame, machine: Machine) -> DataFrame:
+    """The rows of ``docs`` that ``machine`` doesn't predict to be toxic, with all their columns as they are; cases as in ``score_toxicity``."""
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = _scorer(shared.value)
+        for b in batches:
+            yield b.filter(pa.array(score(b.column("text")) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
