@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What may stand before or after a name without being part of it.
+# Short lists of this function's own: what may stand before or after a name without being part of it.
 LEADING = ["the", "a", "an", "mr", "mrs", "ms", "dr", "ceo", "president", "minister"]
 TRAILING = ["says", "said", "announces", "launches", "reports", "plans", "wins", "news", "today"]
-# Single words that name nothing.
+# And single words that name nothing.
 GENERIC = ["company", "government", "market", "report", "today", "monday", "group", "bank"]
 #: Passes of the trailing rules: a name has at most four words, so nothing is left to strip after as many.
 PASSES = 4
@@ -33,14 +33,26 @@ def description_not_name(name: Column) -> Column:
 
 
 def repaired_json(text: Column) -> Column:
-    """The outermost object of a model's answer: fences and chatter dropped, open brackets closed."""
-    body = F.regexp_extract(text, r"(?s)([{].*)", 1)
-    whole = F.regexp_extract(body, r"(?s)([{].*[}])", 1)
-    count = lambda c, x: F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))
-    balanced = (whole != "") & (count(whole, "{") == count(whole, "}"))
-    cut = F.regexp_replace(F.regexp_replace(body, "(?s)`+\\s*$", ""), r"(?s)[,\s]+$", "")
-    closed = F.concat(cut, F.repeat(F.lit("]"), F.greatest(count(cut, "[") - count(cut, "]"), F.lit(0))), F.repeat(F.lit("}"), F.greatest(count(cut, "{") - count(cut, "}"), F.lit(0))))
-    return F.when(balanced, whole).otherwise(closed)
+    """The outermost object of a model's answer: what stands around it is dropped, and what is open at the end is closed in order.
+
+    Brackets inside strings count for nothing.
+    """
+    body = F.regexp_replace(F.regexp_extract(text, r"(?s)([{].*)", 1), "(?s)`{3}\\s*$", "")
+    start = F.struct(F.lit("").alias("open"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+
+    def step(a: Column, c: Column) -> Column:
+        outside = ~a["quoted"]
+        closes = outside & c.isin("}", "]")
+        stack = F.when(outside & (c == "{"), F.concat(F.lit("}"), a["open"])).when(outside & (c == "["), F.concat(F.lit("]"), a["open"])).when(closes, F.substr(a["open"], F.lit(2))).otherwise(a["open"])
+        quoted = F.when(a["quoted"] & a["escaped"], True).otherwise(F.when(c == '"', outside).otherwise(a["quoted"]))
+        escaped = a["quoted"] & ~a["escaped"] & (c == "\\")
+        end = F.when(closes & (stack == ""), a["at"] + 1).otherwise(0)
+        now = F.struct(stack.alias("open"), quoted.alias("quoted"), escaped.alias("escaped"), (a["at"] + 1).alias("at"), end.alias("end"))
+        return F.when(a["end"] > 0, a).otherwise(now)
+
+    read = F.aggregate(F.split(body, ""), start, step)
+    cut = F.when(read["quoted"], F.concat(body, F.lit('"'))).otherwise(F.regexp_replace(body, r"(?s)[,\s]+$", ""))
+    return F.when(read["end"] > 0, F.left(body, read["end"])).otherwise(F.concat(cut, read["open"]))
 
 
 def answer(text: Column, schema: str) -> Column:

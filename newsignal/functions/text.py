@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Legal forms, in the order in which they are stripped.
-COMPANY_SUFFIXES = ["private limited", "pvt ltd", "pvt. ltd.", "limited", "ltd.", "ltd", "incorporated", "inc.", "inc", "corporation", "corp.", "corp", "llc", "llp", "plc", "gmbh", "technologies", "solutions", "group", "company", "co."]
+from .business import guess_domain  # noqa: F401  a name of this module too
+
 #: Parameters of a url that say where a reader came from.
 TRACKING = ("utm_", "ref", "source", "campaign", "fbclid", "gclid")
 
@@ -36,16 +36,23 @@ def article_key(url: Column) -> Column:
 
 
 def title_key(title: Column) -> Column:
-    """Lower case, without a source after `` - ``, parentheses, years, quarters and punctuation, 80 characters."""
-    t = F.regexp_replace(F.lower(title), " - [^-]*$", "")
-    for pattern in (r"\([^)]*\)", r"\b20[0-9][0-9]\b", r"\bq[1-4]\b", r"[^a-z0-9\x{80}-\x{10FFFF} ]"):
-        t = F.regexp_replace(t, pattern, " ")
-    return F.left(F.trim(F.regexp_replace(t, " +", " ")), F.lit(80))
+    """Lower case, without the source after the last `` - ``, parentheses, years, quarters and punctuation, 80 characters."""
+    t = F.regexp_replace(F.trim(F.lower(title)), "^(.*) - .*$", "$1")
+    for pattern in (r"\([^)]*\)", r"\b20[0-9][0-9]\b", r"\bq[1-4]\b", r"[^\p{L}\p{N}_\s]"):
+        t = F.regexp_replace(t, pattern, "")
+    return F.left(F.trim(F.regexp_replace(t, r"\s+", " ")), F.lit(80))
+
+
+def any_date(raw: Column, other: str) -> Column:
+    """A time of day in UTC from the formats that feeds use; ``other`` where none fits."""
+    raw = F.regexp_replace(raw, "^[A-Za-z]{3}, ", "")  # a day of the week says nothing more
+    zoned = F.coalesce(*[F.try_to_timestamp(raw, F.lit(f)) for f in ("yyyy-MM-dd'T'HH:mm:ssXXX", "d MMM yyyy HH:mm:ss Z", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd")])
+    return F.coalesce(F.to_utc_timestamp(zoned, F.current_timezone()).cast("timestamp_ntz"), F.lit(other).cast("timestamp_ntz"))
 
 
 def source_of_title(title: Column) -> Column:
     """What follows the last `` - `` of a title; empty where there is none."""
-    return F.when(title.contains(" - "), F.element_at(F.split(title, " - "), -1)).otherwise("")
+    return F.when(title.contains(" - "), F.trim(F.element_at(F.split(title, " - "), -1))).otherwise("")
 
 
 def summary(text: Column, sentences: int = 3, limit: int = 500) -> Column:
@@ -67,14 +74,6 @@ def clean_text(text: Column, limit: int = 500) -> Column:
     return F.when(text.isNull() | bad, "").otherwise(F.left(text, F.lit(limit)))
 
 
-def guess_domain(company: Column) -> Column:
-    """Name without legal forms, letters and digits only, with ``.com``; null if under two characters remain."""
-    forms = "|".join(x.replace(".", "[.]") for x in COMPANY_SUFFIXES)
-    n = F.regexp_replace(F.lower(F.trim(company)), f"([ ]+({forms}))+$", "")
-    n = F.regexp_replace(n, "[^a-z0-9]", "")
-    return F.when(F.length(n) >= 2, F.concat(n, F.lit(".com")))
-
-
 def company_words(name: Column) -> Column:
     """Distinct lower-case words of a company name without its legal form."""
     n = F.regexp_replace(F.lower(name), r"\b(private limited|limited|ltd|inc|corp|corporation|llc|plc|gmbh)\b", " ")
@@ -90,7 +89,7 @@ def same_company(a: Column, b: Column) -> Column:
 
 
 def proper_phrases(text: Column, most: int = 4) -> Column:
-    """Distinct runs of two to four capitalised words of five letters or more in all, at most ``most``."""
+    """Distinct runs of one to four capitalised words of five letters or more in all, at most ``most``."""
     found = F.regexp_extract_all(text, F.lit(r"([A-Z][a-z]+(?: [A-Z][a-z]+){0,3})"), F.lit(1))
     return F.slice(F.array_distinct(F.filter(found, lambda p: F.length(p) >= 5)), 1, most)
 

@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Words that no search looks for.
-STOPWORDS = ["the", "and", "for", "are", "was", "with", "that", "this", "from", "has", "have", "its", "not", "but", "they", "their", "will", "been", "were", "which"]
+STOPWORDS = (
+    "the a an is are was were be been being and or but in on at to for of with by from as into about than this that these those it its has have had will would could should may might can do does did not no"
+).split()
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 def tokens(df: DataFrame, key: str, text) -> DataFrame:
-    """(key, token) of runs of three letters or more, in lower case, without stopwords."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("([a-z]{3,})"), F.lit(1))
+    """(key, token) of words of three letters a-z or more, in lower case, without stopwords."""
+    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), lambda w: w.rlike("^[a-z]{3,}$"))
     return df.select(key, F.explode(words).alias("token")).filter(~F.col("token").isin(STOPWORDS))
 
 

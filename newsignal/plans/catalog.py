@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import business as B
 from ..functions import text as T
 from ..operators import dedup, learning, rank, search, store
 from ..sources.tables import ARTICLES_SQL, articles, table
@@ -109,9 +110,9 @@ def fallback_scan(spark, d):
 
 
 @query(r"""
-WITH $ARTICLES, t AS (SELECT doc_id, regexp_replace(lower(title), ' - [^-]*$', '') AS t FROM articles),
-u AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\([^)]*\)', ' ', 'g'), '\b20[0-9][0-9]\b', ' ', 'g'), '\bq[1-4]\b', ' ', 'g'), '[^a-z0-9\x{80}-\x{10FFFF} ]', ' ', 'g') AS t FROM t)
-SELECT doc_id, substring(trim(regexp_replace(t, ' +', ' ', 'g')), 1, 80) AS title_key FROM u""")
+WITH $ARTICLES, t AS (SELECT doc_id, CASE WHEN contains(title, ' - ') THEN lower(array_to_string(list_slice(string_split(title, ' - '), 1, -2), ' - ')) ELSE lower(title) END AS t FROM articles),
+u AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\([^)]*\)', '', 'g'), '\b20[0-9][0-9]\b', '', 'g'), '\bq[1-4]\b', '', 'g'), '[^\p{L}\p{N}_\s]', '', 'g') AS t FROM t)
+SELECT doc_id, substring(trim(regexp_replace(t, '\s+', ' ', 'g')), 1, 80) AS title_key FROM u""")
 def title_normalize(spark, d):
     return articles(spark, d).select("doc_id", T.title_key(F.col("title")).alias("title_key"))
 
@@ -141,7 +142,7 @@ def proper_noun_queries(spark, d):
 @query("""
 SELECT c_custkey, CASE WHEN length(n) >= 2 THEN n || '.com' END AS domain FROM (SELECT c_custkey, regexp_replace(lower(trim(c_name)), '[^a-z0-9]', '', 'g') AS n FROM customer)""")
 def company_domain_guess(spark, d):
-    return table(spark, d, "customer").select("c_custkey", T.guess_domain(F.col("c_name")).alias("domain"))
+    return table(spark, d, "customer").select("c_custkey", B.guess_domain(F.col("c_name")).alias("domain"))
 
 
 @query("""
@@ -350,13 +351,13 @@ def mutual_knn(spark, d):
     return near.filter("sim > 0").join(back, ["src", "dst"], "left_semi").select("src", "dst", F.round("sim", 6).alias("sim"))
 
 
-@query("""
-WITH stop AS (SELECT unnest(['the','and','for','are','was','with','that','this','from','has','have','its','not','but','they','their','will','been','were','which']) AS token),
-w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([a-z]{3,})', 1)) AS token FROM documents), f AS (SELECT * FROM w WHERE token NOT IN (SELECT token FROM stop)),
+@query(r"""
+WITH stop AS (SELECT unnest(['the','a','an','is','are','was','were','be','been','being','and','or','but','in','on','at','to','for','of','with','by','from','as','into','about','than','this','that','these','those','it','its','has','have','had','will','would','could','should','may','might','can','do','does','did','not','no']) AS token),
+w AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: regexp_matches(w, '^[a-z]{3,}$'))) AS token FROM documents), f AS (SELECT * FROM w WHERE token NOT IN (SELECT token FROM stop)),
 tf AS (SELECT doc_id, token, count(*) AS tf FROM f GROUP BY doc_id, token), dl AS (SELECT doc_id, count(*) AS dl FROM f GROUP BY doc_id),
 c AS (SELECT count(*) AS n, avg(coalesce(dl, 0)) AS avgdl FROM documents LEFT JOIN dl USING (doc_id)),
 i AS (SELECT token, ln((n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, c GROUP BY token, n), m AS (SELECT 0.25 * avg(idf) AS low FROM i),
-a AS (SELECT item_id, token, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '([a-z]{3,})', 1)) AS token FROM benchmark) WHERE token NOT IN (SELECT token FROM stop) GROUP BY item_id, token),
+a AS (SELECT item_id, token, count(*) AS times FROM (SELECT item_id, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: regexp_matches(w, '^[a-z]{3,}$'))) AS token FROM benchmark) WHERE token NOT IN (SELECT token FROM stop) GROUP BY item_id, token),
 s AS (SELECT item_id, tf.doc_id, round(sum(times * (CASE WHEN idf < 0 THEN low ELSE idf END) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 9) AS score FROM a JOIN i USING (token) JOIN tf USING (token) JOIN dl ON dl.doc_id = tf.doc_id, c, m GROUP BY item_id, tf.doc_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0.1)
 SELECT item_id, doc_id, round(score, 4) AS score, rank FROM k WHERE rank <= 5""")

@@ -60,8 +60,9 @@ def on(*fixtures: Fixture, sql: str):
     def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         QUERIES[f.__name__] = lambda spark, d: f(*(x.frame(spark) for x in fixtures))
         more = sql.strip()
-        head = "WITH " + ", ".join(x.sql for x in fixtures)
-        ORACLES[f.__name__] = head + (", " + more[5:] if more.startswith("WITH ") else "\n" + more)
+        opening = next((w for w in ("WITH RECURSIVE ", "WITH ") if more.startswith(w)), "")
+        tables = ", ".join(x.sql for x in fixtures)
+        ORACLES[f.__name__] = (opening or "WITH ") + tables + (", " + more[len(opening) :] if opening else "\n" + more)
         return f
 
     return add
