@@ -38,6 +38,70 @@ def test_quality_of_nothing(spark, docs):
     assert quality.rate_quality(d, quality.fit(d, labels)).count() == 0
 
 
+def brute_buckets(text):
+    """Every n-gram of a text by plain loops, as (kind, key)."""
+    w = text.split()
+    return [("word", x) for x in w] + [("two", a, b) for a, b in zip(w, w[1:])]
+
+
+def test_quality_ratio_by_plain_loops(spark, docs, prose):
+    import math
+    from collections import Counter
+
+    texts = {k: prose(60, k) for k in range(40)}
+    good = [k for k in texts if k % 4]
+    labels = spark.createDataFrame([(k, int(k in good), 0) for k in texts], "doc_id long, quality int, toxic int")
+    d = docs(list(texts.items()))
+    ratio = quality.fit(d, labels)
+    out = {r["doc_id"]: r["llr"] for r in quality.rate_quality(d, ratio).collect()}
+    # The same multinomials, by each text's own list of buckets.
+    own = {}
+    for k, t in texts.items():
+        buf = np.frombuffer(t.encode(), np.uint8)
+        parsed = quality._parse(buf, np.array([0, len(buf)]))
+        own[k] = [int(x) for bucket, _ in quality.grams(buf, *parsed) for x in bucket]
+        words = t.split()
+        assert len(own[k]) == 2 * len(words) + 2 * (len(words) - 1)
+    raw, target = Counter(), Counter()
+    for k, b in own.items():
+        raw.update(b)
+        if k in good:
+            target.update(b)
+    weight = lambda b: math.log((target[b] + 1) / (sum(target.values()) + quality.BUCKETS)) - math.log((raw[b] + 1) / (sum(raw.values()) + quality.BUCKETS))
+    for k, b in own.items():
+        assert out[k] == pytest.approx(sum(map(weight, b)) / len(b), abs=1e-9)
+
+
+def test_quality_counts_pairs_of_words():
+    buf = np.frombuffer(b"one two three one two", np.uint8)
+    parsed = quality._parse(buf, np.array([0, len(buf)]))
+    words, pairs = (b.tolist() for b, _ in quality.grams(buf, *parsed)[:2])
+    assert words[0] == words[3] and pairs[0] == pairs[3] and len(set(pairs)) == 3 and len(pairs) == 4
+
+
+def test_quality_threshold_is_out_of_sample(spark, docs, prose):
+    texts = [(k, prose(80, k)) for k in range(80)]
+    labels = spark.createDataFrame([(k, int(k < 60), 0) for k, _ in texts], "doc_id long, quality int, toxic int")
+    # Good and bad are alike, so no cut may tell them apart well: in sample every text's own words would.
+    d = docs(texts)
+    out = quality.rate_quality(d, quality.fit(d, labels)).filter("not base_failed").collect()
+    assert sum(not r["kept"] for r in out if r["doc_id"] < 60) == 0
+
+
+def test_quality_cases(spark, docs, prose):
+    good = [(k, prose(120, k)) for k in range(30)]
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in good] * 3 + [(None, 0, 0), (5, 0, 0)], "doc_id long, quality int, toxic int")
+    long = " ".join(prose(4000, 7) for _ in range(60))  # longer than a slice
+    d = docs([*good, *good[:3], (500, long), *ODD])
+    out = quality.rate_quality(d, quality.fit(d, labels)).collect()
+    assert len(out) == 30 + 3 + 1 + len(ODD)
+    by_id = {r["doc_id"]: r for r in out}
+    assert by_id[500]["n_words"] == 60 * 4000 and by_id[0]["kept"]
+    assert len({r["llr"] for r in out if r["doc_id"] == 1}) == 1
+    none = quality.rate_quality(d, quality.fit(d, labels.limit(0)))
+    assert all(r["kept"] != r["base_failed"] for r in none.collect())
+
+
 # --- 2 ---
 
 
@@ -53,6 +117,36 @@ def test_license_digest_ignores_case_copyright_and_spelling(spark, docs):
     assert [r["c"] for r in sorted(got)] == [licenses.canonical_text(t) for t in texts]
 
 
+def test_license_spelling_of_neighbours_and_copyright_lines():
+    assert licenses.canonical_text("licence licence, Licence") == "license license license"
+    assert licenses.canonical_text("a\nCopyright Jane Doe\nCopyright (c) The Authors\n© X\n(c) You must retain\nCOPYRIGHT HOLDERS and") == "a c you must retain copyright holders and"
+
+
+def test_long_licenses_are_known(spark, docs):
+    import os
+
+    folder = "/usr/share/common-licenses"
+    if not os.path.isdir(folder):
+        pytest.skip("no licence texts here")
+    texts = {n: open(f"{folder}/{n}", encoding="utf-8").read() for n in ("Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "MPL-2.0", "CC0-1.0")}
+    every = list(texts.items())
+    d = docs([(k, "Copyright 2020 Somebody Else\n\n" + t.replace("\n", "\n\n").upper()) for k, (_, t) in enumerate(every)] + [(50, every[0][1] + " more")])
+    out = {r["doc_id"]: r["license_id"] for r in licenses.scan_licenses(d, licenses.known_licenses(spark)).collect()}
+    assert [out[k] for k in range(6)] == ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0"] and out[50] is None
+
+
+def test_license_cases(spark, docs, prose):
+    known = licenses.known_licenses(spark)
+    notice = "Released under the MIT License."
+    d = docs([*ODD, (1, "\n".join([notice] * 3000)), (2, notice), (2, notice)]).withColumns({c: F.lit("clash") for c in ("digest", "license_id", "_words", "n_words")})
+    out = licenses.scan_licenses(d, known).collect()
+    assert len(out) == len(ODD) + 3
+    by_id = {r["doc_id"]: r for r in out}
+    assert by_id[1]["n_notices"] == 3000 and by_id[2]["n_notices"] == 2 and by_id[2]["license_id"] == "MIT" and by_id[None]["n_notices"] == 0
+    assert licenses.scan_licenses(docs([]), known).count() == 0
+    assert all(r["license_id"] is None and not r["n_notices"] for r in licenses.scan_licenses(d, known.limit(0)).collect())
+
+
 # --- 3 ---
 
 
@@ -102,6 +196,34 @@ def test_jaccard_cases(spark, docs):
     assert jaccard.link_documents(docs([])).count() == 0
 
 
+@pytest.mark.parametrize("short, block", [(16, 1 << 16), (2, 400), (0, 150)])
+def test_jaccard_of_one_large_group(spark, docs, prose, monkeypatch, short, block):
+    """Near copies of one text around the threshold, by homes, pairs, and cells of one and of several blocks."""
+    monkeypatch.setattr(jaccard, "SHORT_LIST", short)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", block)
+    rng = random.Random(8)
+    base, other = prose(120, 1).split(), prose(90, 2).split()
+    texts = []
+    for k in range(110):
+        words = (base if k % 3 else base[:40] + other)[:]
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 6])):
+            words[rng.randrange(len(words))] = "w" + str(rng.randrange(9 if k % 2 else 10**6))
+        if k % 10 == 9:
+            words = words[: rng.randint(90, 120)]
+        texts.append((k, " ".join(words)))
+    texts += [(200, base * 40 and " ".join(base * 40)), (201, " ".join(base * 39 + ["x"]))]
+    d = docs(texts).withColumns({c: F.lit("clash") for c in ("n", "root", "token", "component_id")})
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link_documents(d).collect()}
+    want = brute_components(texts)
+    assert out == want and len({c for _, c in want.values()}) > 5
+
+
+def test_jaccard_of_a_very_long_text(spark, docs, prose):
+    long = prose(60_000, 5)
+    texts = [(1, long), (2, long + " tail of it"), (3, prose(60_000, 6)), (4, long[: len(long) // 2])]
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link_documents(docs(texts)).collect()} == brute_components(texts)
+
+
 def test_divide_skip_counts():
     rng = np.random.default_rng(4)
     for _ in range(60):
@@ -256,6 +378,54 @@ def test_block_max_wand_equals_all_scores(prose):
         assert got == pytest.approx({s: x for s, x in scores.items() if x >= 0.2 - 1e-9})
 
 
+def test_leaks_dont_depend_on_the_size_of_indexes(spark, docs, prose):
+    items = [(k, prose(40 + k, 2000 + k // 2).capitalize() + "\n" + prose(8, 3000 + k)) for k in range(40)]
+    mixed = [(k, prose(100, k) + " " + " ".join(items[k][1].split()[: 30 + k]) + " " + prose(50, 90 + k)) for k in range(40)]
+    bench, d = spark.createDataFrame(items, "item_id long, text string"), docs([*mixed, *mixed[:2], *ODD])
+    fields = ("doc_id", "item_id", "score", "question_overlap", "answer_overlap", "leaked")
+    one = rows(decontam.find_leaks(d, bench), *fields)
+    size = sum(len(t) for _, t in items)
+    assert one == rows(decontam.find_leaks(d, bench, size // 4), *fields) and len(one) > 30
+    kept = lambda df: rows(df, "doc_id", "text")
+    assert kept(decontam.drop_leaked(d, bench)) == kept(decontam.drop_leaked(d, bench, size // 4))
+
+
+def test_leaks_by_plain_bm25(spark, docs, prose):
+    """The query's rows against scores of every passage and item by plain loops."""
+    import math
+    from collections import Counter
+
+    items = [(k, prose(20 + 3 * k, 2000 + k) + ". " + prose(6, 3000 + k)) for k in range(12)] + [(5, prose(25, 4000)), (30, "single"), (31, prose(90, 4001))]
+    ds = [(k, prose(40, k) + " " + items[k % 12][1] + " " + prose(200, 300 + k)) for k in range(14)] + [(20, prose(300, 20)), (21, items[13][1]), (21, items[13][1]), (22, prose(30, 1) + " " + items[14][1])]
+    words = lambda t: t.replace(".", " ").split()
+    segments = []
+    for i, t in items:
+        w = words(t)
+        cuts = -(-len(w) // decontam.SEGMENT)
+        segments += [(i, w[len(w) * k // cuts : len(w) * (k + 1) // cuts]) for k in range(cuts)]
+    mean, n, df = sum(len(w) for _, w in segments) / len(segments), len(segments), Counter(x for _, w in segments for x in set(w))
+    part = lambda w, x: math.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * w.count(x) * (decontam.K1 + 1) / (w.count(x) + decontam.K1 * (1 - decontam.B + decontam.B * len(w) / mean))
+    want = Counter()
+    for d, t in ds:
+        w, best = [x.lower() for x in words(t)], {}
+        for lo in range(0, len(w), decontam.PASSAGE // 2):
+            passage = set(w[lo : lo + decontam.PASSAGE])
+            for i, seg in segments:
+                score = sum(part(seg, x) for x in set(seg) if x in passage) / sum(part(seg, x) for x in set(seg))
+                if score >= decontam.RETRIEVED:
+                    best[i] = max(best.get(i, 0), score)
+        want.update((d, i, round(s, 6)) for i, s in best.items())
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = Counter((r["doc_id"], r["item_id"], round(r["score"], 6)) for r in decontam.find_leaks(docs(ds), bench).collect())
+    assert got == want and len(want) >= 16
+
+
+def test_answers_are_split_off():
+    assert decontam.split_item("Who was it?\nNobody") == ("Who was it?", "Nobody")
+    assert decontam.split_item("One sentence. Another one.") == ("One sentence.", "Another one.")
+    assert decontam.split_item("a b c d e f g h") == ("a b c d e f", "g h") and decontam.split_item("word") == ("word", "")
+
+
 # --- 8 ---
 
 
@@ -290,6 +460,35 @@ def test_machine_learns_a_pair_that_no_weight_shows():
     assert both > 0.7 > 0.3 > max(alone, other)
 
 
+def test_machine_selects_a_pair_that_no_weight_shows():
+    """Toxic if both terms or neither: each alone says nothing."""
+    rng = np.random.default_rng(1)
+    data = []
+    for _ in range(4000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        data.append((int(a == b), np.unique(np.concatenate([[1] * a, [2] * b, 3 + rng.integers(0, 400, 40)]).astype(np.int64))))
+    m = toxicity.fit(data[:3000], (1500, 1500))
+    assert {1, 2} <= set(m.buckets.tolist())
+    right = 0
+    for y, bucket in data[3000:]:
+        own = bucket[np.isin(bucket, m.buckets)]
+        right += (m.scores(np.zeros(len(own), int), own, 1)[0] >= 0.5) == y
+    assert right >= 970
+
+
+def test_toxicity_cases(spark, docs, prose):
+    texts = [(k, prose(60, k) + (" idiotic moronic" if k % 3 == 0 else "")) for k in range(90)]
+    labels = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k, _ in texts] * 2 + [(None, 1, 1), (4, 1, None)], "doc_id long, quality int, toxic int")
+    d = docs([*texts, *texts[:9], (500, " ".join(prose(5000, 3) for _ in range(40)) + " idiotic moronic"), *ODD])
+    m = toxicity.train(d, labels)
+    out = toxicity.score_toxicity(d, m).collect()
+    assert len(out) == 90 + 9 + 1 + len(ODD) and all(len({r["score"] for r in out if r["doc_id"] == k}) == 1 for k in range(9))
+    clean = toxicity.drop_toxic(d.withColumn("predicted", F.lit("clash")), m)
+    assert clean.columns == [*d.columns, "predicted"] and rows(clean, "doc_id", "text") == sorted([(r["doc_id"], r["text"]) for r in out if r["predicted"] == 0], key=str)
+    one_label = toxicity.train(d, labels.filter("toxic = 0"))
+    assert all(r["predicted"] == 0 for r in toxicity.score_toxicity(d, one_label).collect())
+
+
 # --- 9 ---
 
 PAGE = """<html><head><title>t</title><script>var a="<p>x</p>";</script></head><body><header>Site name</header><nav><ul><li><a href=/a>Home</a></ul></nav>
@@ -312,6 +511,53 @@ def test_main_text_without_an_article():
     assert got[0] == "Head" and len(got) == 5
 
 
+def test_main_text_needs_the_clusters(monkeypatch):
+    """Without classes or article elements the smoothed ratios alone tell the article from menus and notices."""
+    text = "".join(f"<p>{'some words of a paragraph ' * 9}{k}.</p>" for k in range(5))
+    menu = "<div><ul>" + "".join(f"<li><a href=/{k}>Menu entry {k}</a> <span>{k}</span></li>" for k in range(30)) + "</ul></div>"
+    html = f"<body>{menu}<div><h2>Head</h2>{text}</div>{menu}<div><p>small print</p></div></body>"
+    got = htmltext.main_text(html).split("\n")
+    assert got[0] == "Head" and len(got) == 6
+    monkeypatch.setattr(htmltext, "clusters", lambda even: [(0, len(even))])
+    monkeypatch.setattr(htmltext, "ratios", lambda lines: np.ones(len(lines)))
+    assert htmltext.main_text(html).split("\n") != got
+
+
+def test_smoothing_and_clusters_by_plain_loops():
+    import math
+
+    rng = random.Random(3)
+    for _ in range(50):
+        values = [rng.choice([0, 5, 80, 300]) for _ in range(rng.randint(1, 30))]
+        want = []
+        for i in range(len(values)):
+            weights = {j: math.exp(-0.5 * (i - j) ** 2) for j in range(len(values)) if abs(i - j) <= 3}
+            want.append(sum(w * values[j] for j, w in weights.items()) / sum(weights.values()))
+        even = htmltext.smooth(np.array(values, float))
+        assert even.tolist() == pytest.approx(want)
+        cut = max(0.5 * float(np.std(even)), 1e-9)
+        runs, at = [], None
+        for i, x in enumerate([*even.tolist(), -1]):
+            if x >= cut and at is None:
+                at = i
+            elif x < cut and at is not None:
+                runs.append((at, i))
+                at = None
+        assert htmltext.clusters(even) == runs
+
+
+def test_main_text_cases(spark):
+    deep = "<div>" * 60_000 + "deep text" + "</span>" * 2000 + "</div>" * 60_000
+    long = "<p>" + "word " * 400_000 + "</p>"
+    cases = [(1, "u", PAGE), (1, "u", PAGE), (None, None, "<p>no id"), (2, "u", deep), (3, "u", long), (4, "u", "<nav>only a menu</nav>")]
+    pages = spark.createDataFrame(cases, "page_id long, url string, html string").withColumns({"text": F.lit("clash"), "n_chars": F.lit(7)})
+    out = htmltext.extract_text(pages).collect()
+    by_id = {r["page_id"]: r for r in out}
+    assert len(out) == 6 and out[0]["text"] == out[1]["text"] and by_id[None]["text"] == "no id"
+    assert by_id[2]["text"] == "deep text" and by_id[3]["n_chars"] == 5 * 400_000 - 1 and by_id[4]["text"] == ""
+    assert htmltext.extract_text(pages.limit(0)).count() == 0
+
+
 # --- 10 ---
 
 

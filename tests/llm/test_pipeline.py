@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from newsignal.llm import bpe, quality, queries, toxicity
 from newsignal.llm.shared import table
@@ -29,6 +31,38 @@ def test_stages_against_a_plain_version(spark, small):
     assert got == {i: lib.encode_ordinary(texts[i]) for i in kept}
 
 
+def test_stages_keep_columns_and_define_every_case(spark, docs, prose, tmp_path):
+    """Nulls, empty texts, repeated rows, shared ids, clashing columns and empty tables, stage by stage."""
+    labels = spark.createDataFrame([(k, 1, 0) for k in [*range(20), *range(1000, 1060)]] + [(k, 0, 1) for k in range(20, 30)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, prose(30, 7777) + ". " + prose(8, 7778))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    same = prose(200, 1)
+    odd = [(None, prose(90, 50)), (None, prose(90, 50)), (900, None), (901, ""), (902, "few words"), (903, same), (903, same), (904, prose(100, 60)), (904, prose(100, 61))]
+    texts = [(k, prose(100, k) + (" ### $$$ idiotic" if k >= 20 else "")) for k in range(30)]
+    long = (905, " ".join(prose(3000, 70 + k) for k in range(40)))
+    clash = {"score": F.lit("mine"), "predicted": F.lit(7), "kept": F.lit("mine"), "llr": F.lit(None).cast("string"), "n_words": F.lit(-1), "component_id": F.lit(3), "leaked": F.array(F.lit(1)), "tags": F.create_map(F.lit("a"), F.lit(1))}
+    d = docs([*texts, *odd, long]).withColumns(clash)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, d, str(tmp_path))
+        got = [tuple(r[c] for c in ("doc_id",)) for r in out.collect()]
+        empty = stage(spark, d.limit(0), str(tmp_path))
+        assert empty.count() == 0
+        if name == "byte-level BPE":
+            assert len(got) == d.count()
+            continue
+        assert out.dtypes == d.dtypes and empty.columns == d.columns
+        assert all(r["score"] == "mine" and r["n_words"] == -1 and r["tags"] == {"a": 1} for r in out.collect())
+        ids = [i for (i,) in got]
+        if name == "n-gram Jaccard join":
+            assert ids.count(903) == 1 and ids.count(904) == 1 and ids.count(None) == 2 and {900, 901, 902, 905} <= set(ids)
+            again = [r["text"] for r in stage(spark, d.repartition(3), str(tmp_path)).filter("doc_id = 904").collect()]
+            assert again == [r["text"] for r in out.filter("doc_id = 904").collect()]
+        elif name == "quality rules":
+            assert not {900, 901, 902} & set(ids) and ids.count(None) in (0, 2)
+        else:
+            assert {900, 901, 902} <= set(ids) and ids.count(None) == 2 and ids.count(903) == 2 and 905 in ids
+
+
 def test_one_query_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality rules", "n-gram Jaccard join", "benchmark decontamination", "byte-level BPE"]
