@@ -44,8 +44,8 @@ SHARD_BYTES = 16 << 20
 #: Texts are tokenized together up to so many bytes; distinct words whose ids a worker keeps.
 BATCH_BYTES, CACHE = 2 << 20, 800_000
 _LOW = np.uint64(1 << 31)
-#: Characters beyond the Latin ones, and the one of them whose lower case is two characters.
-_OTHER, _SEPARATORS = re.compile("[^\u0000-\u024f]|\u0130"), re.compile("[\x1c-\x1f]")
+#: Characters that str.split takes for white space and the vocabulary's pattern doesn't.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 # The normaliser and the pattern of the lower-casing vocabulary.
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -177,11 +177,19 @@ def id_kind(size: int) -> np.dtype:
     return np.dtype("<u2" if size <= 1 << 16 else "<u4")
 
 
-def _byte_letters() -> list[str]:
+def _byte_letters() -> dict[int, str]:
     """The letter that byte-level vocabularies write for each byte: itself if it prints, else one from U+0100 on."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     rest = iter(range(0x100, 0x200))
-    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+    return {b: chr(b) if b in shown else chr(next(rest)) for b in range(256)}
+
+
+def beyond_latin(text: str) -> bool:
+    """Whether a text has a character beyond U+017F, after which lower case can leave the Latin blocks, or U+0130, which lower-cases to two."""
+    if text.isascii():
+        return False
+    units = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2")
+    return bool((units > 0x17F).any() or (units == 0x130).any())
 
 
 class WordTokenizer:
@@ -189,8 +197,8 @@ class WordTokenizer:
 
     For the lower-casing vocabulary with word ends, a text of Latin letters is split at white space,
     which no piece spans, its words are lowered and split by an expression equal to the vocabulary's
-    own (both act on single characters there), and the library's model encodes each distinct piece once.  Any other text, and any other vocabulary,
-    is encoded by the library as a whole.  With ``added``, what stands for an added token in a text becomes
+    own (both act on single characters there), and the library's model encodes each distinct piece
+    once.  Any other text, and any other vocabulary, is encoded by the library as a whole.  With ``added``, what stands for an added token in a text becomes
     that token, as the library does by default, and such a text is encoded by the library as a whole too.
     """
 
@@ -211,27 +219,28 @@ class WordTokenizer:
         letter, digit, space = latin_class(r"\p{L}"), latin_class(r"\p{N}"), latin_class(r"\s")
         self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^{space}{letter}{digit}]+").findall
         self.letters = _byte_letters()
+        self.raw = [k.to_bytes(self.kind.itemsize, "little") for k in range(self.size)]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one piece by the library's model, which writes bytes as letters; ASCII letters and signs stand for themselves."""
+        shown = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
+        ids = b"".join([self.raw[t.id] for t in self.tokenizer.model.tokenize(shown)])
+        if len(piece) <= 64:
+            self.pieces[piece] = ids
+        return ids
+
     def _word(self, word: str) -> bytes:
         """Ids of what stands between white space, piece by piece."""
-        out = []
-        for piece in self.split(word.lower()):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                shown = "".join([self.letters[b] for b in piece.encode()])
-                ids = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], self.kind).tobytes()
-                if len(piece) <= 64:
-                    self.pieces[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        known = self.pieces.get
+        return b"".join([known(p) or self._piece(p) for p in self.split(word.lower())])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of ``kind``."""
         # str.split would also cut at U+001C to U+001F; a text with one of them is taken as one word.
-        split = [None if self.plain or _OTHER.search(t) or (self.added and self.added(t)) else [t] if _SEPARATORS.search(t) else t.split() for t in texts]
+        split = [None if self.plain or beyond_latin(t) or (self.added and self.added(t)) else [t] if any(x in t for x in _SEPARATORS) else t.split() for t in texts]
         every = set().union(*(s for s in split if s))
         new = every.difference(self.words)
         if len(self.words) + len(new) > CACHE:

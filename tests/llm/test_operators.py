@@ -611,6 +611,19 @@ def test_token_file_query_reads_added_tokens_like_the_library(spark, docs, prose
     assert 49407 in lib.encode(texts[0], add_special_tokens=False).ids
 
 
+def test_every_latin_character_is_read_like_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, tok = Tokenizer.from_file(path), rans.WordTokenizer(path, added=True)
+    texts = [t for c in map(chr, range(1, 0x260)) for t in (c, f"a{c}b", f"{c} x", f"1{c}", f"{c}'s")]
+    rng = random.Random(1)
+    texts += ["".join(rng.choice("abcdeéßÉÑñ019 \n\t'.,!-_/<|>\x1c\x1f\x85\xa0İıǅſ½²sdmtlvreƁȺ") for _ in range(rng.randint(0, 60))) for _ in range(2000)]
+    for t, raw in zip(texts, tok.encode(texts), strict=True):
+        assert np.frombuffer(raw, tok.kind).tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_rans_blocks():
     rng = np.random.default_rng(5)
     counts = np.zeros(1000, np.int64)
