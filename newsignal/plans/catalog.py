@@ -288,11 +288,11 @@ def entity_salience(spark, d):
     return mentions(spark, d).drop("source_name")
 
 
-@query("WITH" + _MENTIONS + "SELECT lower(entity) AS entity, count(DISTINCT doc_id) AS n_articles, count(DISTINCT source_name) AS n_sources, round(CAST(sum(CAST(salience AS DECIMAL(18, 4))) AS DOUBLE) / count(*), 4) AS avg_salience FROM s GROUP BY lower(entity) HAVING count(DISTINCT doc_id) >= 2 AND sum(CAST(salience AS DECIMAL(18, 4))) >= 0.30 * count(*)")
+@query("WITH" + _MENTIONS + "SELECT lower(entity) AS entity, count(DISTINCT doc_id) AS n_articles, count(DISTINCT source_name) AS n_sources, ((2 * CAST(sum(CAST(salience AS DECIMAL(18, 4))) * 10000 AS BIGINT) + count(*)) // (2 * count(*))) / 10000 AS avg_salience FROM s GROUP BY lower(entity) HAVING count(DISTINCT doc_id) >= 2 AND sum(CAST(salience AS DECIMAL(18, 4))) >= 0.30 * count(*)")
 def entity_groups(spark, d):
     g = mentions(spark, d).groupBy(F.lower("entity").alias("entity")).agg(F.count_distinct("doc_id").alias("n_articles"), F.count_distinct("source_name").alias("n_sources"), F.sum(F.col("salience").cast("decimal(18,4)")).alias("total"), F.count("*").alias("n"))
     # Sums of the rounded values are exact, so their order doesn't show.
-    return g.filter("n_articles >= 2 and total >= 0.30 * n").select("entity", "n_articles", "n_sources", F.round(F.col("total").cast("double") / F.col("n"), 4).alias("avg_salience"))
+    return g.filter("n_articles >= 2 and total >= 0.30 * n").select("entity", "n_articles", "n_sources", (F.expr("(2 * cast(total * 10000 as bigint) + n) div (2 * n)") / 10000).alias("avg_salience"))
 
 
 @query("WITH" + _MENTIONS + ", g AS (SELECT lower(entity) AS entity FROM s GROUP BY lower(entity) HAVING count(DISTINCT doc_id) >= 2 AND sum(CAST(salience AS DECIMAL(18, 4))) >= 0.30 * count(*)) SELECT doc_id FROM articles WHERE doc_id NOT IN (SELECT doc_id FROM s JOIN g ON lower(s.entity) = g.entity)")
