@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsignal.functions import text as T
 from newsignal.operators import dedup, learning, rank, search, store
-from newsignal.plans import business, catalog, leads, runs, stories  # noqa: F401  the others add their queries to the catalog
+from newsignal.plans import business, catalog, leads, runs, sheets, stories  # noqa: F401  the others add their queries to the catalog
 from newsignal.sources.tables import first_nonempty, latest_complete, read_log
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
