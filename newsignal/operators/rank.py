@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Entries of good, usual and poor sources.
+TIERS = (100, 50, 15)
+
 
 def top_per_key(df: DataFrame, key: str, order: list[Column], most: int | Column, rank: str = "rank") -> DataFrame:
     """At most ``most`` rows of each key in the given order, with their rank."""
@@ -31,7 +34,8 @@ def quartile_caps(stats: DataFrame, value: str, base: int) -> DataFrame:
 
 def tier_cap(posterior: Column) -> Column:
     """100 entries for a good source, 15 for a poor one, else 50."""
-    return F.when(posterior > 0.70, 100).when(posterior < 0.40, 15).otherwise(50)
+    good, usual, poor = TIERS
+    return F.when(posterior > 0.70, good).when(posterior < 0.40, poor).otherwise(usual)
 
 
 def fail_open(df: DataFrame, passes: Column, order: list[Column], most: int) -> DataFrame:

@@ -57,7 +57,8 @@ def source_tier_cap(spark, d):
     e = table(spark, d, "events").select("event_id", "event_type", "ts", "value")
     post = e.groupBy("event_type").agg(F.avg(F.when(F.col("value") > 50, 1.0).otherwise(0.0)).alias("posterior"))
     capped = e.join(post.withColumn("cap", rank.tier_cap(F.col("posterior"))), "event_type")
-    return rank.top_per_key(capped, "event_type", [F.desc("ts"), F.col("event_id")], F.col("cap")).select("event_id", "event_type", "cap", "rank")
+    top = rank.top_per_key(capped, "event_type", [F.desc("ts"), F.col("event_id")], max(rank.TIERS))  # the largest cap: a limit that is pushed before the shuffle
+    return top.filter("rank <= cap").select("event_id", "event_type", "cap", "rank")
 
 
 @query("""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -137,14 +136,14 @@ def dataset_stats(spark, d):
 
 
 @query("""
-WITH b AS (SELECT l.doc_id, quality, md5(substring(text, 1, 512)) AS h FROM labels l JOIN documents USING (doc_id)), d AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id) AS r FROM b), u AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY doc_id) AS k FROM d WHERE r = 1),
-m AS (SELECT min(n) AS least FROM (SELECT count(*) AS n FROM u GROUP BY quality)) SELECT doc_id, quality FROM u, m WHERE k <= 2 * least""")
+WITH b AS (SELECT l.doc_id, quality, md5(text) AS h FROM labels l JOIN documents USING (doc_id)), d AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id) AS r FROM b), u AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY doc_id) AS k FROM d WHERE r = 1),
+m AS (SELECT min(n) AS least FROM (SELECT count(*) AS n FROM u GROUP BY quality)) SELECT doc_id, quality FROM u, m WHERE k <= 2 * least AND k <= 5000""")
 def balanced_labels(spark, d):
-    """Distinct labelled texts, no class more than twice as large as the other (the first by id stay)."""
+    """Distinct labelled texts, no class more than twice as large as the other nor than the whole set may be (the first by id stay)."""
     b = table(spark, d, "labels").select("doc_id", "quality").join(table(spark, d, "documents").select("doc_id", F.md5("text").alias("h")), "doc_id")
     once = rank.first_of(b, ["h"], [F.col("doc_id")])
     least = once.groupBy("quality").count().agg(F.min("count").alias("least"))
-    numbered = once.withColumn("k", F.row_number().over(Window.partitionBy("quality").orderBy("doc_id")))
+    numbered = rank.top_per_key(once, "quality", [F.col("doc_id")], 5000, "k")  # a limit that is pushed before the shuffle
     return numbered.join(F.broadcast(least)).filter("k <= 2 * least").select("doc_id", "quality")
 
 
