@@ -19,9 +19,11 @@ from .shared import table
 from .textkit import slices
 
 #: Distinct pieces whose encoding a worker keeps, and the longest that is kept, in bytes.
-CACHE, CACHED_PIECE = 500_000, 64
+CACHE, CACHED_PIECE = 250_000, 64
+#: Neighbours that a worker remembers.
+PAIRS = 300_000
 #: Texts are worked on together up to so many bytes.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 # Fixed value: the usual pattern of byte-level vocabularies.
 _BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -75,7 +77,7 @@ class Vocabulary:
         """Whether merging the bytes of a and b gives a, b again."""
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) >= 500_000:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             known = self.pairs[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return known

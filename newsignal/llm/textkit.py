@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 4 << 20
+SLICE = 1 << 20
 _SEG = 1 << 16
 _MASK = (1 << 64) - 1
 _U = np.uint64
