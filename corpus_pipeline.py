@@ -7,37 +7,64 @@ again as the next one's docs.  All but the last return the columns of ``document
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from newsignal.llm import bpe, decontam, jaccard, quality, toxicity
-from newsignal.llm.shared import materialise, table
+from newsignal.llm.shared import Workspace, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine predicts to be toxic go."""
-    scored = toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
-    return scored.filter("predicted = 0").select(*docs.columns)
+    """Documents that the factorization machine predicts to be toxic go.
+
+    Null and empty texts get the score of the bias, which is near the share of toxic labels, and so
+    stay unless toxic labels abound; a very long text is scored whole;
+    repeated rows stay or go together; a score just at the threshold is toxic; columns of any name
+    are left as they are; no documents give none.
+    """
+    return toxicity.drop_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    rated = quality.rate_quality(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
-    return rated.filter("kept").select(*docs.columns)
+    """Documents that the quality rules reject go.
+
+    Null and empty texts have no words, which the base rules reject; a very long text is rated
+    whole; repeated rows stay or go together; a ratio just at the threshold is kept; columns of any
+    name are left as they are; no documents give none.
+    """
+    return quality.drop_rejected(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays; rows without one all stay."""
+    """Of each group of linked documents the one with the smallest doc_id stays.
+
+    Null, empty and wordless texts link with nothing and stay, as do rows without a doc_id; of
+    rows that share a doc_id, repeated or with different texts, the one with the least hash of its
+    columns stays (maps, which have none, are left out of it); a very long text is compared whole;
+    columns of any name are left as they are; no documents give none.
+    """
     first = jaccard.link_documents(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.filter("doc_id is not null").join(first.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    rows = docs.filter("doc_id is not null").join(first.hint("merge"), "doc_id", "left_semi")
+    hashed = F.xxhash64(*[f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+    once = rows.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), hashed).alias("row")).select("row.*")
+    return once.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold question and answer of a benchmark item go."""
+    """Documents that hold question and answer of a benchmark item go.
+
+    Null and empty texts hold none and stay; a very long text is searched passage by passage;
+    repeated rows stay or go together; overlaps just at the bounds count as leaks; columns of any
+    name are left as they are; no documents give none, an empty benchmark takes none.
+    """
     return decontam.drop_leaked(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, the ids of the whole text, and their digests."""
+    """doc_id, the ids of the whole text, and their digests: a row for each row.
+
+    A null or empty text has no ids; a very long text is encoded whole; repeated rows are encoded
+    alike; a null doc_id stays null; other columns are left out; no documents give no rows.
+    """
     return bpe.encode_texts(docs.select("doc_id", "text"), *bpe.public_vocabulary()).drop("text")
 
 
@@ -54,8 +81,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``; each stage's table goes when the next one has been written."""
+    work = Workspace(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = work.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        work.drop_all_but(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
