@@ -94,6 +94,8 @@ def telling_pairs(rows: list[tuple[int, np.ndarray]], z: np.ndarray, seen: np.nd
     share = seen / len(rows)
     some = np.argsort(-(share * (1 - share)), kind="stable")[:PAIRED]
     some = np.sort(some[seen[some] >= LEAST_DOCS])
+    if not len(some):
+        return some
     place = np.full(len(seen), -1)
     place[some] = np.arange(len(some))
     both = np.zeros((2, len(some), len(some)), np.float32)
@@ -124,8 +126,9 @@ def fit(rows: list[tuple[int, np.ndarray]], totals: tuple[int, int], epochs: int
     if not pos or not neg:
         return Machine(float(np.log(prior / (1 - prior))), none, np.empty(0), np.empty((0, RANK)))
     size = 1 << BITS
-    toxic = np.bincount(np.concatenate([b for l, b in rows if l]), minlength=size)[:size].astype(float)
-    clean = np.bincount(np.concatenate([b for l, b in rows if not l]), minlength=size)[:size].astype(float)
+    toxic, clean = np.zeros(size), np.zeros(size)
+    for label, bucket in rows:
+        (toxic if label else clean)[bucket] += 1  # buckets of a row are distinct
     z = _z(toxic, clean, pos, neg)
     buckets = np.flatnonzero((np.abs(z) >= LEAST_Z) & (toxic + clean >= LEAST_DOCS))
     buckets = np.union1d(buckets, telling_pairs(rows, z, toxic + clean, pos, neg))
@@ -185,13 +188,15 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
     # Of rows that share a doc_id one is taken, so the driver gets at most toxic_rows + clean_rows.
     once = texts.mapInArrow(features, "doc_id long, toxic int, key long, buckets binary").groupBy("doc_id", "toxic").agg(F.min(F.struct("key", "buckets")).alias("x"))
     got = once.select("doc_id", "toxic", "x.key", "x.buckets").toArrow()
-    rows = sorted(zip(*(got.column(c).to_pylist() for c in ("doc_id", "toxic", "key", "buckets")), strict=True))
+    ids, toxic, key = (got.column(c).to_numpy() for c in ("doc_id", "toxic", "key"))
+    packed = got.column("buckets").combine_chunks()
+    packed = packed if isinstance(packed, pa.Array) else packed.chunk(0)
     seen: set[tuple[int, int]] = set()
     kept = []
-    for _, toxic, key, own in rows:  # one of near copies is enough
-        if key == -1 or (toxic, key) not in seen:
-            seen.add((toxic, key))
-            kept.append((int(toxic > 0), np.frombuffer(own, np.uint32).astype(np.int64)))
+    for k in np.argsort(ids, kind="stable").tolist():  # one of near copies is enough
+        if key[k] == -1 or (toxic[k], key[k]) not in seen:
+            seen.add((toxic[k], key[k]))
+            kept.append((int(toxic[k] > 0), np.frombuffer(packed[k].as_buffer(), np.uint32)))  # views of what Arrow holds
     return fit(kept, (counts.get(False, 0), counts.get(True, 0)))
 
 
