@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, htmltext, jaccard, licenses, quality, rans, toxicity, urls
+from . import bpe, chat, decontam, htmltext, infill, jaccard, licenses, lines, quality, rans, runs, toxicity, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,8 +15,13 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_main_text": htmltext.op9_main_text,
     "op10_token_files": rans.op10_token_files,
+    "op11_periodic_runs": runs.op11_periodic_runs,
+    "op12_line_dedup": lines.op12_line_dedup,
+    "op13_fill_in_middle": infill.op13_fill_in_middle,
 }
 ORACLES = {
     "op2_license_scan": licenses.oracle_sql,
     "op4_chat_perspectives": lambda: chat.ORACLE_SQL,
+    "op12_line_dedup": lambda: lines.ORACLE_SQL,
+    "op13_fill_in_middle": lambda: infill.ORACLE_SQL,
 }
