@@ -218,6 +218,37 @@ def test_jaccard_of_one_large_group(spark, docs, prose, monkeypatch, short, bloc
     assert out == want and len({c for _, c in want.values()}) > 5
 
 
+def brute_documents(texts):
+    """Components of documents: texts that link, and rows that share a doc_id, belong together."""
+    by_row = brute_components([(k, t) for k, (_, t) in enumerate(texts)])
+    ids = {k: i for k, (i, _) in enumerate(texts)}
+    top = {i: i for i in ids.values()}
+    while True:
+        before = dict(top)
+        for k, (n, c) in by_row.items():
+            if n:
+                least = min(top[ids[k]], top[ids[c]])
+                top[ids[k]] = top[ids[c]] = least
+        if top == before:
+            return sorted((ids[k], n, top[ids[k]] if n else ids[k]) for k, (n, _) in by_row.items())
+
+
+def test_jaccard_of_rows_that_share_a_doc_id(spark, docs, prose):
+    x, y, z = prose(40, 1), prose(40, 2), prose(40, 3)
+    five = [(3, x), (5, x + " more"), (5, y), (7, y + " more"), (9, z)]
+    assert [r[2] for r in rows(jaccard.link_documents(docs(five)), "doc_id", "n_shingles", "component_id")] == [3, 3, 3, 3, 9]
+    rng = random.Random(12)
+    texts = []
+    for k in range(160):
+        words = prose(60, rng.randrange(45)).split()
+        for _ in range(rng.choice([0, 0, 1, 2, 3])):
+            words[rng.randrange(len(words))] = "w" + str(rng.randrange(30))
+        texts.append((rng.randrange(110), " ".join(words)))
+    texts += [(5, ""), (6, None), *texts[:10]]
+    got = rows(jaccard.link_documents(docs(texts)), "doc_id", "n_shingles", "component_id")
+    assert sorted(got) == brute_documents(texts) and len({c for _, _, c in got}) > 3
+
+
 def test_jaccard_of_a_very_long_text(spark, docs, prose):
     long = prose(60_000, 5)
     texts = [(1, long), (2, long + " tail of it"), (3, prose(60_000, 6)), (4, long[: len(long) // 2])]
