@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsignal.llm import bpe, decontam, jaccard, quality, toxicity
-from newsignal.llm.shared import Workspace, table
+from newsignal.llm.shared import WORD, Workspace, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,18 +35,21 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays.
+    """Of each group of linked texts the row with the smallest doc_id stays.
 
-    Null, empty and wordless texts link with nothing and stay, as do rows without a doc_id; of
-    rows that share a doc_id, repeated or with different texts, the one with the least hash of its
-    columns stays (maps, which have none, are left out of it); a very long text is compared whole;
-    columns of any name are left as they are; no documents give none.
+    Null, empty and wordless texts link with nothing and stay, as do rows without a doc_id; rows
+    that share a doc_id are judged by their own texts, of which the one with the least hash goes
+    first; of repeated rows and of rows that share doc_id and text, the one with the least hash of
+    its columns stays (maps, which have none, are left out of it); a very long text is compared
+    whole; columns of any name are left as they are; no documents give none.
     """
-    first = jaccard.link_documents(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.filter("doc_id is not null").join(first.hint("merge"), "doc_id", "left_semi")
+    first = jaccard.first_of_each(docs).withColumnsRenamed({"doc_id": "_first_id", "key": "_first_key"})
+    linkable = F.col("doc_id").isNotNull() & F.coalesce("text", F.lit("")).rlike(WORD)
+    key = jaccard.text_key(F.col("text"))
+    rows = docs.filter(linkable).join(first.hint("merge"), (F.col("doc_id") == F.col("_first_id")) & (key == F.col("_first_key")))
     hashed = F.xxhash64(*[f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
-    once = rows.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), hashed).alias("row")).select("row.*")
-    return once.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    once = rows.groupBy("_first_id", "_first_key").agg(F.min_by(F.struct(*docs.columns), hashed).alias("_row")).select("_row.*")
+    return once.unionByName(docs.filter(~linkable)).select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
