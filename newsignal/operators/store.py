@@ -3,19 +3,62 @@
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a reliable checkpoint, in the folder that ``spark.checkpoint.dir`` names; local sessions without one get their own."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        context.setCheckpointDir(f"/tmp/checkpoints/newsignal-core-{os.getpid()}")
-    return df.checkpoint()
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which driver and executors share; local sessions without one get their own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return f"file:///tmp/checkpoints/newsignal-core-{os.getpid()}"
+
+
+class Scratch:
+    """Tables between the steps of one operator, in the shared folder: they cut the lineage, survive lost executors, and are deleted when told."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths = spark, f"{shared_folder(spark)}/newsignal/scratch-{uuid.uuid4().hex}", {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` and read it back."""
+        path = f"{self.folder}/{len(self.paths)}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[path] = out
+        return out
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        """Delete the files of all tables but these, which a result still reads."""
+        jvm = self.spark.sparkContext._jvm
+        for path, df in self.paths.items():
+            if df is not None and not any(df is t for t in tables):
+                place = jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+                self.paths[path] = None
+
+
+#: A key in more than a fraction 1 / HOT of all rows is a hot one, so there are fewer than HOT of them.
+HOT = 1024
+
+
+def join_counted(rows: DataFrame, counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``counts`` (one row a key; ``n``: how many of the ``total`` rows have the key), inner.
+
+    Hot keys, fewer than HOT by their definition, are looked up in a broadcast table, so no key
+    takes more than a fraction 1 / HOT of the rows through the shuffle.
+    """
+    others = [c for c in counts.columns if c != key]
+    hot = counts.filter(F.col(n) * HOT > total).withColumn("_hot", F.lit(True))
+    marked = rows.join(F.broadcast(hot), key, "left")
+    often = marked.filter("_hot").select(*rows.columns, *others)
+    seldom = marked.filter("_hot is null").select(*rows.columns).join(counts.filter(F.col(n) * HOT <= total).hint("merge"), key).select(*rows.columns, *others)
+    return often.unionByName(seldom)
 
 
 def filled(name: str, side: str):

@@ -239,7 +239,7 @@ _WORDS = "WITH d AS (SELECT min(doc_id) AS id, text AS body FROM documents GROUP
 def tfidf_pairs(spark, d):
     """All pairs of different texts with a TF-IDF cosine (words and pairs of words) of 0.7 or more; equal texts stand for one, the first."""
     docs = table(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("id"))
-    return dedup.similar_pairs(dedup.tfidf(docs, "id", F.col("text")), "id", 0.7).withColumn("cosine", F.round("cosine", 6))
+    return dedup.similar_pairs(docs, "id", F.col("text"), 0.7).withColumn("cosine", F.round("cosine", 6))
 
 
 # The greedy pass in SQL: a recursive walk in time order, which keeps a row if no kept one is similar.

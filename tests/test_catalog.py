@@ -2,6 +2,9 @@
 
 import datetime
 import math
+import random
+import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -67,13 +70,75 @@ def test_fail_open_takes_the_best_when_none_passes(spark):
 def test_similar_pairs_are_exact(spark):
     texts = ["alpha beta gamma delta", "alpha beta gamma delta", "alpha beta gamma", "other words here now", "the the the the", ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
-    weights = dedup.tfidf(docs, "id", F.col("text"))
-    got = {(r["a"], r["b"]): r["cosine"] for r in dedup.similar_pairs(weights, "id", 0.5).collect()}
-    vectors = {}
-    for r in weights.collect():
-        vectors.setdefault(r["id"], {})[r["token"]] = r["weight"]
-    want = {(a, b): sum(w * vectors[b].get(t, 0) for t, w in vectors[a].items()) for a in vectors for b in vectors if a < b}
-    assert got == pytest.approx({k: v for k, v in want.items() if v >= 0.5})
+    got = {(r["a"], r["b"]): r["cosine"] for r in dedup.similar_pairs(docs, "id", F.col("text"), 0.5).collect()}
+    assert got == pytest.approx({k: v for k, v in plain_cosines(dict(enumerate(texts))).items() if v >= 0.5})
+
+
+def plain_cosines(texts):
+    """TF-IDF cosines of all pairs of texts by plain loops."""
+    tokens = {}
+    for i, t in texts.items():
+        w = re.findall(r"\w{2,}", (t or "").lower())
+        tokens[i] = Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+    df = Counter(t for c in tokens.values() for t in c)
+    idf = {t: math.log((1 + len(texts)) / (1 + n)) + 1 for t, n in df.items()}
+    weight = {i: {t: n * idf[t] for t, n in c.items()} for i, c in tokens.items()}
+    norm = {i: math.sqrt(sum(x * x for x in w.values())) or 1.0 for i, w in weight.items()}
+    return {(a, b): sum(x * weight[b].get(t, 0) for t, x in weight[a].items()) / norm[a] / norm[b] for a in texts for b in texts if a < b}
+
+
+def plain_greedy(texts, least):
+    """Keys that stay: equal texts once, then the earlier of two similar ones."""
+    once = {}
+    for i, t in sorted(texts, key=lambda x: x[0]):
+        once.setdefault(t, i)
+    cos, stay = plain_cosines({i: t for t, i in once.items()}), []
+    for i in sorted(once.values()):
+        if not any(cos[a, i] >= least for a in stay):
+            stay.append(i)
+    return set(stay)
+
+
+def noisy_texts(seed, n):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6))) for _ in range(120)]
+    bases = [[rng.choice(words) for _ in range(rng.randint(5, 40))] for _ in range(n // 6)]
+    out = []
+    for k in range(n):
+        w = rng.choice(bases)[:]
+        for _ in range(rng.choice([0, 0, 1, 2, 4, 7])):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        out.append((k, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("cap, least", [(32, 0.7), (1, 0.7), (2, 0.5), (3, 0.85)])
+def test_near_duplicates_equal_a_plain_greedy_pass(spark, monkeypatch, cap, least):
+    monkeypatch.setattr(dedup.similar_losers, "__defaults__", (cap,))
+    monkeypatch.setattr(dedup, "CHUNK", 7)
+    texts = [*noisy_texts(cap, 90), (200, ""), (201, None), (202, ""), (203, None), (204, "same words"), (205, "same words"), (206, "a b c")]
+    docs = spark.createDataFrame(texts, "id long, text string").withColumn("t", F.lit("clash"))
+    got = dedup.drop_near_duplicates(docs, "id", F.col("text"), least)
+    assert got.columns == ["id", "text", "t"] and {r["id"] for r in got.collect()} == plain_greedy(texts, least)
+    assert dedup.drop_near_duplicates(docs.limit(0), "id", F.col("text"), least).count() == 0
+
+
+def test_many_copies_of_one_text_make_few_pairs(spark, monkeypatch):
+    rng = random.Random(1)
+    base = [f"word{k}" for k in range(400)]
+    texts = []
+    for k in range(500):
+        w = base[:]
+        w[rng.randrange(400)] = f"own{k}"
+        texts.append((k, " ".join(w)))
+    made = []
+    plain = dedup.meeting_pairs
+    monkeypatch.setattr(dedup, "meeting_pairs", lambda *a: made.append(plain(*a)) or made[-1])
+    docs = spark.createDataFrame(texts, "id long, text string")
+    work = store.Scratch(spark)
+    lost = dedup.similar_losers(dedup.vectors(docs, "id", F.col("text"), work), 0.7, work)
+    assert {r["id"] for r in lost.collect()} == set(range(1, 500))
+    assert sum(m.count() for m in made) < 500 * dedup.CAP  # all pairs are 124,750
 
 
 def test_merge_lists_looks_at_every_key(spark):
