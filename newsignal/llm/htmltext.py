@@ -183,18 +183,14 @@ def main_text(html: str) -> str:
             held[parents[k]] += held[k]
     need = REGION_SHARE * mass[first:last].sum() - 1e-9
     region = max((k for k in range(len(kinds)) if held[k] >= need), default=-1)  # a later one lies further in
-    around = region
-    while around >= 0 and kinds[around] not in ("article", "main"):
-        around = parents[around]
-    region = around if around >= 0 else region  # a section of an article is no article
     inside = [region < 0] * len(kinds)
     for k in range(max(region, 0), len(kinds)):
         inside[k] = k == region or inside[k] or parents[k] >= 0 and inside[parents[k]]
     kept = [k for k, x in enumerate(lines) if not x.apart and (inside[x.place] if x.place >= 0 else region < 0)]
-    if around < 0:  # no element says where the article ends: links at the edges, outside the cluster, are menus
-        link = lambda k: lines[k].linked > LINK_SHARE * len(lines[k].text) and not first <= k < last
-        text = [k for k in kept if not link(k)] or kept
-        kept = [k for k in kept if text[0] <= k <= text[-1]]
+    # Links at the edges of the region, outside the cluster, are menus.
+    link = lambda k: lines[k].linked > LINK_SHARE * len(lines[k].text) and not first <= k < last
+    text = [k for k in kept if not link(k)] or kept
+    kept = [k for k in kept if text[0] <= k <= text[-1]]
     return "\n".join(lines[k].text for k in kept)
 
 
@@ -204,7 +200,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     Parser events give one line for each block.  Its text-to-tag ratio is smoothed over the
     neighbours by a Gaussian, and runs of lines above a threshold are clusters.  The cluster with
     the most text, weighted by its ratio, selects the region: the innermost element that holds most
-    of it, or the article element around that.  All blocks of the region count, short ones too, but
+    of it, whatever its name; links at its edges are left out.  All blocks of the region count, short ones too, but
     for the parts that the page itself names as none of the article, by an element, a role or a
     class: menus, headers, footers, sidebars, notices, adverts, forms, reader comments.
 

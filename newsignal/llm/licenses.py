@@ -83,8 +83,8 @@ _COPYRIGHT_LINE = (
 _PUNCTUATION = r"[^a-z0-9\x80-\x{10FFFF}]+"
 #: The copyright pattern eats the line break that a following copyright line starts with, so it runs this often.
 _PASSES = 2
-#: Words that the spellings add to a text at most, and take away, for each one-word spelling: lines are looked up by their count first.
-_MORE_WORDS = 3
+#: One-word spellings that become two words; all others keep the number of words.
+_LONGER = [old for old, new in SPELLINGS if new.count(" ") > old.count(" ")]
 
 
 def _without_copyright(c: Column) -> Column:
@@ -106,6 +106,13 @@ def _spelt(words: Column) -> Column:
     return F.trim(F.regexp_replace(c, " +", " "))
 
 
+def _n_words(words: Column) -> Column:
+    """How many words a line has once it is spelt: a cheap and exact test of which known texts it can be."""
+    longer = F.regexp_count(words, F.lit(f"(?<![^ ])({'|'.join(_LONGER)})(?![^ ])"))
+    rare = F.coalesce(*[F.when(words.contains(w), longer) for w in _LONGER], F.lit(0))
+    return F.length(words) - F.length(F.replace(words, F.lit(" "), F.lit(""))) + 1 + rare
+
+
 def canonical(c: Column) -> Column:
     """Text that two copies of a licence share: lower case, no copyright lines, no punctuation, one spelling."""
     return _spelt(_words(_without_copyright(F.coalesce(c, F.lit("")))))
@@ -151,13 +158,13 @@ def scan_licenses(docs: DataFrame, known: DataFrame) -> DataFrame:
     only counted for it; repeated rows are repeated; rows that share a doc_id share their notices;
     extra columns are ignored.  A known table without rows matches nothing; no documents give no rows.
     """
-    sizes = sorted({n + k for (n,) in known.select("n_words").distinct().collect() for k in range(-_MORE_WORDS, _MORE_WORDS + 1)})  # a set of small numbers
+    sizes = sorted(n for (n,) in known.select("n_words").distinct().collect())  # small numbers: no more than words of the longest licence
     known = known.select(F.col("license_digest").alias("_known"), "license_id")
     docs = docs.select("doc_id", F.col("text").alias("_text"))
     whole = docs.select("doc_id", F.sha2(canonical(F.col("_text")), 256).alias("digest")).join(known, F.col("digest") == F.col("_known"), "left").drop("_known")
     lines = docs.filter("doc_id is not null").select("doc_id", F.explode(F.split(F.col("_text"), "\n")).alias("_line"))
     lines = lines.select("doc_id", _words(F.col("_line")).alias("_words"))
-    likely = lines.filter((F.length("_words") - F.length(F.replace(F.col("_words"), F.lit(" "), F.lit(""))) + 1).isin(sizes))
+    likely = lines.filter(_n_words(F.col("_words")).isin(sizes))
     hits = likely.select("doc_id", F.sha2(_spelt(F.col("_words")), 256).alias("_d")).join(known, F.col("_d") == F.col("_known"))
     found = hits.groupBy("doc_id").agg(F.count("*").alias("n_notices"), F.array_join(F.sort_array(F.collect_set("license_id")), ",").alias("notices"))
     return whole.join(found, "doc_id", "left").withColumns({"n_notices": F.coalesce("n_notices", F.lit(0)).cast("long"), "notices": F.coalesce("notices", F.lit(""))})

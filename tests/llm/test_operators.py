@@ -122,6 +122,14 @@ def test_license_spelling_of_neighbours_and_copyright_lines():
     assert licenses.canonical_text("a\nCopyright Jane Doe\nCopyright (c) The Authors\n© X\n(c) You must retain\nCOPYRIGHT HOLDERS and") == "a c you must retain copyright holders and"
 
 
+def test_license_lines_whose_number_of_words_changes_by_spelling(spark, docs):
+    text = "One percent of percent percent noncommercial work and percent of it under this licence"
+    known = licenses.known_licenses(spark, [("X", text)], [])
+    d = docs([(1, text), (2, "before\n" + text.replace("percent", "per cent").replace("noncommercial", "Non-Commercial") + "\nafter"), (3, "x\n" + text.upper()), (4, text + " percents"), (5, "noncommercial\n" + text.replace("percent", "per cent", 2))])
+    out = {r["doc_id"]: (r["license_id"], r["n_notices"]) for r in licenses.scan_licenses(d, known).collect()}
+    assert out == {1: ("X", 1), 2: (None, 1), 3: (None, 1), 4: (None, 0), 5: (None, 1)}
+
+
 def test_long_licenses_are_known(spark, docs):
     import os
 
