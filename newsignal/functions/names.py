@@ -1,36 +1,10 @@
-"""Entity names and model answers: cleaning rules as column expressions."""
+"""Model answers: repair and reading as column expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Short lists of this function's own: what may stand before or after a name without being part of it.
-LEADING = ["the", "a", "an", "mr", "mrs", "ms", "dr", "ceo", "president", "minister"]
-TRAILING = ["says", "said", "announces", "launches", "reports", "plans", "wins", "news", "today"]
-# And single words that name nothing.
-GENERIC = ["company", "government", "market", "report", "today", "monday", "group", "bank"]
-#: Passes of the trailing rules: a name has at most four words, so nothing is left to strip after as many.
-PASSES = 4
-
-
-def clean_name(name: Column) -> Column:
-    """A name without possessive, brackets, titles, trailing verbs, years and digits; empty if nothing, a generic word or over four words remain."""
-    n = F.trim(F.regexp_replace(F.regexp_replace(name, r"\([^)]*\)", " "), r"['’]s\b", ""))
-    n = F.regexp_replace(n, " +", " ")
-    n = F.regexp_replace(n, f"(?i)^(({'|'.join(LEADING)})[.]? )+", "")
-    n = F.regexp_replace(n, f"(?i)( ({'|'.join(TRAILING)}|[0-9]+|-[^ ]*)){{1,{PASSES}}}$", "")
-    n = F.trim(F.regexp_replace(n, "[.,;:!?]+$", ""))
-    words = F.size(F.split(n, " "))
-    return F.when((F.length(n) < 2) | (words > 4) | F.lower(n).isin(GENERIC), "").otherwise(n)
-
-
-def description_not_name(name: Column) -> Column:
-    """Whether a text describes companies instead of naming one: over eight words, ``Top N``, or words for many."""
-    words = F.split(F.lower(name), " +")
-    many = F.arrays_overlap(words, F.array(*map(F.lit, ["companies", "firms", "startups", "various", "several", "multiple", "providers", "players"])))
-    return F.coalesce((F.size(words) > 8) | many | F.lower(name).rlike(r"^top [0-9]+"), F.lit(False))
-
 
 def repaired_json(text: Column) -> Column:
     """The outermost object of a model's answer: what stands around it is dropped, and what is open at the end is closed in order.

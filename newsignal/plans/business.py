@@ -1,8 +1,4 @@
-"""Queries of companies, contacts, stories and leads on small tables with their columns.
-
-Rules on single rows are compared with results that were worked out by hand (the column ``said``);
-joins, groups and windows with SQL.
-"""
+"""Rules on companies, contacts, stories and leads as functions of DataFrames; ``signals`` has their queries on the base tables."""
 
 from __future__ import annotations
 
@@ -10,121 +6,49 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import business as B
-from .fixtures import fixture, on
 
 # --- names, domains, stories: rules on rows ------------------------------------------------------
 
-DOMAINS = fixture("domains", "id int, said string, value string", [
-    (1, "delhivery.com", "https://www.delhivery.com/about"), (2, "zomato.com", "www.zomato.com"), (3, "infosys.com", "see infosys.com for more"), (4, None, "Infosys Ltd"),
-    (5, "example.org", "mail us at info.example.org"), (6, None, ""), (7, "shop.acme.io", "http://shop.acme.io:443/x".replace(":443", "")), (8, "acme.co", "  acme.co  "),
-])
-
 
-@on(DOMAINS, sql="SELECT id, said AS domain FROM domains")
 def clean_domains(t: DataFrame) -> DataFrame:
     return t.select("id", B.clean_domain(F.col("value")).alias("domain"))
 
 
-VALID = fixture("hosts", "id int, said boolean, value string", [
-    (1, True, "delhivery.com"), (2, False, "linkedin.com"), (3, False, "in.linkedin.com"), (4, False, "a.b"), (5, False, "army.mil"), (6, True, "notlinkedin.com"), (7, False, "localhost"), (8, False, None), (9, False, "shop.example"), (10, True, " Acme.IO "),
-])
-
-
-@on(VALID, sql="SELECT id, said AS valid FROM hosts")
 def valid_domains(t: DataFrame) -> DataFrame:
     return t.select("id", B.valid_domain(F.col("value")).alias("valid"))
 
 
-COMPANIES = fixture("companies", "name string, said string", [
-    ("Delhivery Pvt Ltd", "delhivery.com"), ("Zomato", "zomato.com"), ("Tata Consultancy Services", "tataconsultancy.com"), ("Acme Software Systems", "acmesoftware.com"), ("Acme Systems Software", "acme.com"), ("X", None), ("A&B Corp.", "ab.com"), ("Ltd", "ltd.com"),
-])
-
-
-@on(COMPANIES, sql="SELECT name, said AS domain FROM companies")
 def guessed_domains(t: DataFrame) -> DataFrame:
     return t.select("name", B.guess_domain(F.col("name")).alias("domain"))
 
 
-DESCRIPTIONS = fixture("descriptions", "name string, said boolean", [
-    ("Mid-size electrolyser manufacturers in India integrating new advanced electrodes", True), ("Loan origination and credit assessment technology providers", True), ("IT services firms focused on AI implementation for BFSI", True),
-    ("Cloud infrastructure providers India 100-500 employees", True), ("Infinite Uptime", False), ("Ramco Systems", False), ("GEAR - Gemini Equipment and Rentals Pvt. Ltd.", False), ("Blue Dart Express", False), ("Top 8 Wholesale Phone Sellers", True),
-    ("Top Gear Motors", False), ("Acme (excluding subsidiaries)", True), ("Acme (India)", False), ("", True), (None, True), ("One two three four five six seven eight nine", True), ("Banks based in Pune", True),
-])
-
-
-@on(DESCRIPTIONS, sql="SELECT name, said AS description FROM descriptions")
 def description_names(t: DataFrame) -> DataFrame:
     return t.select("name", B.is_description(F.col("name")).alias("description"))
 
 
-NAMES = fixture("names", "name string, said string", [
-    ("Nvidia's", "Nvidia"), ("The Guardian", "Guardian"), ("Mogul Tom Rogers", "Tom Rogers"), ("James (Josh", "James"), ("Jensen Huang Says", "Jensen Huang"), ("Jack Dorsey Blamed AI", "Jack Dorsey"), ("Wells Fargo 2018", "Wells Fargo"),
-    ("Gemini 3.1", "Gemini"), ("Jamie Dimon - CNBC", "Jamie Dimon"), ("CFO", ""), ("Company", ""), ("Apple.", "Apple"), ("Trump Announces A New Plan", ""), ("M4 AppleEven Apple", ""), ("OKXCrypto exchange", ""), ("JPMorgan", "JPMorgan"),
-    ("Bill Gates-Backed", "Bill Gates"), ("Former Late Senator Warren Says", ""), ("Billionaire Investor Elon Musk", "Elon Musk"), ("Bank of America", "Bank of America"), ("Acme Says 2024 - Reuters", ""), ("Acme Says 2024", "Acme"), ("Mogul Rogers", "Mogul Rogers"), ("BlackRock Inc", "BlackRock Inc"),
-])
-
-
-@on(NAMES, sql="SELECT name, said AS clean FROM names")
 def entity_name_clean(t: DataFrame) -> DataFrame:
     return t.select("name", B.clean_name(F.col("name")).alias("clean"))
 
 
-VARIANTS = fixture("variants", "variant string, canonical string, said boolean", [
-    ("Amazon Web Services", "Amazon", True), ("Nvidia Reportedly Seems", "Nvidia", False), ("Apple Blocks US Users", "Apple", False), ("Amazon Stock", "Amazon", False), ("Google Cloud", "Google", True), ("Google Gemini", "Google", True), ("Tata", "Tata Motors", True), ("Meta Platforms Reality Unit", "Meta", False),
-])
-
-
-@on(VARIANTS, sql="SELECT variant, canonical, said AS valid FROM variants")
 def variant_validity(t: DataFrame) -> DataFrame:
     return t.select("variant", "canonical", B.valid_variant(F.col("variant"), F.col("canonical")).alias("valid"))
 
 
-NEWS = fixture("news", "id int, said boolean, title string, url string", [
-    (1, True, "Acme opens a plant in Pune", "https://news.example/1"), (2, False, "Acme share price today and more", "https://news.example/2"), (3, False, "Too short", "https://news.example/3"), (4, False, "Acme opens a plant in Pune", "https://www.YouTube.com/watch"), (5, False, None, None), (6, False, "We are HIRING engineers now", "u"), (7, True, "Ministry approves the new port", None),
-])
-
-
-@on(NEWS, sql="SELECT id, said AS kept FROM news")
 def news_prefilter(t: DataFrame) -> DataFrame:
     return t.select("id", B.passes_prefilter(F.col("title"), F.col("url")).alias("kept"))
 
 
-EVENTS = fixture("raw_events", "id int, raw string, said string", [
-    (1, "acquisition", "m_and_a"), (2, "AI security acquisition deal", "m_and_a"), (3, "technology_launch", "technology"), (4, "", "general"), (5, None, "general"), (6, "sector", "general"), (7, "SEC probe", "regulation"), (8, "supply chain", "supply_chain"), (9, "m_and_a", "m_and_a"),
-    (10, "weather", "general"), (11, "Trade-Policy", "trade_policy"), (12, "layoff of the workforce", "labor"), (13, "solar plant expansion", "infrastructure"), (14, "price of a trade", "trade_policy"), (15, "quarterly revenue and profit", "price_change"),
-])
-
-
-@on(EVENTS, sql="SELECT id, said AS event_type FROM raw_events")
 def event_types(t: DataFrame) -> DataFrame:
     return t.select("id", B.event_type(F.col("raw")).alias("event_type"))
 
 
-LABELS = fixture("story_labels", "id int, said boolean, label string, summary string", [
-    (1, True, "NVIDIA Q4 earnings beat estimates", "Revenue rose a lot. Margins did too."), (2, False, "Too short", "Revenue rose a lot. Margins did too."), (3, False, "no proper noun here at all", "Revenue rose a lot. Margins did too."),
-    (4, False, "Acme <b>opens</b> a plant", "Revenue rose a lot. Margins did too."), (5, False, "Acme opens a plant", "One sentence only, but long enough."), (6, False, "Acme opens a plant", "A. B."), (7, True, "Acme opens a plant", "First one here. Second one here! Third one? Fourth."),
-])
-
-
-@on(LABELS, sql="SELECT id, said AS valid FROM story_labels")
 def label_validity(t: DataFrame) -> DataFrame:
     return t.select("id", B.label_is_valid(F.col("label"), F.col("summary")).alias("valid"))
 
 
 # --- scores --------------------------------------------------------------------------------------
 
-CLUSTERS = fixture("clusters", "cluster_id int, label string, summary string, entity string, industry string, coherence double, strategic double", [
-    (1, "Acme raises $20M", "Acme will expand.", "Acme", "software", 0.72, 0.0), (2, "Quiet week", "Nothing happened.", None, None, 0.55, 0.0), (3, "Port partners", "Partnership grew 20% in trade.", None, "ports", 0.4, 0.3), (4, "Beta launches chip", "In 2024.", "Beta", None, 0.3, 0.6), (5, "Gamma", "", "Gamma", "steel", 0.9, 0.1),
-])
 
-
-@on(CLUSTERS, sql=r"""
-WITH s AS (SELECT *, round(0.35 * (entity IS NOT NULL)::INT + 0.25 * regexp_matches(label || ' ' || summary, '(?i)\b(launch|acquir|rais|expand|partner|invest|hire|layoff|regulat|approv|fund|merge|deploy|integrat|adopt)')::INT
-   + 0.25 * regexp_matches(label || ' ' || summary, '\$[\d.]+|\d+%|\d\d\d\d')::INT + 0.15 * (industry IS NOT NULL)::INT, 3) AS oss,
-  CASE WHEN strategic > 0 THEN CASE WHEN strategic >= 0.5 THEN 'high' WHEN strategic >= 0.25 THEN 'medium' ELSE 'low' END WHEN coherence >= 0.7 THEN 'high' WHEN coherence >= 0.5 THEN 'medium' ELSE 'low' END AS severity FROM clusters),
-w AS (SELECT * FROM s JOIN (VALUES ('high', 1.0, 1.0), ('medium', 0.6, 0.85), ('low', 0.3, 0.55)) AS m(severity, weight, most) USING (severity)),
-a AS (SELECT *, round(least(CAST(0.4 * weight AS DOUBLE) + 0.3::DOUBLE * oss + 0.3::DOUBLE * coherence, most), 3) AS score FROM w)
-SELECT cluster_id, CAST(oss AS DOUBLE) AS oss, severity, CAST(score AS DOUBLE) AS actionability, CASE WHEN score >= 0.65 THEN 'major' WHEN score < 0.4 THEN 'minor' ELSE 'sub' END AS level FROM a""")
 def trend_scores(t: DataFrame) -> DataFrame:
     """Specificity, severity, actionability and level of clusters as trends."""
     text = F.concat_ws(" ", "label", "summary")
@@ -133,13 +57,6 @@ def trend_scores(t: DataFrame) -> DataFrame:
     return s.select("cluster_id", "oss", "severity", "actionability", B.trend_level(F.col("actionability")).alias("level"))
 
 
-CONTACTS = fixture("contacts", "id int, company string, role string, email string, email_confidence int, verified boolean, linkedin string, relevance double, ml string, phone string, said_tier string, said int", [
-    (1, "Acme", "Chief Executive Officer", "a@acme.com", 90, True, "l", 1.0, "", "1", "decision_maker", 100), (2, "Acme", "Executive Assistant", "b@acme.com", 95, True, "l", 0.5, "", "1", "gatekeeper", 40), (3, "Acme", "Engineer", "", 0, False, "l", 1.0, "", "", "influencer", 35),
-    (4, "Beta", "VP Sales", "c@beta.com", 50, False, "", 0.5, "junior", "", "decision_maker", 45), (5, "Beta", "Analyst", "d@beta.com", 99, False, "", 0.0, "executive", "", "influencer", 52), (6, "Beta", "Secretary", "", 0, False, "", 0.25, "", "", "gatekeeper", 10), (7, "Gamma", "Director", "e@g.com", 10, False, "", 0.125, "", "", "decision_maker", 26),
-])
-
-
-@on(CONTACTS, sql="SELECT id, said_tier AS tier, said AS reach, CASE said_tier WHEN 'decision_maker' THEN 'executive' WHEN 'gatekeeper' THEN 'professional' ELSE 'consultative' END AS tone FROM contacts")
 def contact_reach(t: DataFrame) -> DataFrame:
     """Tier by title, reach by channels, tier and fit, and the tone to write in."""
     tier = B.seniority_tier(F.col("role"))
@@ -147,35 +64,14 @@ def contact_reach(t: DataFrame) -> DataFrame:
     return t.select("id", tier.alias("tier"), r.alias("reach"), B.outreach_tone(tier).alias("tone"))
 
 
-ANSWERS = fixture("answers", "id int, a string, a_conf int, b string, b_conf int, pattern string", [(1, "x@a.c", 60, "y@a.c", 99, "p@a.c"), (2, "x@a.c", 59, "y@a.c", 50, "p@a.c"), (3, "x@a.c", 10, None, 90, "p@a.c"), (4, None, None, None, None, None), (5, "", 99, "y@a.c", 49, "p@a.c")])
-
-
-@on(ANSWERS, sql="""
-WITH c AS (SELECT id, a AS email, a_conf AS confidence, 'first' AS via, 1 AS r FROM answers WHERE a <> '' AND a_conf >= 60 UNION ALL SELECT id, b, b_conf, 'second', 2 FROM answers WHERE b <> '' AND b_conf >= 50 UNION ALL SELECT id, pattern, 40, 'pattern', 3 FROM answers WHERE pattern <> ''),
-k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY r) AS n FROM c)
-SELECT answers.id, email, CAST(confidence AS INTEGER) AS confidence, via FROM answers LEFT JOIN k ON k.id = answers.id AND n = 1""")
 def email_cascade(t: DataFrame) -> DataFrame:
     return t.select("id", B.email_choice(F.col("a"), F.col("a_conf"), F.col("b"), F.col("b_conf"), F.col("pattern")).alias("x")).select("id", "x.*")
 
 
-SIZES = fixture("sizes", "company string, employees string, said boolean", [("a", "1,001-5,000 employees", False), ("b", "50-200", True), ("c", None, True), ("d", "unknown", True), ("e", "900", False), ("f", "about 899", True), ("g", "49", False)])
-
-
-@on(SIZES, sql="SELECT company, said AS fits FROM sizes")
 def size_band(t: DataFrame) -> DataFrame:
     return t.select("company", B.in_size_band(F.col("employees"), 50, 900).alias("fits"))
 
 
-IMPACTS = fixture("impacts", "trend_id int, title string, citations array<string>, kinds array<string>, reasoning string, pains array<string>, services array<string>, pitch string, roles array<string>, chances array<string>, sectors array<string>, said double", [
-    # evidence .5 * .2 + .5 * .5, kinds .5 / 6 + .5, depth .6 * 100 / 3000 + .4 / 5, pains 1 / 6 * .5 + .5, services .125, all four checks
-    (1, "Tariff", ["rose 20% in 2024", "experts agree"], ["mid-size mills"], "r" * 100, ["costs will rise"], ["s" * 10], "p" * 31, ["a", "b"], ["a", "b"], ["s"], 0.42),
-    (2, "Empty", [], [], "", [], [], "", [], [], [], 0.05),
-    # depth .6 * 71 / 3000 + .08, one vague phrase
-    (3, "Vague", [], [], "various companies in this part of the world will have to look into that", [], [], None, ["a", "b"], [], ["s"], 0.05),
-])
-
-
-@on(IMPACTS, sql="SELECT trend_id, said AS confidence FROM impacts")
 def impact_confidence(t: DataFrame) -> DataFrame:
     c = B.impact_confidence(*map(F.col, ("citations", "kinds", "reasoning", "pains", "services", "pitch", "roles", "chances", "sectors")))
     return t.select("trend_id", c.alias("confidence"))
@@ -183,22 +79,7 @@ def impact_confidence(t: DataFrame) -> DataFrame:
 
 # --- leads ---------------------------------------------------------------------------------------
 
-HOPS = fixture("hops", "event string, trend string, hop int, segment string, kind string, mechanism string, weeks int, confidence double, companies array<string>", [
-    ("e1", "Steel Tariff", 1, "Steel mills", "pain", "Costs rise", 4, 0.8, ["Acme", "Beta Steel", "steel companies", "Gamma", "Delta"]), ("e1", "Steel Tariff", 2, "Car makers", "opportunity", "Demand moves", 8, 0.5, []), ("e1", "Steel Tariff", 3, "Ports", "risk", "Traffic falls", 2, 0.2, ["Zeta"]),
-    ("e2", "Chip Act", 1, "Fabs", "other", "Subsidies", 6, 0.35, ["Acme", "firms focused on chips"]), ("e2", "Chip Act", 2, "Tools", "risk", "Delays", 6, 0.8, ["Tool Co"]),
-])
-
-
-@on(HOPS, sql="""
-WITH h AS (SELECT *, list_filter(companies, lambda c: NOT regexp_matches(c, '(companies|firms)')) AS good FROM hops WHERE confidence >= 0.35),
-p AS (SELECT *, len(good) = 0 AS placeholder FROM h),
-x AS (SELECT event, trend, hop, segment, kind, mechanism, weeks, placeholder, confidence * (CASE WHEN placeholder THEN 0.8::DOUBLE ELSE 1 END) AS confidence, unnest(CASE WHEN placeholder THEN [segment] ELSE good[1:3] END) AS company FROM p),
-o AS (SELECT *, CASE WHEN placeholder THEN 'Your business' ELSE company END AS who FROM x)
-SELECT event, hop, company, placeholder, round(confidence, 4) AS confidence, weeks AS urgency_weeks,
- CASE kind WHEN 'pain' THEN who || ' faces a concrete challenge: ' || mechanism || '. This will likely materialize within ' || weeks || ' weeks. We help companies navigate exactly this kind of pressure.'
-  WHEN 'opportunity' THEN 'The recent ' || lower(trend) || ' creates a specific opening for ' || who || '. ' || mechanism || '. Companies that move in the next ' || weeks || ' weeks capture the most value.'
-  WHEN 'risk' THEN who || ' carries elevated risk right now: ' || mechanism || '. Our risk intelligence platform can help quantify and mitigate this exposure.'
-  ELSE 'Given the recent ' || lower(trend) || ', ' || who || ' stands to benefit from sharper competitive intelligence. ' || mechanism || '.' END AS opening FROM o""")
+
 def crystallised_leads(t: DataFrame) -> DataFrame:
     """Leads of the hops that are sure enough: up to three real companies each, else the segment as a placeholder."""
     good = t.filter("confidence >= 0.35").withColumn("good", F.filter("companies", lambda c: ~B.is_description(c)))
@@ -209,18 +90,6 @@ def crystallised_leads(t: DataFrame) -> DataFrame:
     return x.select("event", "hop", "company", "placeholder", F.round(F.col("confidence") * F.when(F.col("placeholder"), 0.8).otherwise(1.0), 4).alias("confidence"), F.col("weeks").alias("urgency_weeks"), opening.alias("opening"))
 
 
-LEADS = fixture("lead_sheets", "id int, company string, cin string, size_band string, event_type string, confidence double, cluster_id int, urgency int, industry_match double, oss double, severity string", [
-    (1, "Acme", "U1", "mid", "technology", 0.9, 1, 4, 0.5, 0.6, "high"), (2, "Beta", None, "large", "regulation", 0.5, 1, 2, 1.4, 0.2, "low"), (3, "[Ports]", None, None, None, 0.4, 2, 2, 0.5, 0.5, "medium"), (4, "Steel companies", "U2", "mid", "technology", 0.7, 2, 1, 0.5, 0.1, None), (5, "Zeta", "U3", "mid", "labor", 0.1, 3, 9, 0.5, 0.0, "high"), (6, "Acme", None, "mid", "technology", 0.25, 3, 3, 0.1, 0.9, "low"),
-])
-ARMS = fixture("arms", "arm string, alpha double, beta double", [("mid_technology", 4.0, 2.0), ("large_regulation", 1.5, 1.5), ("mid_labor", 19.0, 1.0), ("startup_m_and_a", 1.0, 1.0)])
-BEFORE = fixture("lead_quality", "cluster_id int, quality double", [(1, 0.8), (2, 0.2)])
-_RANKED = """
-WITH r AS (SELECT l.*, coalesce(alpha / (alpha + beta), 0.5) AS posterior FROM lead_sheets l LEFT JOIN arms ON arm = coalesce(size_band, 'mid') || '_' || coalesce(event_type, 'general')),
-s AS (SELECT *, least(1.0::DOUBLE, confidence * (0.7::DOUBLE + 0.3::DOUBLE * (0.35::DOUBLE * posterior + 0.3::DOUBLE * 0.5 + 0.2::DOUBLE * greatest(0, least(1, oss)) + 0.15::DOUBLE * 0.7))) AS ranked FROM r)
-"""
-
-
-@on(LEADS, ARMS, sql=_RANKED + "SELECT id, company, round(ranked, 6) AS confidence, row_number() OVER (ORDER BY round(ranked, 6) DESC, urgency, id) AS rank FROM s WHERE NOT contains(lower(company), 'companies') AND ranked >= 0.20")
 def ranked_leads(leads: DataFrame, arms: DataFrame) -> DataFrame:
     """Leads re-ranked by the posterior mean of their arm; descriptions and weak ones go."""
     arm = F.concat_ws("_", F.coalesce("size_band", F.lit("mid")), F.coalesce("event_type", F.lit("general")))
@@ -230,12 +99,6 @@ def ranked_leads(leads: DataFrame, arms: DataFrame) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("confidence"), "urgency", "id"))).drop("urgency")  # leads of one run: a page
 
 
-@on(LEADS, ARMS, BEFORE, sql="""
-WITH r AS (SELECT coalesce(size_band, 'mid') || '_' || coalesce(event_type, 'general') AS arm, (CASE WHEN cin IS NOT NULL THEN least(1.0::DOUBLE, confidence + 0.2::DOUBLE) WHEN company NOT LIKE '[%' THEN confidence * 0.7::DOUBLE ELSE 0.1::DOUBLE END) * (CASE WHEN coalesce(quality, 1) < 0.3 THEN 0.7::DOUBLE ELSE 1 END) AS reward
-  FROM lead_sheets LEFT JOIN lead_quality USING (cluster_id)),
-g AS (SELECT arm, sum(reward) AS won, count(*) - sum(reward) AS lost FROM r GROUP BY arm),
-d AS (SELECT arm, greatest(1.0::DOUBLE, 1 + (alpha - 1) * 0.97::DOUBLE) AS alpha, greatest(1.0::DOUBLE, 1 + (beta - 1) * 0.97::DOUBLE) AS beta FROM arms)
-SELECT coalesce(d.arm, g.arm) AS arm, round(coalesce(alpha, 1) + coalesce(won, 0), 6) AS alpha, round(coalesce(beta, 1) + coalesce(lost, 0), 6) AS beta FROM d FULL JOIN g ON d.arm = g.arm""")
 def company_arm_update(leads: DataFrame, arms: DataFrame, before: DataFrame) -> DataFrame:
     """One run's update of the company arms: all decay towards the uniform prior, then each lead's reward is added."""
     arm = F.concat_ws("_", F.coalesce("size_band", F.lit("mid")), F.coalesce("event_type", F.lit("general")))
@@ -247,19 +110,10 @@ def company_arm_update(leads: DataFrame, arms: DataFrame, before: DataFrame) ->
     return d.join(g, "arm", "full").select("arm", of("alpha", "won").alias("alpha"), of("beta", "lost").alias("beta"))
 
 
-TAGS = fixture("sources", "source string, tags array<string>, region string, active boolean", [("s1", ["funding", "macro"], "IN", True), ("s2", ["macro"], "US", True), ("s3", ["sports"], "IN", True), ("s4", None, "EU", False), ("s5", ["B2B"], "US", True)])
-
-
-@on(TAGS, sql="""SELECT source, CASE WHEN list_has_any(coalesce(tags, []), ['funding', 'B2B']) THEN 3.0 WHEN list_contains(coalesce(tags, []), 'macro') THEN 1.0 ELSE 1.0 END::DOUBLE AS alpha,
- CASE WHEN list_has_any(coalesce(tags, []), ['funding', 'B2B']) THEN 1.0 WHEN list_contains(coalesce(tags, []), 'macro') THEN 3.0 ELSE 1.0 END::DOUBLE AS beta FROM sources""")
 def source_priors(t: DataFrame) -> DataFrame:
     return t.select("source", B.informed_prior(F.col("tags")).alias("p")).select("source", "p.*")
 
 
-REGIONS = fixture("asked", "request int, region string", [(1, "IN"), (2, "GLOBAL"), (3, "XX"), (4, "US")])
-
-
-@on(REGIONS, TAGS, sql="SELECT request, source FROM asked JOIN sources ON active AND (sources.region = asked.region OR asked.region NOT IN (SELECT region FROM sources WHERE active))")
 def region_sources(asked: DataFrame, sources: DataFrame) -> DataFrame:
     """The active sources of a region; of all regions where the region has none, or is GLOBAL."""
     active = sources.filter("active").select("source", F.col("region").alias("own"))
@@ -268,17 +122,6 @@ def region_sources(asked: DataFrame, sources: DataFrame) -> DataFrame:
     return exact.unionByName(other.join(active, F.lit(True)).select("request", "source"))  # few requests against a list of sources
 
 
-SOURCE_RUN = fixture("source_run", "source string, articles int, nli double, quality double, duplicates double, richness double, content double, coherence double, oss double", [
-    ("s1", 12, 0.9, 0.8, 0.1, 4.0, 0.7, 0.6, 0.5), ("s2", 2, None, None, None, None, None, None, None), ("s6", 5, 0.2, 0.0, 0.9, 9.0, 0.1, 0.3, 0.0), ("s7", 0, 0.5, 0.5, 0.5, 0.5, 0.5, 0.5, 0.5),
-])
-POSTERIORS = fixture("posteriors", "source string, alpha double, beta double", [("s1", 150.0, 60.0), ("s2", 1.2, 1.0), ("s3", 10.0, 4.0)])
-
-
-@on(SOURCE_RUN, POSTERIORS, sql="""
-WITH d AS (SELECT source, greatest(1.5::DOUBLE, 1 + (alpha - 1) * 0.97::DOUBLE) AS a, greatest(1.5::DOUBLE, 1 + (beta - 1) * 0.97::DOUBLE) AS b FROM posteriors),
-r AS (SELECT source, least(articles, 5) AS n, 0.3::DOUBLE * coalesce(nli, 0.4) + 0.2::DOUBLE * coalesce(quality, 0.5) + 0.15::DOUBLE * (1 - coalesce(duplicates, 0)) + 0.1::DOUBLE * least(1, coalesce(richness, 2.5) / 5) + 0.1::DOUBLE * coalesce(content, 0.5) + 0.1::DOUBLE * coalesce(coherence, 0.5) + 0.05::DOUBLE * coalesce(oss, 0) AS reward FROM source_run),
-u AS (SELECT coalesce(d.source, r.source) AS source, coalesce(a, 1) + coalesce(reward * n, 0) AS a, coalesce(b, 1) + coalesce((1 - reward) * n, 0) AS b FROM d FULL JOIN r ON d.source = r.source)
-SELECT source, round(a * least(1, 200 / (a + b)), 6) AS alpha, round(b * least(1, 200 / (a + b)), 6) AS beta, round(a / (a + b), 6) AS mean FROM u""")
 def source_arm_update(run: DataFrame, posteriors: DataFrame) -> DataFrame:
     """One run's update of the source arms: all decay first (never below 1.5), rewards weigh up to five articles, and no arm holds more than 200 observations."""
     fade = lambda c: F.greatest(F.lit(1.5), 1 + (F.col(c) - 1) * 0.97)

@@ -222,19 +222,6 @@ def evidence_chain(spark, d):
     return j.select("label", "vec_id", F.left("s", F.lit(200)).alias("evidence"))
 
 
-@query(r"""
-WITH $ARTICLES, m AS (SELECT doc_id, unnest(regexp_extract_all(title, '([A-Z][a-z]+(?: [a-z]+){0,2})', 1)) AS raw FROM articles),
-a AS (SELECT doc_id, raw, regexp_replace(raw, '(?i)^((the|a|an|mr|mrs|ms|dr|ceo|president|minister)[.]? )+', '') AS n FROM m),
-b AS (SELECT doc_id, raw, trim(regexp_replace(n, '(?i)( (says|said|announces|launches|reports|plans|wins|news|today|[0-9]+|-[^ ]*)){1,4}$', '')) AS n FROM a)
-SELECT doc_id, raw, CASE WHEN length(n) < 2 OR len(string_split(n, ' ')) > 4 OR lower(n) IN ('company', 'government', 'market', 'report', 'today', 'monday', 'group', 'bank') THEN '' ELSE n END AS name FROM b""")
-def entity_names(spark, d):
-    """Capitalised spans of titles, cleaned."""
-    from ..functions.names import clean_name
-
-    m = articles(spark, d).select("doc_id", F.explode(F.regexp_extract_all("title", F.lit("([A-Z][a-z]+(?: [a-z]+){0,2})"), F.lit(1))).alias("raw"))
-    return m.select("doc_id", "raw", clean_name(F.col("raw")).alias("name"))
-
-
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE event_type = 'signup'")
 def event_props(spark, d):
     """A field of the JSON column, read with a fixed schema."""

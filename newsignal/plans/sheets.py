@@ -1,4 +1,4 @@
-"""Queries of call sheets, impacts, stories' labels and company checks on small tables with their columns."""
+"""Call sheets, impacts, labels of stories and company checks as functions of DataFrames."""
 
 from __future__ import annotations
 
@@ -6,15 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import rank
-from .fixtures import fixture, on
 
-SHEETS = fixture("sheets", "run_id string, company string, role string, contact string, email string", [("r1", "Acme", "CFO", "", ""), ("r1", "Beta", "CTO", "Bo", "bo@b.c"), ("r2", "Acme", "CEO", None, None)])
-PERSONS = fixture("persons", "id int, run_id string, company string, name string, email string", [(2, "r1", "Acme", "Ann", "ann@a.c"), (1, "r1", "Acme", "Al", None), (3, "r1", "Beta", "Bea", "bea@b.c")])
 
-
-@on(SHEETS, PERSONS, sql="""
-WITH p AS (SELECT run_id, company, count(*) AS n, string_agg(name, ',' ORDER BY id) AS people, min_by(name, id) AS first_name, min_by(coalesce(email, ''), id) AS first_email FROM persons GROUP BY run_id, company)
-SELECT s.run_id, s.company, coalesce(nullif(s.contact, ''), first_name) AS contact, coalesce(nullif(s.email, ''), nullif(first_email, '')) AS email, coalesce(n, 0) AS people_count, coalesce(people, '') AS people FROM sheets s LEFT JOIN p USING (run_id, company)""")
 def sheets_with_people(sheets: DataFrame, persons: DataFrame) -> DataFrame:
     """Call sheets with their people in the order of ids; a sheet without a contact takes the first."""
     p = persons.groupBy("run_id", "company").agg(F.array_sort(F.collect_list(F.struct("id", "name", "email"))).alias("people"))
@@ -23,13 +16,6 @@ def sheets_with_people(sheets: DataFrame, persons: DataFrame) -> DataFrame:
     return j.select("run_id", "company", own("contact", "name").alias("contact"), own("email", "email").alias("email"), F.coalesce(F.size(F.when(F.col("people").isNotNull(), F.col("people"))), F.lit(0)).cast("long").alias("people_count"), F.coalesce(F.array_join(F.transform("people", lambda x: x["name"]), ","), F.lit("")).alias("people"))
 
 
-PITCHES = fixture("pitches", "company string, contact string, body string, pos int", [("Acme", "Ann", "Hello", 1), ("Acme", "Al", "Hi", 2)])
-PROFILES = fixture("profiles", "company string, profile string", [("Acme", "steel maker")])
-
-
-@on(SHEETS, PERSONS, PITCHES, PROFILES, sql="""
-WITH k AS (SELECT company, min_by(name, (email IS NULL, id)) AS contact FROM persons GROUP BY company), o AS (SELECT company, min_by(body, pos) AS body FROM pitches GROUP BY company), c AS (SELECT DISTINCT company FROM sheets)
-SELECT c.company, k.contact, o.body AS outreach, p.profile FROM c LEFT JOIN k USING (company) LEFT JOIN o USING (company) LEFT JOIN profiles p USING (company)""")
 def result_assembly(sheets: DataFrame, persons: DataFrame, pitches: DataFrame, profiles: DataFrame) -> DataFrame:
     """Each company with its first contact that has an email (else its first), its first outreach and its profile."""
     k = persons.groupBy("company").agg(F.min_by("name", F.struct(F.col("email").isNull(), F.col("id"))).alias("contact"))
@@ -37,19 +23,6 @@ def result_assembly(sheets: DataFrame, persons: DataFrame, pitches: DataFrame, p
     return sheets.select("company").distinct().join(k, "company", "left").join(o, "company", "left").join(profiles, "company", "left")
 
 
-TREND_LIST = fixture("trend_list", "trend_id int, title string, event_type string, keywords array<string>, industries array<string>", [(1, "Steel Tariff", "regulation", ["steel", "tariff", "ports", "mills"], ["Steel", "Ports"]), (2, "Chip round", "funding", [], []), (3, "Odd", "weather", ["rain"], ["Farms"])])
-# Mechanisms of event types.
-MECHANISMS = fixture("mechanisms", "event_type string, mechanism string", [
-    ("funding", "New funding round creates demand for market intelligence and growth strategy"), ("acquisition", "M&A activity creates demand for due diligence and market sizing"), ("regulation", "New regulation creates compliance burden and need for advisory"),
-    ("crisis", "Crisis event creates urgent need for risk assessment and crisis response"), ("technology", "Technology shift creates need for competitive analysis and strategy pivot"), ("market", "Market shift creates need for repositioning and competitive intelligence"),
-    ("policy", "Policy change creates need for impact assessment and compliance planning"), ("ipo", "IPO activity creates demand for market positioning and valuation analysis"),
-])
-
-
-@on(TREND_LIST, MECHANISMS, sql="""
-WITH t AS (SELECT t.*, coalesce(mechanism, 'Market event creates demand for consulting intelligence') AS m, CASE WHEN len(keywords) > 0 THEN array_to_string(keywords[1:3], ', ') ELSE 'general' END AS sector, t.event_type IN ('crisis', 'regulation') AS urgent FROM trend_list t LEFT JOIN mechanisms USING (event_type))
-SELECT trend_id, 1 AS hop, 'Companies in ' || sector || ' sector' AS segment, CASE WHEN urgent THEN 'pain' ELSE 'opportunity' END AS kind, m AS mechanism, CASE WHEN urgent THEN 2 ELSE 4 END AS weeks, 0.45::DOUBLE AS confidence FROM t
-UNION ALL SELECT trend_id, 2, 'Suppliers and service providers to ' || sector || ' companies', 'intelligence', 'Downstream effect: ' || lower(m), 6, 0.40::DOUBLE FROM t""")
 def template_hops(trends: DataFrame, mechanisms: DataFrame) -> DataFrame:
     """Two hops of each trend by template, where nothing better is known."""
     m = F.coalesce("mechanism", F.lit("Market event creates demand for consulting intelligence"))
@@ -62,20 +35,11 @@ def template_hops(trends: DataFrame, mechanisms: DataFrame) -> DataFrame:
     return j.select("trend_id", F.explode(F.array(first, second)).alias("h")).select("trend_id", "h.*")
 
 
-@on(TREND_LIST, sql="SELECT trend_id, array_to_string(industries[1:4], ',') AS direct, 'Capitalize on ' || title AS chance, 'Expert insights on ' || left(title, 50) || '...' AS pitch, 0.35::DOUBLE AS confidence FROM trend_list")
 def basic_impact(t: DataFrame) -> DataFrame:
     """The impact of a trend by template, below the gate of sure ones."""
     return t.select("trend_id", F.array_join(F.slice("industries", 1, 4), ",").alias("direct"), F.concat(F.lit("Capitalize on "), "title").alias("chance"), F.concat(F.lit("Expert insights on "), F.left("title", F.lit(50)), F.lit("...")).alias("pitch"), F.lit(0.35).alias("confidence"))
 
 
-ROLE_MAP = fixture("role_map", "kind string, roles array<string>", [("trade", ["CFO", "Head of Trade"]), ("security", ["CISO", "CTO"]), ("default", ["CEO"])])
-ROLE_KEYS = fixture("role_keys", "trend_id int, keywords array<string>", [(1, ["International Trade", "Ports"]), (2, ["AI Security", "trade"]), (3, ["rain"]), (4, ["sec"])])
-
-
-@on(ROLE_KEYS, ROLE_MAP, sql="""
-WITH k AS (SELECT trend_id, lower(unnest(keywords)) AS k FROM role_keys), h AS (SELECT trend_id, unnest(roles) AS role FROM k JOIN role_map ON kind <> 'default' AND (contains(k, kind) OR contains(kind, k))),
-a AS (SELECT * FROM h UNION SELECT r.trend_id, unnest(m.roles) FROM role_keys r, role_map m WHERE m.kind = 'default' AND r.trend_id NOT IN (SELECT trend_id FROM h)), o AS (SELECT trend_id, role, row_number() OVER (PARTITION BY trend_id ORDER BY role) AS n FROM (SELECT DISTINCT * FROM a))
-SELECT trend_id, string_agg(role, ',' ORDER BY role) AS roles FROM o WHERE n <= 5 GROUP BY trend_id""")
 def keyword_roles(keys: DataFrame, roles: DataFrame) -> DataFrame:
     """Roles of the types that a keyword holds or is part of, the default ones without any; five at most, by name."""
     known = roles.filter("kind <> 'default'")
@@ -86,15 +50,6 @@ def keyword_roles(keys: DataFrame, roles: DataFrame) -> DataFrame:
     return found.join(other).select("trend_id", F.array_join(F.slice(F.array_sort(F.coalesce("found", "other")), 1, 5), ",").alias("roles"))
 
 
-COUNCIL = fixture("council", "id int, first_kinds array<string>, second_kinds array<string>, kinds array<string>", [
-    (1, ["a", "b", "c", "d", "e"], ["x"], ["q"]), (2, [], [], ["Mills EVIDENCE: p. 2", "Ports", "Docks (named in text)"]), (3, [], [], ["p", "q", "r"]), (4, [], [], ["only"]), (5, [], [], []),
-])
-
-
-@on(COUNCIL, sql="""
-WITH m AS (SELECT *, list_filter(kinds, lambda k: regexp_matches(upper(k), 'EVIDENCE:|ARTICLE:|NAMED IN|CITED IN')) AS shown, greatest(1, len(kinds) // 2) AS half FROM council),
-s AS (SELECT id, CASE WHEN len(first_kinds) > 0 THEN first_kinds WHEN len(shown) > 0 THEN shown ELSE kinds[1:half] END AS f, CASE WHEN len(first_kinds) > 0 THEN second_kinds WHEN len(shown) > 0 THEN list_concat(second_kinds, list_filter(kinds, lambda k: NOT regexp_matches(upper(k), 'EVIDENCE:|ARTICLE:|NAMED IN|CITED IN'))) ELSE kinds[half + 1:] END AS s FROM m)
-SELECT id, array_to_string(f[1:4], '|') AS first_order, array_to_string(s[1:4], '|') AS second_order FROM s""")
 def council_orders(t: DataFrame) -> DataFrame:
     """Companies hit first and second: as told, else by marks of evidence, else the first and the second half; four each."""
     marked = lambda k: F.upper(k).rlike("EVIDENCE:|ARTICLE:|NAMED IN|CITED IN")
@@ -106,25 +61,12 @@ def council_orders(t: DataFrame) -> DataFrame:
     return x.select("id", four(first).alias("first_order"), four(second).alias("second_order"))
 
 
-QUALITY = fixture("cluster_quality", "run string, cluster_id int, size int, coherence double", [("a", 1, 9, 0.5), ("a", 2, 4, 0.6), ("a", 3, 2, 0.0), ("b", 1, 3, 0.2), ("c", 1, 5, 0.45), ("c", 2, 5, 0.41)])
-
-
-@on(QUALITY, sql="""
-WITH g AS (SELECT run, count(*) AS clusters, coalesce(avg(coherence) FILTER (WHERE coherence > 0), 0) AS c, string_agg(CAST(size AS VARCHAR), ',' ORDER BY size DESC) AS sizes FROM cluster_quality GROUP BY run)
-SELECT run, clusters, round(c, 3) AS coherence, sizes, CASE WHEN c < 0.4 OR clusters < 3 THEN 'RETRY' ELSE 'PASS' END AS verdict FROM g""")
 def trend_quality(t: DataFrame) -> DataFrame:
     """Sizes and mean coherence of a run's clusters, and whether it has to be done again."""
     g = t.groupBy("run").agg(F.count("*").alias("clusters"), F.coalesce(F.avg(F.when(F.col("coherence") > 0, F.col("coherence"))), F.lit(0.0)).alias("c"), F.array_join(F.transform(F.sort_array(F.collect_list("size"), False), lambda s: s.cast("string")), ",").alias("sizes"))
     return g.select("run", "clusters", F.round("c", 3).alias("coherence"), "sizes", F.when((F.col("c") < 0.4) | (F.col("clusters") < 3), "RETRY").otherwise("PASS").alias("verdict"))
 
 
-SYNONYMS = fixture("synonyms", "query string, words array<string>", [("biotech", ["biopharm", "vaccine", "biosimilar"]), ("steel", [])])
-INDUSTRY = fixture("industry_rows", "id int, industry string, subs array<string>, description string, said boolean", [
-    (1, "Biotech|Pharma", [], "", True), (2, "Biopharmaceutical", [], "", True), (3, "Specialty Chemicals", [], "Develops biosimilars and vaccines", True), (4, "Specialty Chemicals", [], "Makes vaccines", False), (5, None, [], "", True), (6, "Food", ["agri biotech"], "", True), (7, "Food", [], "", False),
-])
-
-
-@on(INDUSTRY, SYNONYMS, sql="SELECT id, said AS relevant FROM industry_rows")
 def industry_relevance(t: DataFrame, synonyms: DataFrame) -> DataFrame:
     """Whether companies are of the industry ``biotech``: by name, by parts, by synonyms, by shared words, or by two synonyms in what they say of themselves; unknown ones pass."""
     q = F.lit("biotech")
@@ -139,17 +81,6 @@ def industry_relevance(t: DataFrame, synonyms: DataFrame) -> DataFrame:
     return t.join(words).select("id", relevant.alias("relevant"))
 
 
-BRIEFS = fixture("briefs", "cluster_id int, pos int, title string, summary string", [
-    (1, 1, "Acme opens a very large new plant in the west of Pune today", "Acme said the plant will open soon and hire. More."), (1, 2, "Acme hires", "Short."), (1, 3, "Rivals of Acme watch", "Rivals of the company are watching what it does next. And more."), (2, 1, "Beta falls", "Tiny."),
-])
-
-
-@on(BRIEFS, sql="""
-WITH s AS (SELECT cluster_id, pos, title, trim(string_split(summary, '.')[1]) AS first FROM briefs), w AS (SELECT cluster_id, unnest(list_distinct(regexp_extract_all(title, '[A-Z][a-z]{2,}'))) AS name, pos FROM s),
-n AS (SELECT cluster_id, name, row_number() OVER (PARTITION BY cluster_id ORDER BY count(*) DESC, min(pos), name) AS r FROM w GROUP BY cluster_id, name), t AS (SELECT cluster_id, name FROM n WHERE r = 1),
-l AS (SELECT s.cluster_id, coalesce(min_by(title, pos) FILTER (WHERE contains(title, name) AND len(string_split(title, ' ')) <= 10), min_by(title, pos)) AS label FROM s JOIN t USING (cluster_id) GROUP BY s.cluster_id),
-b AS (SELECT cluster_id, string_agg(first || '.', ' ' ORDER BY pos) AS body FROM s WHERE pos <= 3 AND length(first) > 30 GROUP BY cluster_id)
-SELECT cluster_id, array_to_string(string_split(label, ' ')[1:8], ' ') AS label, left(coalesce(body, array_to_string(string_split(label, ' ')[1:8], ' ')), 500) AS summary FROM l LEFT JOIN b USING (cluster_id)""")
 def rule_labels(t: DataFrame) -> DataFrame:
     """A label and a summary of each cluster by rule: the first short title with its most frequent name, and the first sentences of three articles."""
     names = t.select("cluster_id", "pos", F.explode(F.array_distinct(F.regexp_extract_all("title", F.lit("([A-Z][a-z]{2,})"), F.lit(1)))).alias("name"))
@@ -164,13 +95,6 @@ def rule_labels(t: DataFrame) -> DataFrame:
     return g.select("cluster_id", label.alias("label"), F.left(F.coalesce(F.nullif(F.array_join(F.transform("b", lambda x: x["s"]), " "), F.lit("")), label), F.lit(500)).alias("summary"))
 
 
-MENTIONED = fixture("mentioned", "id int, title string, summary string, person string, company string, salience double", [
-    (1, "Harshil Mathur speaks", "Harshil Mathur, head of Razorpay, spoke. Infosys did not.", "Harshil Mathur", "Razorpay", 0.25), (1, "Harshil Mathur speaks", "Harshil Mathur, head of Razorpay, spoke. Infosys did not.", "Harshil Mathur", "Infosys", 0.25), (2, "Markets rise", "Ann Lee of Acme spoke.", "Ann Lee", "Acme", 0.95), (3, "Ann Lee of Acme", "Ann Lee leads Acme now.", "Ann Lee", "Acme", 0.95),
-])
-
-
-@on(MENTIONED, sql="""
-SELECT id, company, round(CASE WHEN contains(lower(title), lower(person)) AND len(list_filter(regexp_split_to_array(lower(summary), '[.!?]'), lambda s: contains(s, lower(person)) AND contains(s, lower(company)))) > 0 THEN least(1, salience + 0.12::DOUBLE) ELSE salience END, 4) AS salience FROM mentioned""")
 def person_boost(t: DataFrame) -> DataFrame:
     """Companies gain where a sentence names them with a person of the title."""
     together = F.exists(F.split(F.lower("summary"), "[.!?]"), lambda s: F.contains(s, F.lower("person")) & F.contains(s, F.lower("company")))
@@ -178,34 +102,18 @@ def person_boost(t: DataFrame) -> DataFrame:
     return t.select("id", "company", F.round(F.when(hit, F.least(F.lit(1.0), F.col("salience") + 0.12)).otherwise(F.col("salience")), 4).alias("salience"))
 
 
-SCOPES = fixture("scopes", "id int, explicit string, profile array<string>, companies array<string>, industries array<string>", [(1, "company", ["p"], ["a"], []), (2, None, ["p"], ["a"], []), (3, None, [], ["a"], ["i"]), (4, None, [], [], ["i"]), (5, "", None, None, None)])
-
-
-@on(SCOPES, sql="SELECT id, CASE WHEN coalesce(explicit, '') <> '' THEN explicit WHEN len(coalesce(profile, [])) > 0 THEN 'profile' WHEN len(coalesce(companies, [])) > 0 THEN 'company' WHEN len(coalesce(industries, [])) > 0 THEN 'industry' ELSE 'report' END AS mode FROM scopes")
 def scope_mode(t: DataFrame) -> DataFrame:
     """What a run is about: as told, else its profile, its companies, its industries, or a report."""
     some = lambda c: F.coalesce(F.size(F.when(F.col(c).isNotNull(), F.col(c))), F.lit(0)) > 0
     return t.select("id", F.when(F.coalesce("explicit", F.lit("")) != "", F.col("explicit")).when(some("profile"), "profile").when(some("companies"), "company").when(some("industries"), "industry").otherwise("report").alias("mode"))
 
 
-EXPANSIONS = fixture("expansions", "id int, raw string", [(1, "1. steel tariff news\n2) port strikes\n- x\nchip act subsidies\n\n5. a fifth line here\n6. a sixth line here"), (2, ""), (3, None)])
-
-
-@on(EXPANSIONS, sql="SELECT id, said AS queries FROM (VALUES (1, 'steel tariff news|port strikes|chip act subsidies|a fifth line here'), (2, ''), (3, '')) AS v(id, said)")
 def query_expansion(t: DataFrame) -> DataFrame:
     """Queries out of a model's lines: numbers and dashes off, more than 5 and fewer than 80 characters, four at most."""
     lines = F.transform(F.split(F.coalesce("raw", F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s*(\d+[.)]|[-*])\s*", "")))
     return t.select("id", F.array_join(F.slice(F.filter(lines, lambda x: (F.length(x) > 5) & (F.length(x) < 80)), 1, 4), "|").alias("queries"))
 
 
-PREDICTIONS = fixture("predictions", "id int, name string, predicted string, kind string, score double, own string", [
-    (1, "Nvidia", "nvidia", "ORG", 0.9, "GPE"), (2, "Nvidia Corp", "Nvidia", "ORG", 0.5, "ORG"), (3, "H100 chip", "h100 chip", "PRODUCT", 0.8, "ORG"), (4, "Galaxy", "Galaxy", "PRODUCT", 0.7, "ORG"), (5, "Acme", "Beta", "ORG", 0.9, "PERSON"), (6, "Zed", "Zed", "PERSON", 0.2, "ORG"),
-])
-
-
-@on(PREDICTIONS, sql="""
-WITH m AS (SELECT *, lower(name) = lower(predicted) OR contains(lower(name), lower(predicted)) OR contains(lower(predicted), lower(name)) AS hit FROM predictions)
-SELECT id, hit AND score >= 0.30 AS kept, CASE WHEN hit AND score >= 0.30 AND NOT (own = 'ORG' AND kind = 'PRODUCT' AND NOT regexp_matches(name, '[0-9]')) THEN kind ELSE own END AS kind FROM m""")
 def type_correction(t: DataFrame) -> DataFrame:
     """Predicted types of names that they match, from a score of 0.30 on; a company becomes a product only with a model's number in its name."""
     a, b = F.lower("name"), F.lower("predicted")

@@ -10,38 +10,19 @@ from ..functions import text as T
 from ..operators import dedup, rank, search
 from ..sources.tables import ARTICLES_SQL, articles, table
 from .catalog import query
-from .fixtures import fixture, on
 
-FEED = fixture("feed", "id int, source string, pos int, title string, summary string, url string, published timestamp_ntz, fetched timestamp_ntz", [
-    (1, "s1", 1, "Acme opens plant - The Daily - Wire", "<b>Acme</b> opens &amp; grows", "https://www.wire.com/a?utm_source=x", "2024-03-10 08:00:00", "2024-03-10 09:00:00"),
-    (2, "s1", 2, "Beta (2024) cuts Q3 jobs, again!", "", "https://wire.com/b", None, "2024-03-09 09:00:00"),
-    (3, "s1", 3, "Old story", "old", "https://wire.com/c", "2024-01-01 00:00:00", "2024-03-09 09:00:00"),
-    (4, "", 1, "", "No title here", "https://news.site.org/d", "2024-03-09 10:00:00", "2024-03-09 11:00:00"),
-    (5, "s2", 1, "Acme's rival — Gamma - Post", None, "https://post.net/e#x", "2024-03-08 10:00:00", "2024-03-09 11:00:00"),
-    (6, "s1", 4, "Fourth entry", "x", "https://wire.com/f", "2024-03-10 10:00:00", "2024-03-10 11:00:00"),
-])
 
-
-@on(FEED, sql="""
-SELECT id, coalesce(nullif(title, ''), url) AS title, coalesce(nullif(source, ''), replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), 'www.', '')) AS source, coalesce(published, fetched) AS published_at FROM feed""")
 def article_projection(t: DataFrame) -> DataFrame:
     """Blank titles, sources and dates of raw articles from what else is known."""
     blank = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), other)
     return t.select("id", blank("title", F.col("url")).alias("title"), blank("source", T.domain(F.col("url"))).alias("source"), F.coalesce("published", "fetched").alias("published_at"))
 
 
-@on(FEED, sql="""
-WITH k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY pos) AS r FROM feed)
-SELECT id FROM k WHERE r <= 3 AND (published IS NULL OR published >= TIMESTAMP '2024-03-01')""")
 def feed_scan(t: DataFrame) -> DataFrame:
     """The first three entries of each feed that aren't older than a day; entries without a date pass."""
     return rank.top_per_key(t, "source", [F.col("pos")], 3).filter("published is null or published >= timestamp '2024-03-01'").select("id")
 
 
-@on(FEED, sql="""
-SELECT id, said_title AS title, said_source AS source, said_key AS title_key, said_summary AS summary FROM (VALUES
- (1, 'Acme opens plant - The Daily', 'Wire', 'acme opens plant the daily', 'Acme opens & grows'), (2, 'Beta (2024) cuts Q3 jobs, again!', '', 'beta cuts jobs again', 'Beta (2024) cuts Q3 jobs, again!'),
- (3, 'Old story', '', 'old story', 'old'), (4, '', '', '', 'No title here'), (5, 'Acme''s rival — Gamma', 'Post', 'acmes rival gamma', 'Acme''s rival — Gamma'), (6, 'Fourth entry', '', 'fourth entry', 'x')) AS v(id, said_title, said_source, said_key, said_summary)""")
 def entry_projection(t: DataFrame) -> DataFrame:
     """Titles without their source, the source, the key of near-duplicate titles, and plain summaries (the title where there is none)."""
     title = F.regexp_replace("title", r"^(.*) - .*$", "$1")
@@ -49,14 +30,6 @@ def entry_projection(t: DataFrame) -> DataFrame:
     return t.select("id", title.alias("title"), T.source_of_title(F.col("title")).alias("source"), T.title_key(F.col("title")).alias("title_key"), F.left(F.coalesce(F.nullif(F.trim(plain), F.lit("")), title), F.lit(500)).alias("summary"))
 
 
-FETCHES = fixture("fetches", "source string, fetched_at timestamp_ntz, status int, seconds double, entries int", [
-    ("s1", "2024-03-10 08:00:00", 200, 0.5, 20), ("s1", "2024-03-10 09:00:00", 500, 9.0, 0), ("s2", "2024-03-10 08:00:00", 200, 0.2, 0), ("s2", "2024-03-10 09:00:00", 200, 0.4, 0), ("s3", "2024-03-10 08:00:00", 404, 0.1, 0),
-])
-
-
-@on(FETCHES, sql="""
-SELECT source, count(*) AS fetches, round(avg((status = 200)::INT), 4) AS ok_share, round(avg(seconds) FILTER (WHERE status = 200), 4) AS seconds, CAST(sum(entries) AS BIGINT) AS entries,
- CASE WHEN count(*) FILTER (WHERE status = 200) = 0 THEN 'down' WHEN sum(entries) = 0 THEN 'empty' WHEN count(*) FILTER (WHERE status = 200) < count(*) THEN 'unsteady' ELSE 'healthy' END AS health, max_by(status, fetched_at) AS last_status FROM fetches GROUP BY source""")
 def source_health(t: DataFrame) -> DataFrame:
     """Share of fetches that worked, their time, what came, and the verdict for each source."""
     ok = F.col("status") == 200
@@ -65,10 +38,6 @@ def source_health(t: DataFrame) -> DataFrame:
     return g.select("source", "fetches", F.round(F.col("ok") / F.col("fetches"), 4).alias("ok_share"), F.round("seconds", 4).alias("seconds"), "entries", health.alias("health"), "last_status")
 
 
-CACHE = fixture("cache", "key string, stored timestamp_ntz, value string", [("q1", "2024-03-10 08:00:00", "a"), ("q1", "2024-03-10 09:30:00", "b"), ("q2", "2024-03-10 07:00:00", "c"), ("q3", "2024-03-10 09:00:00", "d")])
-
-
-@on(CACHE, sql="SELECT key, max_by(value, stored) AS value FROM cache WHERE stored > TIMESTAMP '2024-03-10 10:00:00' - INTERVAL 1 HOUR GROUP BY key")
 def cache_scan(t: DataFrame) -> DataFrame:
     """The newest entry of each key that is younger than an hour."""
     import datetime
@@ -78,12 +47,6 @@ def cache_scan(t: DataFrame) -> DataFrame:
     return fresh(t, "key", "stored", datetime.datetime(2024, 3, 10, 10), 3600).select("key", "value")
 
 
-DATES = fixture("dates", "id int, raw string, said timestamp_ntz", [
-    (1, "2024-03-10T08:00:00Z", "2024-03-10 08:00:00"), (2, "Sun, 10 Mar 2024 08:00:00 +0000", "2024-03-10 08:00:00"), (3, "2024-03-10 08:00:00", "2024-03-10 08:00:00"), (4, "2024-03-10", "2024-03-10 00:00:00"), (5, "soon", "2024-01-01 00:00:00"), (6, None, "2024-01-01 00:00:00"), (7, "2024-03-10T10:00:00+02:00", "2024-03-10 08:00:00"),
-])
-
-
-@on(DATES, sql="SELECT id, said AS published FROM dates")
 def date_formats(t: DataFrame) -> DataFrame:
     """Dates in the formats that feeds use; what can't be read gets a given time."""
     return t.select("id", T.any_date(F.col("raw"), "2024-01-01 00:00:00").alias("published"))
@@ -91,16 +54,7 @@ def date_formats(t: DataFrame) -> DataFrame:
 
 # --- filters -------------------------------------------------------------------------------------
 
-STORIES = fixture("stories", "id int, title string, summary string, published timestamp_ntz, score double", [
-    (1, "Acme Corp opens plant", "A plant in Pune for more output", "2024-03-10 08:00:00", 0.91), (2, "Beta faces probe", "Beta is under pressure from many sides", "2024-03-01 08:00:00", 0.5), (3, "Bail for a banker", "Nothing on AI here, move along please", "2024-03-09 08:00:00", 0.95), (4, "Weather report", "It rains today in all of the country", "2024-03-10 08:00:00", 0.05),
-    (5, "Acme and Beta merge", "The deal is done after many long years", "2024-02-10 08:00:00", 0.9), (6, "Gamma grows", "short", "2024-03-10 08:00:00", 0.9), (7, "Alphabetacism", "A word that holds another word in it", "2024-03-10 08:00:00", 0.3),
-])
-TARGETS = fixture("targets", "target string", [("Acme",), ("Beta",), ("AI",)])
 
-
-@on(STORIES, TARGETS, sql=r"""
-WITH g AS (SELECT id, title, CASE WHEN score >= 0.88 AND length(summary) >= 30 THEN 'keep' WHEN score <= 0.10 THEN 'drop' ELSE 'ambiguous' END AS gate FROM stories)
-SELECT id, gate, gate = 'keep' OR (gate = 'ambiguous' AND EXISTS (SELECT 1 FROM targets WHERE regexp_matches(lower(title), '\b' || lower(target) || '\b'))) AS kept FROM g""")
 def relevance_gate(stories: DataFrame, targets: DataFrame) -> DataFrame:
     """Sure ones by their score; of the rest those whose title names a target as a whole word, all others go."""
     gate = F.when((F.col("score") >= 0.88) & (F.length("summary") >= 30), "keep").when(F.col("score") <= 0.10, "drop").otherwise("ambiguous")
@@ -110,11 +64,6 @@ def relevance_gate(stories: DataFrame, targets: DataFrame) -> DataFrame:
     return j.select("id", "gate", ((F.col("gate") == "keep") | ((F.col("gate") == "ambiguous") & hit)).alias("kept"))
 
 
-@on(STORIES, TARGETS, sql=r"""
-WITH x AS (SELECT *, lower(title || ' ' || summary) AS body FROM stories),
-d AS (SELECT lower(target) AS t, NOT EXISTS (SELECT 1 FROM x WHERE published >= TIMESTAMP '2024-03-05 12:00:00' AND regexp_matches(body, '\b' || lower(target) || '\b')) AS dropped FROM targets)
-SELECT id FROM x WHERE NOT EXISTS (SELECT 1 FROM d WHERE dropped) OR NOT EXISTS (SELECT 1 FROM d WHERE NOT dropped)
- OR EXISTS (SELECT 1 FROM d WHERE NOT dropped AND contains(body, t)) OR NOT EXISTS (SELECT 1 FROM d WHERE dropped AND contains(body, t))""")
 def recent_targets(stories: DataFrame, targets: DataFrame) -> DataFrame:
     """Stories that name a target of the last five days, or none that went silent; all of them if every target did."""
     x = stories.withColumn("body", F.lower(F.concat_ws(" ", "title", "summary")))
@@ -126,16 +75,6 @@ def recent_targets(stories: DataFrame, targets: DataFrame) -> DataFrame:
     return x.join(F.broadcast(marked)).filter((F.size("gone") == 0) | (F.size("left") == 0) | holds("left") | ~holds("gone")).select("id")
 
 
-ENTITY_ROWS = fixture("entities", "name string, articles array<long>, kind string, quality int", [
-    ("Trump", [1, 2, 3], "ORG", 0), ("Donald Trump", [2, 3, 4, 5], "PERSON", 4), ("Intelligence", [9], "ORG", 0), ("Google Threat Intelligence", [10, 11], "ORG", 0), ("Nvidia", [1, 7], "ORG", 1), ("Nvidia NVDA", [7, 8], "ORG", 0), ("NVIDIA", [12], "GPE", 0),
-    ("Special report", [1], "ORG", 0), ("Opinion", [4], "ORG", 0), ("A Deep Analysis Of Trade", [5], "ORG", 0), ("The Daily", [3], "ORG", 0), ("the-daily", [6], "ORG", 0), ("42", [3, 4, 20], "ORG", 0), ("X", [1, 2], "ORG", 0), ("steel companies", [8, 9], "ORG", 0),
-])
-PAPERS = fixture("papers", "source string", [("The Daily",), ("Wire",)])
-
-
-@on(ENTITY_ROWS, PAPERS, sql="""
-SELECT name FROM entities WHERE lower(name) NOT IN (SELECT lower(source) FROM papers) AND regexp_replace(lower(name), '[^a-z0-9]', '', 'g') NOT IN (SELECT regexp_replace(lower(source), '[^a-z0-9]', '', 'g') FROM papers)
- AND NOT (len(string_split(name, ' ')) <= 3 AND list_has_any(string_split(lower(name), ' '), ['explainer', 'analysis', 'opinion', 'editorial', 'interview', 'insight']))""")
 def source_and_byline_filter(entities: DataFrame, papers: DataFrame) -> DataFrame:
     """Entities that are no source's name (as written, or by letters and digits alone) and no byline."""
     key = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
@@ -145,9 +84,6 @@ def source_and_byline_filter(entities: DataFrame, papers: DataFrame) -> DataFram
     return e.filter(~(byline & (F.size(F.split("name", " ")) <= 3))).select("name")
 
 
-@on(ENTITY_ROWS, sql="""
-WITH bad AS (SELECT * FROM entities WHERE contains(lower(name), 'companies') OR length(name) <= 1 OR regexp_matches(name, '^[0-9]+$')), good AS (SELECT * FROM entities WHERE name NOT IN (SELECT name FROM bad)), g AS (SELECT DISTINCT unnest(articles) AS a FROM good)
-SELECT DISTINCT b.a AS article FROM (SELECT unnest(articles) AS a FROM bad) b WHERE b.a NOT IN (SELECT a FROM g)""")
 def bad_group_members(entities: DataFrame) -> DataFrame:
     """Articles that go back to the ungrouped ones when groups named by a description, a letter or digits are dissolved."""
     bad = B.is_description(F.col("name")) | (F.length("name") <= 1) | F.col("name").rlike("^[0-9]+$")
@@ -155,14 +91,6 @@ def bad_group_members(entities: DataFrame) -> DataFrame:
     return members.groupBy("article").agg(F.bool_and("bad").alias("free")).filter("free").select("article")
 
 
-_PIECES = "words AS (SELECT name, articles, string_split(lower(name), ' ') AS w FROM (SELECT name, articles FROM entities))"
-
-
-@on(ENTITY_ROWS, sql="WITH " + _PIECES + """,
-suffix AS (SELECT s.name AS name, min_by(l.name, (-len(l.articles), l.name)) AS target FROM words s JOIN words l ON len(s.w) <= 2 AND len(l.w) > len(s.w) AND list_slice(l.w, len(l.w) - len(s.w) + 1, len(l.w)) = s.w
-   AND (len(s.w) > 1 OR len(list_intersect(s.articles, l.articles)) / least(len(s.articles), len(l.articles)) >= 0.3) GROUP BY s.name),
-prefix AS (SELECT l.name AS name, min_by(s.name, (-len(s.articles), s.name)) AS target FROM words s JOIN words l ON len(s.w) <= 2 AND len(l.w) > len(s.w) AND list_slice(l.w, 1, len(s.w)) = s.w WHERE s.name NOT IN (SELECT name FROM suffix) AND l.name NOT IN (SELECT name FROM suffix) GROUP BY l.name)
-SELECT name, coalesce(suffix.target, prefix.target, name) AS canonical FROM entities LEFT JOIN suffix USING (name) LEFT JOIN prefix USING (name)""")
 def containment_merge(entities: DataFrame) -> DataFrame:
     """Names that are the end of a longer one (single words only if their articles overlap) take its name; longer ones that begin with a short name take that.
 
@@ -179,13 +107,6 @@ def containment_merge(entities: DataFrame) -> DataFrame:
     return entities.select("name").join(suffix, "name", "left").join(prefix, "name", "left").select("name", F.coalesce("target", "other", "name").alias("canonical"))
 
 
-VOTES = fixture("votes", "entity string, article long, kind string", [("Nvidia", 1, "ORG"), ("Nvidia", 2, "GPE"), ("Nvidia", 3, "GPE"), ("H100", 1, "PRODUCT"), ("H100", 2, "PRODUCT"), ("H100", 3, "PRODUCT"), ("H100", 4, "GPE"), ("Gemini", 1, "PRODUCT"), ("Gemini", 2, "PRODUCT"), ("Gemini", 3, "ORG"), ("iX", 1, "PRODUCT"), ("iX", 2, "PRODUCT"), ("iX", 3, "GPE"), ("Musk", 1, "PERSON")])
-
-
-@on(VOTES, sql="""
-WITH k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY article) AS r FROM votes), c AS (SELECT entity, kind, count(*) AS n, min(article) AS first FROM k WHERE r <= 20 GROUP BY entity, kind),
-t AS (SELECT entity, arg_max(kind, (n, -first)) AS kind, sum(n) AS total, coalesce(sum(n) FILTER (WHERE kind = 'ORG'), 0) AS org, coalesce(sum(n) FILTER (WHERE kind = 'PRODUCT'), 0) AS product FROM c GROUP BY entity)
-SELECT entity, CASE WHEN kind = 'PRODUCT' AND (org > 0 OR product / total < 0.7) THEN 'ORG' ELSE kind END AS kind FROM t""")
 def type_vote(votes: DataFrame) -> DataFrame:
     """The type that most of an entity's first twenty articles give it; a product only with a clear majority and no vote for a company."""
     first = rank.top_per_key(votes, "entity", [F.col("article")], 20)
@@ -195,13 +116,6 @@ def type_vote(votes: DataFrame) -> DataFrame:
     return t.select("entity", F.when(doubt, "ORG").otherwise(F.col("kind")).alias("kind"))
 
 
-PASSED = fixture("passed_clusters", "cluster_id int, entity string, coherence double, passed boolean", [(1, "Acme", 0.5, True), (2, "Acme", 0.25, True), (3, "Beta", 0.75, False), (4, "Zeta", 0.5, True)])
-KNOWN = fixture("known_quality", "entity string, total double, clusters int", [("Acme", 1.5, 3), ("Beta", 1.0, 2)])
-
-
-@on(PASSED, KNOWN, sql="""
-WITH n AS (SELECT entity, sum(coherence) AS more, count(*) AS k FROM passed_clusters WHERE passed GROUP BY entity)
-SELECT coalesce(n.entity, o.entity) AS entity, coalesce(total, 0) + coalesce(more, 0) AS total, CAST(coalesce(clusters, 0) + coalesce(k, 0) AS BIGINT) AS clusters FROM n FULL JOIN known_quality o ON n.entity = o.entity""")
 def entity_quality(passed: DataFrame, known: DataFrame) -> DataFrame:
     """What entities have gathered: coherence and number of the clusters that passed, added to what is stored."""
     n = passed.filter("passed").groupBy("entity").agg(F.sum("coherence").alias("more"), F.count("*").alias("k"))
@@ -209,11 +123,6 @@ def entity_quality(passed: DataFrame, known: DataFrame) -> DataFrame:
     return n.join(known, "entity", "full").select("entity", of("total", "more").alias("total"), of("clusters", "k").cast("long").alias("clusters"))
 
 
-ALIASES = fixture("aliases", "ticker string, company string", [("INFY", "Infosys"), ("TCS", "Tata Consultancy Services")])
-RAW_NAMES = fixture("raw_names", "name string", [("Pfizer's",), ("infy",), ("Mogul Musk",), ("Acme Says",), ("TCS 2024",), ("Gates-Backed",)])
-
-
-@on(RAW_NAMES, ALIASES, sql="SELECT name, said AS normal FROM (VALUES ('Pfizer''s', 'Pfizer'), ('infy', 'Infosys'), ('Mogul Musk', 'Musk'), ('Acme Says', 'Acme'), ('TCS 2024', 'Tata Consultancy Services'), ('Gates-Backed', 'Gates')) AS v(name, said)")
 def ticker_alias(names: DataFrame, aliases: DataFrame) -> DataFrame:
     """Names without possessives, titles, verbs, years and modifiers; tickers by their company."""
     return B.normal_names(names, aliases)
@@ -293,12 +202,6 @@ def representatives(spark, d):
     return rank.top_per_key(sim, "label", [F.desc("sim"), F.col("vec_id")], 5).select("label", "vec_id", "rank")
 
 
-SMALL = fixture("small_clusters", "cluster_id int, size int, center array<double>", [(1, 9, [1.0, 0.0, 0.0]), (2, 2, [0.9, 0.1, 0.0]), (3, 1, [0.0, 0.0, 1.0]), (4, 7, [0.0, 1.0, 0.0]), (5, 2, [0.1, 0.15, 0.98])])
-
-
-@on(SMALL, sql="""
-WITH p AS (SELECT s.cluster_id, l.cluster_id AS target, round(list_cosine_similarity(s.center, l.center), 9) AS sim FROM small_clusters s JOIN small_clusters l ON s.size < 3 AND l.size >= 3), k AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY sim DESC, target) AS r FROM p WHERE sim >= 0.2)
-SELECT c.cluster_id, coalesce(k.target, c.cluster_id) AS merged FROM small_clusters c LEFT JOIN k ON k.cluster_id = c.cluster_id AND r = 1""")
 def small_cluster_merge(t: DataFrame) -> DataFrame:
     """Clusters of fewer than three members join the large one with the nearest centre, if its cosine is 0.2 or more."""
     s, large = t.filter("size < 3").alias("s"), t.filter("size >= 3").alias("l")
@@ -308,26 +211,12 @@ def small_cluster_merge(t: DataFrame) -> DataFrame:
     return t.select("cluster_id").join(best, "cluster_id", "left").select("cluster_id", F.coalesce("target", "cluster_id").alias("merged"))
 
 
-VERDICTS = fixture("verdicts", "cluster_id int, run string, coherence double, composite double, passed boolean", [(1, "a", 0.3, 0.2, False), (2, "a", 0.1, 0.3, False), (3, "b", 0.5, 0.7, True), (4, "b", 0.2, 0.1, False), (5, "c", 0.05, 0.09, False), (6, "c", 0.1, 0.2, False)])
-
-
-@on(VERDICTS, sql="""
-WITH r AS (SELECT run, bool_or(passed) AS any_passed, greatest(0.10::DOUBLE, 0.8::DOUBLE * avg(coherence)) AS least FROM verdicts GROUP BY run)
-SELECT cluster_id, run, CASE WHEN any_passed THEN passed ELSE coherence >= least END AS passed FROM verdicts JOIN r USING (run)""")
 def zero_pass_override(t: DataFrame) -> DataFrame:
     """A run in which nothing passed is judged again, by coherence against four fifths of its mean (0.10 at least)."""
     r = t.groupBy("run").agg(F.bool_or("passed").alias("any_passed"), F.greatest(F.lit(0.10), 0.8 * F.avg("coherence")).alias("least"))
     return t.join(r, "run").select("cluster_id", "run", F.when(F.col("any_passed"), F.col("passed")).otherwise(F.col("coherence") >= F.col("least")).alias("passed"))
 
 
-PRODUCTS = fixture("catalogue", "line string", [("Radar|tariff, Supply chain|logistics",), ("plain words here",), ("Vault|breach|",), ("",)])
-TRENDS = fixture("trends", "trend_id int, keywords array<string>, industry string", [(1, ["tariff", "port"], "Logistics"), (2, ["breach"], "finance"), (3, ["plain", "supply"], "none")])
-
-
-@on(PRODUCTS, TRENDS, sql="""
-WITH p AS (SELECT trim(string_split(line, '|')[1]) AS product, CASE WHEN contains(line, '|') THEN list_filter(list_transform(string_split(string_split(line, '|')[2], ','), lambda x: lower(trim(x))), lambda x: x <> '') ELSE string_split(lower(line), ' ') END AS triggers, lower(trim(coalesce(string_split(line, '|')[3], ''))) AS industry FROM catalogue WHERE line <> ''),
-s AS (SELECT trend_id, product, 0.5::DOUBLE * len(list_filter(triggers, lambda t: len(list_filter(t2.keywords, lambda k: contains(t, k))) > 0)) / len(triggers) + 0.2::DOUBLE * (p.industry <> '' AND p.industry = lower(t2.industry))::INT AS score FROM p, trends t2)
-SELECT trend_id, product, round(score, 3) AS score FROM s WHERE score > 0""")
 def catalogue_match(products: DataFrame, trends: DataFrame) -> DataFrame:
     """Lines ``name|trigger, trigger|industry`` (or plain words) against trends: the share of triggers that hold a keyword, and the industry."""
     cut = F.split("line", r"\|")
@@ -342,35 +231,18 @@ def catalogue_match(products: DataFrame, trends: DataFrame) -> DataFrame:
 
 # --- company news --------------------------------------------------------------------------------
 
-FRESH_NEWS = fixture("fresh_news", "id int, title string, summary string, url string", [
-    (1, "Acme Steel Works opens plant - Wire", "", "https://w.com/1?x=1"), (2, "Acme Steel Works opens plant - Post", "", "https://p.com/9"), (3, "Acme share price jumps again", "", "https://w.com/3"), (4, "Steel output of the whole year", "acme works on steel", "https://w.com/4"), (5, "Acmeville votes in a new mayor", "", "https://w.com/5"),
-])
-OTHER_NEWS = fixture("other_news", "id int, title string, summary string, url string", [(6, "Plant of Acme Steel Works is open", "", "https://w.com/1"), (7, "Works council of Acme meets today", "", "https://q.com/7"), (8, "A quiet day for all markets here", "", "https://q.com/8")])
-
 
-@on(FRESH_NEWS, OTHER_NEWS, sql="SELECT id FROM (VALUES (1), (4), (5), (7), (8)) AS v(id)")
 def company_news_merge(fresh: DataFrame, other: DataFrame) -> DataFrame:
     """Two lists of news as one: the first list wins, a row goes if its url or its title is known, then noise goes, twenty at most."""
     merged = dedup.merge_lists(fresh, other, [T.url_key(F.col("url")), T.title_key(F.col("title"))], [F.col("id")], 40)
     return merged.filter(B.passes_prefilter(F.col("title"), F.col("url"))).orderBy("id").limit(20).select("id")
 
 
-@on(FRESH_NEWS, OTHER_NEWS, sql=r"""
-WITH n AS (SELECT *, lower(title || ' ' || summary) AS body FROM (SELECT * FROM fresh_news UNION ALL SELECT * FROM other_news))
-SELECT id, CASE WHEN regexp_matches(body, '\bacme steel works\b') THEN 'name' WHEN contains(body, 'acme')::INT + contains(body, 'steel')::INT + contains(body, 'works')::INT >= 2 THEN 'parts' ELSE 'none' END AS via FROM n""")
 def company_relevance(fresh: DataFrame, other: DataFrame) -> DataFrame:
     """How news names the company ``Acme Steel Works``: as a whole, by most of its parts, or not."""
     return fresh.unionByName(other).select("id", B.names_company(F.lower(F.concat_ws(" ", "title", "summary")), "Acme Steel Works").alias("via"))
 
 
-HELD = fixture("held_news", "id int, company string, title string, url string, seen_at timestamp_ntz", [(1, "acme", "Acme one", "u1", "2024-03-01 00:00:00"), (2, "acme", "Acme two", "u2", "2024-03-02 00:00:00")])
-FOUND = fixture("found_news", "id int, title string, url string, seen_at timestamp_ntz, sim double", [(3, "News on Acme again", "u3", "2024-03-04 00:00:00", 0.9), (4, "Of Beta", "u4", "2024-03-05 00:00:00", 0.8), (5, "Acme one", "u1", "2024-03-01 00:00:00", 0.7)])
-LIVE = fixture("live_news", "id int, title string, url string, seen_at timestamp_ntz", [(6, "Acme live", "u6", "2024-03-06 00:00:00"), (7, "Acme two", "u2", "2024-03-07 00:00:00")])
-
-
-@on(HELD, FOUND, LIVE, sql="""
-WITH a AS (SELECT id, title, url, seen_at, 0 AS src FROM held_news WHERE company = 'acme' UNION ALL SELECT id, title, url, seen_at, 1 FROM found_news WHERE contains(lower(title), 'acme') AND (SELECT count(*) FROM held_news WHERE company = 'acme') < 5 UNION ALL SELECT id, title, url, seen_at, 2 FROM live_news),
-k AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY src, id) AS r FROM a) SELECT id, url, row_number() OVER (ORDER BY seen_at DESC, id) AS rank FROM k WHERE r = 1""")
 def company_news_page(held: DataFrame, found: DataFrame, live: DataFrame) -> DataFrame:
     """News of a company: what is stored under its name, by search if that is little and its name is in the title, then live; each url once, newest first."""
     own = held.filter("company = 'acme'")
@@ -381,9 +253,6 @@ def company_news_page(held: DataFrame, found: DataFrame, live: DataFrame) -> Dat
     return once.select("id", "url", F.row_number().over(Window.orderBy(F.desc("seen_at"), "id")).alias("rank"))  # one company's page
 
 
-@on(HELD, FOUND, LIVE, sql="""
-WITH n AS (SELECT id, lower(title) AS k, url, 0 AS src FROM live_news UNION ALL SELECT id, lower(title), url, 1 FROM found_news), t AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY src, id) AS r FROM n)
-SELECT id, url FROM t WHERE r = 1 AND url NOT IN (SELECT url FROM held_news)""")
 def news_collection(held: DataFrame, found: DataFrame, live: DataFrame) -> DataFrame:
     """Fresh and historical news, each title once, of which only urls that aren't stored are new."""
     every = live.select("id", "title", "url", F.lit(0).alias("src")).unionByName(found.select("id", "title", "url", F.lit(1).alias("src")))
@@ -391,12 +260,6 @@ def news_collection(held: DataFrame, found: DataFrame, live: DataFrame) -> DataF
     return once.join(held.select("url"), "url", "left_anti").select("id", "url")
 
 
-REPAIRS = fixture("repairs", "id int, raw string, said_a int, said_b string", [
-    (1, 'Sure! ```json\n{"a": 1, "b": "x"}\n```', 1, "x"), (2, '{"a": 2, "b": "curly } brace"} and more {"a": 9}', 2, "curly } brace"), (3, '{"a": 3, "b": "cut of', 3, "cut of"), (4, '{"a": 4, "b": "y", "c": [{"d": 1', 4, "y"), (5, "no object", None, None), (6, '{"a": 6, "b": "quote \\" in it"}', 6, 'quote " in it'), (7, '{"a": 7,', 7, None),
-])
-
-
-@on(REPAIRS, sql="SELECT id, said_a AS a, said_b AS b FROM repairs")
 def repaired_answers(t: DataFrame) -> DataFrame:
     """Fields of the outermost object of a model's answer, with chatter around it or cut off."""
     from ..functions.names import answer
@@ -404,19 +267,11 @@ def repaired_answers(t: DataFrame) -> DataFrame:
     return t.select("id", answer(F.col("raw"), "a int, b string").alias("x")).select("id", "x.a", "x.b")
 
 
-FIRMS = fixture("firms", "a string, b string, said boolean", [("Acme Steel Ltd", "ACME STEEL", True), ("Acme", "Acme Steel Works", True), ("Steel Works of Acme Pune Line", "Acme Steel Works Line Pune", True), ("Acme", "Beta", False), ("Beta Bank", "Beta Motors", False), ("", "Acme", False)])
-
-
-@on(FIRMS, sql="SELECT a, b, said AS same FROM firms")
 def same_companies(t: DataFrame) -> DataFrame:
     """Names of one company: equal, one in the other, or four fifths of the shorter one's words shared."""
     return t.select("a", "b", T.same_company(F.col("a"), F.col("b")).alias("same"))
 
 
-SNIPPETS = fixture("snippets", "id int, body string, said string", [(1, "Headquarters: Pune, India. Founded 1990", "Pune, India"), (2, "Its headquarters are unknown", ""), (3, "Based in: " + "x" * 90, "x" * 50), (4, None, "")])
-
-
-@on(SNIPPETS, sql="SELECT id, said AS place FROM snippets")
 def keyword_fields(t: DataFrame) -> DataFrame:
     """What stands after the colon within 80 characters of the first keyword that occurs, up to a full stop, 50 characters at most."""
     return t.select("id", B.field_near(F.col("body"), ["headquarters", "based in"]).alias("place"))

@@ -1,4 +1,4 @@
-"""Small made-up tables with the columns that companies, contacts, stories and runs have.
+"""Small made-up tables with the columns that companies, contacts, stories and runs have, for tests of the rules on them.
 
 A query on a fixture gets its tables as DataFrames, and its SQL gets the same rows as common table
 expressions, so that both sides read one definition.
@@ -11,7 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .catalog import ORACLES, QUERIES
+#: Name -> (rows of a SparkSession, SQL).
+CASES: dict[str, tuple[Callable[[SparkSession], DataFrame], str]] = {}
 
 _SQL_TYPES = {"string": "VARCHAR", "int": "INTEGER", "long": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "array<string>": "VARCHAR[]", "array<double>": "DOUBLE[]", "array<long>": "BIGINT[]"}
 
@@ -55,14 +56,13 @@ def fixture(name: str, columns: str, rows: list[tuple]) -> Fixture:
 
 
 def on(*fixtures: Fixture, sql: str):
-    """Register a function of DataFrames as a query on these fixtures; ``sql`` follows their common table expressions."""
+    """Register a function of DataFrames as a case on these fixtures; ``sql`` follows their common table expressions."""
 
     def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-        QUERIES[f.__name__] = lambda spark, d: f(*(x.frame(spark) for x in fixtures))
         more = sql.strip()
         opening = next((w for w in ("WITH RECURSIVE ", "WITH ") if more.startswith(w)), "")
         tables = ", ".join(x.sql for x in fixtures)
-        ORACLES[f.__name__] = (opening or "WITH ") + tables + (", " + more[len(opening) :] if opening else "\n" + more)
+        CASES[f.__name__] = lambda spark: f(*(x.frame(spark) for x in fixtures)), (opening or "WITH ") + tables + (", " + more[len(opening) :] if opening else "\n" + more)
         return f
 
     return add
