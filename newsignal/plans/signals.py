@@ -301,3 +301,130 @@ def customer_emails(spark, d):
     mail = lambda host: F.concat(F.lower("c_name"), F.lit(f"@{host}.com"))
     found = B.email_choice(F.when(F.col("c_acctbal") > 0, mail("first")), key % 100, F.when(F.col("c_nationkey") % 2 == 0, mail("second")), key % 90, F.when(F.col("c_mktsegment") != "MACHINERY", mail("guess")))
     return c.select("c_custkey", found.alias("m")).select("c_custkey", "m.*")
+
+
+# --- more names ----------------------------------------------------------------------------------
+
+_ENTITIES = f"{_NAMED}, entities AS (SELECT m.name, list_sort(list(DISTINCT doc_id)) AS articles, any_value(CASE WHEN contains(m.name, ' ') THEN 'ORG' ELSE 'PERSON' END) AS kind FROM m JOIN k ON k.name = m.name GROUP BY m.name)"
+
+
+def named(spark, d):
+    """(name, articles, kind): capitalised phrases of two texts or more, with the texts that hold them."""
+    m = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_PHRASE), F.lit(1)))).alias("name"))
+    g = m.groupBy("name").agg(F.sort_array(F.collect_set("doc_id")).alias("articles")).filter(F.size("articles") >= 2)
+    return g.withColumn("kind", F.when(F.contains("name", F.lit(" ")), "ORG").otherwise("PERSON"))
+
+
+@query("WITH " + _ENTITIES + """, papers AS (SELECT DISTINCT source FROM documents)
+SELECT name FROM entities WHERE lower(name) NOT IN (SELECT lower(source) FROM papers WHERE source IS NOT NULL) AND regexp_replace(lower(name), '[^a-z0-9]', '', 'g') NOT IN (SELECT regexp_replace(lower(source), '[^a-z0-9]', '', 'g') FROM papers WHERE source IS NOT NULL)
+ AND NOT (len(string_split(name, ' ')) <= 3 AND list_has_any(string_split(lower(name), ' '), ['explainer', 'analysis', 'opinion', 'editorial', 'interview', 'insight']))""")
+def phrases_that_are_no_papers(spark, d):
+    """Names of texts that are neither a source by either key nor a byline."""
+    return stories.source_and_byline_filter(named(spark, d), table(spark, d, "documents").select("source").filter("source is not null").distinct())
+
+
+@query("WITH " + _ENTITIES + """, bad AS (SELECT * FROM entities WHERE contains(lower(name), 'companies') OR length(name) <= 1 OR regexp_matches(name, '^[0-9]+$') OR length(name) <= 2),
+good AS (SELECT * FROM entities WHERE name NOT IN (SELECT name FROM bad)), v AS (SELECT name, string_split(lower(name), ' ') AS w, articles FROM good),
+suffix AS (SELECT s.name AS name, min_by(l.name, (-len(l.articles), l.name)) AS target FROM v s JOIN v l ON len(s.w) <= 2 AND len(l.w) > len(s.w) AND list_slice(l.w, len(l.w) - len(s.w) + 1, len(l.w)) = s.w
+   AND (len(s.w) > 1 OR len(list_intersect(s.articles, l.articles)) / least(len(s.articles), len(l.articles)) >= 0.3) GROUP BY s.name),
+prefix AS (SELECT l.name AS name, min_by(s.name, (-len(s.articles), s.name)) AS target FROM v s JOIN v l ON len(s.w) <= 2 AND len(l.w) > len(s.w) AND list_slice(l.w, 1, len(s.w)) = s.w WHERE s.name NOT IN (SELECT name FROM suffix) AND l.name NOT IN (SELECT name FROM suffix) GROUP BY l.name)
+SELECT name, coalesce(suffix.target, prefix.target, name) AS canonical FROM good LEFT JOIN suffix USING (name) LEFT JOIN prefix USING (name)""")
+def merged_phrases(spark, d):
+    """Names of more than two letters under the name that they are the end or the beginning of."""
+    n = named(spark, d).filter("length(name) > 2 and not contains(lower(name), 'companies')")
+    return stories.containment_merge(n)
+
+
+@query("WITH m AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{3,}'))) AS entity, CASE lang WHEN 'en' THEN 'ORG' WHEN 'fr' THEN 'PRODUCT' WHEN 'de' THEN 'GPE' ELSE 'PERSON' END AS kind FROM documents)," + """
+k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY doc_id) AS r FROM m), c AS (SELECT entity, kind, count(*) AS n, min(doc_id) AS first FROM k WHERE r <= 20 GROUP BY entity, kind),
+t AS (SELECT entity, arg_max(kind, (n, -first)) AS kind, sum(n) AS total, coalesce(sum(n) FILTER (WHERE kind = 'ORG'), 0) AS org, coalesce(sum(n) FILTER (WHERE kind = 'PRODUCT'), 0) AS product FROM c GROUP BY entity)
+SELECT entity, CASE WHEN kind = 'PRODUCT' AND (org > 0 OR product / total < 0.7) THEN 'ORG' ELSE kind END AS kind FROM t""")
+def word_types(spark, d):
+    """The type that most of the first twenty texts give a capitalised word; a text's language stands for what a tagger would say."""
+    kind = F.when(F.col("lang") == "en", "ORG").when(F.col("lang") == "fr", "PRODUCT").when(F.col("lang") == "de", "GPE").otherwise("PERSON")
+    m = table(spark, d, "documents").select(F.col("doc_id").alias("article"), kind.alias("kind"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Z][a-z]{3,})"), F.lit(1)))).alias("entity"))
+    return stories.type_vote(m)
+
+
+# --- more stories --------------------------------------------------------------------------------
+
+
+@query("""
+SELECT event_type AS source, count(*) AS fetches, round(avg((event_id % 9 <> 0)::INT), 4) AS ok_share, round(avg(value) FILTER (WHERE event_id % 9 <> 0), 4) AS seconds, CAST(sum(user_id % 7) AS BIGINT) AS entries,
+ CASE WHEN count(*) FILTER (WHERE event_id % 9 <> 0) = 0 THEN 'down' WHEN sum(user_id % 7) = 0 THEN 'empty' WHEN count(*) FILTER (WHERE event_id % 9 <> 0) < count(*) THEN 'unsteady' ELSE 'healthy' END AS health, CASE WHEN max_by(event_id, (ts, event_id)) % 9 <> 0 THEN 200 ELSE 500 END AS last_status FROM events GROUP BY event_type""")
+def fetch_health(spark, d):
+    """Health of event types as sources: every ninth fetch fails, and users stand for the entries."""
+    e = table(spark, d, "events")
+    at = F.struct("ts", "event_id")
+    return stories.source_health(e.select(F.col("event_type").alias("source"), at.alias("fetched_at"), F.when(F.col("event_id") % 9 != 0, 200).otherwise(500).alias("status"), F.col("value").alias("seconds"), (F.col("user_id") % 7).alias("entries")))
+
+
+@query("""
+WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), c AS (SELECT label AS cluster_id, vec_id % 7 AS run, round(avg(v[1] * v[1] + v[2] * v[2]), 9) AS coherence, count(*) % 3 = 0 AND false AS passed FROM v GROUP BY ALL),
+r AS (SELECT run, bool_or(passed) AS any_passed, greatest(0.10::DOUBLE, 0.8::DOUBLE * avg(coherence)) AS least FROM c GROUP BY run)
+SELECT c.cluster_id, c.run, CASE WHEN any_passed THEN passed ELSE coherence >= least END AS passed FROM c JOIN r ON c.run = r.run""")
+def override_of_groups(spark, d):
+    """Groups of vectors of seven runs of which none passed: those near the run's mean coherence are let through."""
+    v = F.col("embedding")
+    e = table(spark, d, "embeddings").select((F.col("vec_id") % 7).alias("run"), F.col("label").alias("cluster_id"), (v[0].cast("double") * v[0].cast("double") + v[1].cast("double") * v[1].cast("double")).alias("x"))
+    g = e.groupBy("cluster_id", "run").agg(F.round(F.avg("x"), 9).alias("coherence")).withColumn("passed", F.lit(False))
+    return stories.zero_pass_override(g)
+
+
+# --- more leads ----------------------------------------------------------------------------------
+
+
+@query("WITH " + _SHEETS + """, trend_rows AS (SELECT n_nationkey AS trend_id, CASE n_nationkey WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' ELSE n_name END AS title, n_regionkey / 10 AS oss FROM nation), impact_rows AS (SELECT n_name AS title, 'Sell to ' || r_name AS pitch FROM nation JOIN region ON n_regionkey = r_regionkey),
+l AS (SELECT id, company, CASE WHEN id % 3 <> 0 THEN cluster_id END AS trend_id, trend FROM sheets)
+SELECT l.company, l.trend, coalesce(a.trend_id, b.trend_id) AS trend_id, coalesce(a.oss, b.oss, 0) AS oss, i.pitch FROM l LEFT JOIN trend_rows a ON a.trend_id = l.trend_id LEFT JOIN trend_rows b ON b.title = l.trend LEFT JOIN impact_rows i ON i.title = coalesce(a.title, b.title, l.trend)""")
+def order_context(spark, d):
+    """Leads with their trend, by number or else by title, and its pitch."""
+    n = table(spark, d, "nation")
+    key = F.col("n_nationkey")
+    trends = n.select(key.alias("trend_id"), F.when(key == 0, "1-URGENT").when(key == 1, "2-HIGH").otherwise(F.col("n_name")).alias("title"), (F.col("n_regionkey") / 10).alias("oss"))
+    impacts = n.join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("title"), F.concat(F.lit("Sell to "), "r_name").alias("pitch"))
+    leads = sheets(spark, d).select("company", "trend", F.when(F.col("id") % 3 != 0, F.col("cluster_id")).alias("trend_id"))
+    return runs.causal_context(leads, trends, impacts)
+
+
+@query("""
+WITH e AS (SELECT c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN lower(c_name) || '.com' ELSE '' END AS website, CASE WHEN c_custkey % 5 = 0 THEN CAST(c_nationkey AS VARCHAR) END AS employees, CASE WHEN c_custkey % 3 = 0 THEN ['kb'] ELSE [] END AS sources FROM customer),
+r AS (SELECT 'Customer#' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS name, 'reg' || s_suppkey || '.com' AS website, CAST(s_nationkey AS VARCHAR) AS employees FROM supplier), s AS (SELECT 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS name, max('web' || o_custkey || '.com') AS website, CAST(count(*) AS VARCHAR) AS employees FROM orders GROUP BY o_custkey)
+SELECT e.name, coalesce(nullif(e.website, ''), nullif(r.website, ''), nullif(s.website, '')) AS website, coalesce(nullif(e.employees, ''), nullif(r.employees, ''), nullif(s.employees, '')) AS employees,
+ array_to_string(list_sort(list_distinct(list_concat(e.sources, CASE WHEN r.name IS NULL THEN [] ELSE ['registry'] END, CASE WHEN s.name IS NULL THEN [] ELSE ['search'] END))), ',') AS sources FROM e LEFT JOIN r USING (name) LEFT JOIN s USING (name)""")
+def customer_profiles(spark, d):
+    """Customers with what is empty filled from suppliers of their number and then from their orders."""
+    key, number = F.col("c_custkey"), lambda c: F.concat(F.lit("Customer#"), F.lpad(F.col(c).cast("string"), 9, "0"))
+    e = table(spark, d, "customer").select(
+        F.col("c_name").alias("name"), F.when(key % 2 == 0, F.concat(F.lower("c_name"), F.lit(".com"))).otherwise("").alias("website"), F.when(key % 5 == 0, F.col("c_nationkey").cast("string")).alias("employees"),
+        F.when(key % 3 == 0, F.array(F.lit("kb"))).otherwise(F.array().cast("array<string>")).alias("sources"))
+    r = table(spark, d, "supplier").select(number("s_suppkey").alias("name"), F.concat(F.lit("reg"), "s_suppkey", F.lit(".com")).alias("website"), F.col("s_nationkey").cast("string").alias("employees"))
+    s = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").cast("string").alias("employees")).select(number("o_custkey").alias("name"), F.concat(F.lit("web"), "o_custkey", F.lit(".com")).alias("website"), "employees")
+    return runs.fill_if_empty(e, r, s)
+
+
+@query("""
+WITH l AS (SELECT d.doc_id AS id, text, CASE WHEN quality = 1 AND toxic = 0 THEN 1 WHEN quality = 0 OR toxic = 1 THEN 0 END AS label FROM documents d JOIN labels USING (doc_id)), d AS (SELECT *, row_number() OVER (PARTITION BY md5(text) ORDER BY id) AS r FROM l WHERE label IS NOT NULL),
+k AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY id) AS n, count(*) FILTER (WHERE label = 1) OVER () AS pos, count(*) FILTER (WHERE label = 0) OVER () AS neg FROM d WHERE r = 1)
+SELECT id, label FROM k WHERE n <= 2 * least(pos, neg)""")
+def document_auto_labels(spark, d):
+    """Labels of sure documents, each text once, neither class more than twice the other."""
+    j = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").join(table(spark, d, "labels").withColumnRenamed("doc_id", "id"), "id")
+    good = (F.col("quality") == 1) & (F.col("toxic") == 0)
+    return runs.auto_labels(j.select("id", "text", F.when(good, 0.95).otherwise(0.1).alias("score"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("rejected")))
+
+
+@query("SELECT l_orderkey AS trend_id, count(*) AS hops, round(avg((l_returnflag <> 'R')::INT), 4) AS kb_hit_rate FROM lineitem GROUP BY l_orderkey")
+def order_signal(spark, d):
+    """Of each order's lines, as hops of a trend, the share for which companies are known."""
+    known = F.when(F.col("l_returnflag") != "R", F.array(F.col("l_suppkey"))).otherwise(F.array().cast("array<long>"))
+    return runs.trend_signal(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("trend_id"), known.alias("companies")))
+
+
+
+@query(f"WITH s AS (SELECT source, list_distinct(list(CASE lang WHEN 'en' THEN 'B2B' WHEN 'fr' THEN 'macro' WHEN 'de' THEN 'sports' ELSE 'trade' END)) AS tags FROM documents WHERE doc_id % 3 = length(source) % 3 GROUP BY source) SELECT source, CASE WHEN list_has_any(tags, {_list(B.SIGNAL_TAGS)}) THEN 3.0 ELSE 1.0 END::DOUBLE AS alpha, CASE WHEN list_has_any(tags, {_list(B.SIGNAL_TAGS)}) THEN 1.0 WHEN list_has_any(tags, {_list(B.NOISE_TAGS)}) THEN 3.0 ELSE 1.0 END::DOUBLE AS beta FROM s")
+def document_source_priors(spark, d):
+    """Priors of sources by the tags that their documents' languages stand for."""
+    tag = F.when(F.col("lang") == "en", "B2B").when(F.col("lang") == "fr", "macro").when(F.col("lang") == "de", "sports").otherwise("trade")
+    s = table(spark, d, "documents").filter(F.col("doc_id") % 3 == F.length("source") % 3).groupBy("source").agg(F.collect_set(tag).alias("tags"))
+    return business.source_priors(s)
