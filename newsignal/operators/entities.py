@@ -65,3 +65,29 @@ def find_names(docs: DataFrame, names: DataFrame, key: str, text: Column) -> Dat
         more = rows.mapInArrow(run, f"key {kind}, name string, n long, first long")
         out = more if out is None else out.unionByName(more)
     return out.withColumnRenamed("key", key)
+
+
+def places(rows: DataFrame, text: str, names: str) -> DataFrame:
+    """``rows`` once for each of their own ``names`` (an array): name, n, first as in ``find_names``, instead of text and names.
+
+    A text is searched for its own names only, letter by letter where it lies.
+    """
+    others = [f for f in rows.schema.fields if f.name not in (text, names)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, CHUNK):
+                part = b[at : at + CHUNK]
+                which, found, times, first = [], [], [], []
+                for row, (t, own) in enumerate(zip(part.column(text).to_pylist(), part.column(names).to_pylist(), strict=True)):
+                    for w in own or () if t is not None else ():
+                        if n := t.count(w):
+                            which.append(row)
+                            found.append(w)
+                            times.append(n)
+                            first.append(t.index(w) + 1)
+                take = pa.array(which, pa.int32())
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name).take(take) for f in others), pa.array(found, pa.string()), pa.array(times, pa.int64()), pa.array(first, pa.int64())], [*(f.name for f in others), "name", "n", "first"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
+    return rows.mapInArrow(run, f"{schema}, name string, n long, first long")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import business as B
 from ..functions import text as T
-from ..operators import dedup, learning, rank, search, store
+from ..operators import dedup, entities, learning, rank, search, store
 from ..sources.tables import ARTICLES_SQL, articles, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -275,11 +275,11 @@ def mentions(spark, d) -> DataFrame:
     """(doc_id, entity, source_name, salience) of capitalised words: place, count and company decide how salient one is."""
     a = articles(spark, d)
     found = a.select("doc_id", "title", "source_name", F.concat("title", F.lit(". "), "summary").alias("body"), F.array_distinct(F.regexp_extract_all("summary", F.lit("([A-Z][a-z]{3,})"), F.lit(1))).alias("all"))
-    m = found.withColumn("n_entities", F.size("all")).withColumn("entity", F.explode("all"))
-    count = (F.length("body") - F.length(F.replace("body", "entity", F.lit("")))) / F.length("entity")
+    rows = found.select("doc_id", "title", "source_name", "body", F.length("body").alias("chars"), F.size("all").alias("n_entities"), "all")
+    m = entities.places(rows, "body", "all").withColumnRenamed("name", "entity")
     salience = (
-        0.40 * F.when(F.contains("title", "entity"), 1).otherwise(0) + 0.30 * (1 - (F.expr("locate(entity, body)") - 1) / F.length("body"))
-        + 0.15 * F.least(F.log(1 + count) / F.log(F.lit(11.0)), F.lit(1.0)) + 0.15 / F.sqrt("n_entities")
+        0.40 * F.when(F.contains("title", "entity"), 1).otherwise(0) + 0.30 * (1 - (F.col("first") - 1) / F.col("chars"))
+        + 0.15 * F.least(F.log(1 + F.col("n").cast("double")) / F.log(F.lit(11.0)), F.lit(1.0)) + 0.15 / F.sqrt("n_entities")
     )
     return m.select("doc_id", "entity", "source_name", F.round(salience, 4).alias("salience"))
 

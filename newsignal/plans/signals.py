@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import business as B
-from ..operators import entities
+from ..operators import entities, valley
 from ..sources.tables import articles, table
 from . import business, runs, stories
 from .catalog import query
@@ -428,3 +428,19 @@ def document_source_priors(spark, d):
     tag = F.when(F.col("lang") == "en", "B2B").when(F.col("lang") == "fr", "macro").when(F.col("lang") == "de", "sports").otherwise("trade")
     s = table(spark, d, "documents").filter(F.col("doc_id") % 3 == F.length("source") % 3).groupBy("source").agg(F.collect_set(tag).alias("tags"))
     return business.source_priors(s)
+
+
+# --- thresholds ----------------------------------------------------------------------------------
+
+
+@query("""
+WITH s AS (SELECT event_type, round(value / 100, 4) AS s FROM events WHERE event_type = 'purchase' AND value IS NOT NULL), b AS (SELECT s, count(*) AS n FROM s GROUP BY s), i AS (SELECT * FROM b WHERE s BETWEEN 0.05 AND 0.98),
+m AS (SELECT sum(n) AS n, sqrt(greatest((sum(n * s * s) - sum(n * s) * sum(n * s) / sum(n)) / (sum(n) - 1), 0)) AS sd FROM i), w AS (SELECT CASE WHEN (SELECT sum(n) FROM b) >= 30 AND n >= 20 AND sd > 1e-9 THEN 1.06 * sd * pow(n, -0.2) END AS width FROM m),
+d AS (SELECT k AS i, sum(n * exp(-0.5 * pow((0.30 + k * (0.95::DOUBLE - 0.30::DOUBLE) / 199 - s) / width, 2))) AS d FROM i, w, range(200) t(k) WHERE width IS NOT NULL GROUP BY k),
+v AS (SELECT i, d, min(d) OVER (ORDER BY i ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS l, min(d) OVER (ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS r FROM d),
+x AS (SELECT 0.30 + i * (0.95::DOUBLE - 0.30::DOUBLE) / 199 AS place FROM v WHERE i BETWEEN 10 AND 189 AND d < l AND d < r)
+SELECT round(CASE WHEN count(*) = 0 THEN 0.88::DOUBLE ELSE greatest(0.70::DOUBLE, least(0.95::DOUBLE, min_by(place, (abs(place - 0.88::DOUBLE), place)))) END, 6) AS threshold, count(*) AS valleys FROM x""")
+def purchase_valley(spark, d):
+    """The valley in the values of all purchases, as shares of a hundred."""
+    e = table(spark, d, "events").filter("event_type = 'purchase'")
+    return valley.density_valley(e, F.col("value") / 100)

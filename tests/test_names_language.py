@@ -25,6 +25,13 @@ def test_all_names_are_found_whole_texts(spark, monkeypatch, letters):
     assert entities.find_names(spark.createDataFrame(texts, "id long, body string"), spark.createDataFrame([], "name string"), "id", F.col("body")).count() == 0
 
 
+def test_places_of_own_names(spark):
+    rows = [(1, "x", "abcab ab", ["ab", "c", "zz"]), (2, "y", None, ["a"]), (3, None, "é a é", ["é", "a"]), (4, "w", "text", None)]
+    out = entities.places(spark.createDataFrame(rows, "id long, extra string, body string, own array<string>"), "body", "own")
+    assert out.columns == ["id", "extra", "name", "n", "first"]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [(1, "x", "ab", 3, 1), (1, "x", "c", 1, 3), (3, None, "é", 2, 1), (3, None, "a", 1, 3)]))
+
+
 def test_language_scores_equal_plain_sums(spark):
     rows = [(1, "the cat and the dog", "en"), (2, "la casa y el perro", "es"), (3, "le chat et la souris", "fr"), (4, "the house", "en"), (5, None, "en"), (6, "no language", None)]
     model = language.learn(spark.createDataFrame(rows, "id long, t string, l string"), "t", "l")
