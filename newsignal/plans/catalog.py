@@ -448,8 +448,9 @@ def validation_composite(spark, d):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(stddev_pop(value), 6) AS sd FROM events GROUP BY event_type")
 def percentile_profile(spark, d):
-    p = F.percentile("value", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    g = table(spark, d, "events").groupBy("event_type").agg(p.alias("p"), F.stddev_pop("value").alias("sd"))
+    e = table(spark, d, "events").select("event_type", "value")
+    p = rank.exact_percentiles(e, "event_type", "value", [0.1, 0.5, 0.9]).withColumnRenamed("event_type", "_kind")
+    g = e.groupBy("event_type").agg(F.stddev_pop("value").alias("sd")).join(p, F.col("event_type").eqNullSafe(F.col("_kind")))
     return g.select("event_type", *[F.round(F.col("p")[k], 6).alias(n) for k, n in enumerate(("p10", "p50", "p90"))], F.round("sd", 6).alias("sd"))
 
 
