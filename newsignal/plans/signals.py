@@ -9,6 +9,7 @@ from ..functions import business as B
 from ..operators import entities, valley
 from ..sources.tables import articles, table
 from . import business, runs, stories
+from . import sheets as sheets_
 from .catalog import query
 
 
@@ -444,3 +445,109 @@ def purchase_valley(spark, d):
     """The valley in the values of all purchases, as shares of a hundred."""
     e = table(spark, d, "events").filter("event_type = 'purchase'")
     return valley.density_valley(e, F.col("value") / 100)
+
+
+# --- descriptions, contacts, scores --------------------------------------------------------------
+
+
+def _describes(c: str) -> str:
+    """SQL of ``is_description``."""
+    clean = f"trim(coalesce({c}, ''))"
+    low, words = f"lower({clean})", lambda x: f"list_filter(regexp_split_to_array(trim({x}), '\\s+'), lambda w: w <> '')"
+    phrases_ = " OR ".join(f"contains({low}, '{p}')" for p in B.DESCRIPTOR_PHRASES)
+    return f"({clean} = '' OR len({words(clean)}) > 8 OR regexp_matches({low}, '\\(\\s*(excluding|multiple|non-|non |approx|various)[^)]*\\)') OR list_has_any({words(f"translate({low}, ',()', '   ')")}, {_list(B.DESCRIPTOR_WORDS)}) OR {phrases_} OR regexp_matches({low}, '^top [+-]?[0-9]+ +\\S'))"
+
+
+@query(f"SELECT p_partkey, p_name || ' ' || lower(p_type) || CASE p_size % 5 WHEN 0 THEN ' companies' WHEN 1 THEN ' (excluding ' || p_brand || ')' WHEN 2 THEN '' ELSE ' based in ' || p_brand END AS name, {_describes("p_name || ' ' || lower(p_type) || CASE p_size % 5 WHEN 0 THEN ' companies' WHEN 1 THEN ' (excluding ' || p_brand || ')' WHEN 2 THEN '' ELSE ' based in ' || p_brand END")} AS description FROM part")
+def part_descriptions(spark, d):
+    """Whether what parts are called describes them, by their type, brand and size, or names them."""
+    k = F.col("p_size") % 5
+    more = F.when(k == 0, " companies").when(k == 1, F.concat(F.lit(" (excluding "), "p_brand", F.lit(")"))).when(k == 2, "").otherwise(F.concat(F.lit(" based in "), "p_brand"))
+    n = table(spark, d, "part").select("p_partkey", F.concat("p_name", F.lit(" "), F.lower("p_type"), more).alias("name"))
+    return n.withColumn("description", B.is_description(F.col("name")))
+
+
+_ROLES = ["Chief Executive Officer", "Executive Assistant", "Engineer", "VP Sales", "Analyst", "Secretary", "Head of Data"]
+
+
+@query(f"""
+WITH c AS (SELECT c_custkey AS id, ({_list(_ROLES)})[CAST(c_custkey % 7 + 1 AS INTEGER)] AS role, CASE WHEN c_custkey % 3 > 0 THEN lower(c_name) || '@a.com' ELSE '' END AS email, c_custkey % 101 AS conf, c_custkey % 4 = 0 AS verified, CASE WHEN c_nationkey % 2 = 0 THEN 'l' ELSE '' END AS linkedin,
+  c_nationkey / 25 AS relevance, CASE c_custkey % 5 WHEN 0 THEN 'executive' WHEN 1 THEN 'junior' ELSE '' END AS ml, CASE WHEN c_custkey % 11 = 0 THEN '1' ELSE '' END AS phone FROM customer),
+t AS (SELECT *, CASE WHEN {" OR ".join(f"contains(lower(trim(role)), '{w}')" for w in B.DECISION_MAKERS)} THEN 'decision_maker' WHEN {" OR ".join(f"contains(lower(trim(role)), '{w}')" for w in B.GATEKEEPERS)} THEN 'gatekeeper' ELSE 'influencer' END AS tier FROM c),
+l AS (SELECT *, CASE WHEN ml = 'executive' AND tier <> 'decision_maker' THEN 'decision_maker' WHEN ml = 'junior' AND tier = 'decision_maker' THEN 'influencer' ELSE tier END AS level FROM t),
+s AS (SELECT *, (CASE WHEN verified THEN 40 WHEN email <> '' THEN least(conf * 0.4::DOUBLE, 32) ELSE 0 END) + (CASE WHEN phone <> '' THEN 10 ELSE 0 END) + (CASE WHEN linkedin <> '' THEN 10 ELSE 0 END)
+  + (CASE level WHEN 'decision_maker' THEN 20 WHEN 'influencer' THEN 15 WHEN 'gatekeeper' THEN 5 ELSE 10 END) + relevance * 20 AS score FROM l),
+g AS (SELECT *, CASE WHEN level = 'gatekeeper' THEN least(score, 40) ELSE score END AS capped FROM s)
+SELECT id, tier, CAST(greatest(0, least(100, round_even(CASE WHEN email = '' AND phone = '' THEN least(capped, 35) ELSE capped END, 0))) AS INTEGER) AS reach, CASE tier WHEN 'decision_maker' THEN 'executive' WHEN 'gatekeeper' THEN 'professional' ELSE 'consultative' END AS tone FROM g""")
+def customer_reach(spark, d):
+    """Customers as contacts: tier by title, reach from 0 to 100, and the tone to write in."""
+    k, text = F.col("c_custkey"), lambda cond, value: F.when(cond, value).otherwise("")
+    role = F.get(F.array(*map(F.lit, _ROLES)), (k % 7).cast("int"))
+    t = table(spark, d, "customer").select(
+        k.alias("id"), role.alias("role"), text(k % 3 > 0, F.concat(F.lower("c_name"), F.lit("@a.com"))).alias("email"), (k % 101).alias("email_confidence"), (k % 4 == 0).alias("verified"), text(F.col("c_nationkey") % 2 == 0, F.lit("l")).alias("linkedin"),
+        (F.col("c_nationkey") / 25).alias("relevance"), F.when(k % 5 == 0, "executive").when(k % 5 == 1, "junior").otherwise("").alias("ml"), text(k % 11 == 0, F.lit("1")).alias("phone"))
+    return business.contact_reach(t)
+
+
+@query(r"""
+WITH $ARTICLES, c AS (SELECT doc_id AS cluster_id, concat_ws(' ', title, summary) AS body, nullif(regexp_extract(title, '[A-Z][a-z]{3,}', 0), '') AS entity, CASE WHEN lang <> 'de' THEN lang END AS industry, doc_id % 100 / 100 AS coherence, CASE WHEN doc_id % 3 = 0 THEN doc_id % 7 / 10 ELSE 0 END AS strategic FROM articles),
+s AS (SELECT *, CAST(round(0.35 * (entity IS NOT NULL)::INT + 0.25 * coalesce(regexp_matches(body, '(?i)(^|[^\p{L}\p{N}_])(launch|acquir|rais|expand|partner|invest|hire|layoff|regulat|approv|fund|merge|deploy|integrat|adopt)'), false)::INT + 0.25 * coalesce(regexp_matches(body, '\$[\d.]+|\d+%|\d\d\d\d'), false)::INT + 0.15 * (industry IS NOT NULL)::INT, 3) AS DOUBLE) AS oss,
+  CASE WHEN strategic > 0 THEN CASE WHEN strategic >= 0.5 THEN 'high' WHEN strategic >= 0.25 THEN 'medium' ELSE 'low' END WHEN coherence >= 0.7 THEN 'high' WHEN coherence >= 0.5 THEN 'medium' ELSE 'low' END AS severity FROM c),
+w AS (SELECT * FROM s JOIN (VALUES ('high', 1.0, 1.0), ('medium', 0.6, 0.85), ('low', 0.3, 0.55)) AS m(severity, weight, most) USING (severity)),
+a AS (SELECT *, round(least(0.4::DOUBLE * weight::DOUBLE + 0.3::DOUBLE * oss + 0.3::DOUBLE * coherence::DOUBLE, most::DOUBLE), 2) AS score, least(0.4::DOUBLE * weight::DOUBLE + 0.3::DOUBLE * oss + 0.3::DOUBLE * coherence::DOUBLE, most::DOUBLE) AS raw FROM w)
+SELECT cluster_id, oss, severity, CASE WHEN round(raw, 3) >= 0.65 THEN 'major' WHEN round(raw, 3) < 0.4 THEN 'minor' ELSE 'sub' END AS level FROM a""")
+def story_scores(spark, d):
+    """Articles as trends: specificity, severity, and the level that their actionability gives."""
+    i = F.col("doc_id")
+    a = articles(spark, d).select(
+        i.alias("cluster_id"), F.col("title").alias("label"), "summary", F.nullif(F.regexp_extract("title", "([A-Z][a-z]{3,})", 1), F.lit("")).alias("entity"), F.when(F.col("lang") != "de", F.col("lang")).alias("industry"),
+        (i % 100 / 100).alias("coherence"), F.when(i % 3 == 0, i % 7 / 10).otherwise(0.0).alias("strategic"))
+    return business.trend_scores(a).drop("actionability")
+
+
+@query(f"""
+WITH h AS (SELECT l_orderkey AS event, o_orderpriority AS trend, l_linenumber AS hop, p_type AS segment, CASE l_linenumber % 4 WHEN 0 THEN 'pain' WHEN 1 THEN 'opportunity' WHEN 2 THEN 'risk' ELSE 'other' END AS kind, 'Costs of ' || p_name || ' move' AS mechanism, CAST(l_quantity AS INTEGER) AS weeks, l_tax * 10 AS confidence,
+  CASE l_returnflag WHEN 'R' THEN [] WHEN 'A' THEN [s_name, p_name || ' companies', s_name || ' Two', 'Three ' || s_name, 'Four'] ELSE [p_name || ' focused on ' || p_brand] END AS companies FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey),
+g AS (SELECT *, list_filter(companies, lambda c: NOT {_describes("c")}) AS good FROM h WHERE confidence >= 0.35), p AS (SELECT *, len(good) = 0 AS placeholder FROM g),
+x AS (SELECT *, unnest(CASE WHEN placeholder THEN [segment] ELSE good[1:3] END) AS company FROM p), o AS (SELECT *, CASE WHEN placeholder THEN 'Your business' ELSE company END AS who FROM x)
+SELECT event, hop, company, placeholder, round(confidence * (CASE WHEN placeholder THEN 0.8::DOUBLE ELSE 1 END), 4) AS confidence, weeks AS urgency_weeks,
+ CASE kind WHEN 'pain' THEN who || ' faces a concrete challenge: ' || mechanism || '. This will likely materialize within ' || weeks || ' weeks. We help companies navigate exactly this kind of pressure.'
+  WHEN 'opportunity' THEN 'The recent ' || lower(trend) || ' creates a specific opening for ' || who || '. ' || mechanism || '. Companies that move in the next ' || weeks || ' weeks capture the most value.'
+  WHEN 'risk' THEN who || ' carries elevated risk right now: ' || mechanism || '. Our risk intelligence platform can help quantify and mitigate this exposure.'
+  ELSE 'Given the recent ' || lower(trend) || ', ' || who || ' stands to benefit from sharper competitive intelligence. ' || mechanism || '.' END AS opening FROM o""")
+def line_leads(spark, d):
+    """Leads of order lines as causal hops: up to three companies each that are no descriptions, else the segment as a placeholder, and the opening line."""
+    l = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey")).join(table(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    k, flag = F.col("l_linenumber") % 4, F.col("l_returnflag")
+    some = F.array(F.col("s_name"), F.concat("p_name", F.lit(" companies")), F.concat("s_name", F.lit(" Two")), F.concat(F.lit("Three "), "s_name"), F.lit("Four"))
+    hops = l.select(
+        F.col("l_orderkey").alias("event"), F.col("o_orderpriority").alias("trend"), F.col("l_linenumber").alias("hop"), F.col("p_type").alias("segment"), F.when(k == 0, "pain").when(k == 1, "opportunity").when(k == 2, "risk").otherwise("other").alias("kind"),
+        F.concat(F.lit("Costs of "), "p_name", F.lit(" move")).alias("mechanism"), F.col("l_quantity").cast("int").alias("weeks"), (F.col("l_tax") * 10).alias("confidence"),
+        F.when(flag == "R", F.array().cast("array<string>")).when(flag == "A", some).otherwise(F.array(F.concat("p_name", F.lit(" focused on "), "p_brand"))).alias("companies"))
+    return business.crystallised_leads(hops)
+
+
+@query("WITH " + _STORIES + """, x AS (SELECT *, lower(concat_ws(' ', title, summary)) AS body FROM stories),
+d AS (SELECT lower(target) AS t, NOT EXISTS (SELECT 1 FROM x WHERE published >= TIMESTAMP '2024-01-01 03:00:00' AND """ + _NAMES % "body" + """) AS dropped FROM targets)
+SELECT id FROM x WHERE NOT EXISTS (SELECT 1 FROM d WHERE dropped) OR NOT EXISTS (SELECT 1 FROM d WHERE NOT dropped) OR EXISTS (SELECT 1 FROM d WHERE NOT dropped AND contains(body, t)) OR NOT EXISTS (SELECT 1 FROM d WHERE dropped AND contains(body, t))""")
+def watched_stories(spark, d):
+    """Articles that name a watched word which was named after the first three hours, or none that went silent."""
+    return stories.recent_targets(*_stories(spark, d), "2024-01-01 03:00:00")
+
+
+@query("""
+WITH $ARTICLES, e AS (SELECT doc_id AS id, title, summary, regexp_extract(title, '[A-Z][a-z]+', 0) AS person, regexp_extract_all(summary, '[A-Z][a-z]+') AS all_, doc_id % 10 / 10 AS salience FROM articles), c AS (SELECT *, all_[len(all_)] AS company FROM e WHERE person <> '' AND len(all_) > 0)
+SELECT id, company, round(CASE WHEN contains(lower(title), lower(person)) AND len(list_filter(regexp_split_to_array(lower(summary), '[.!?]'), lambda s: contains(s, lower(person)) AND contains(s, lower(company)))) > 0 THEN least(1, salience + 0.12::DOUBLE) ELSE salience END, 4) AS salience FROM c""")
+def boosted_names(spark, d):
+    """The last name of a text gains where a sentence names it with the first name of the title."""
+    every = F.regexp_extract_all("summary", F.lit("([A-Z][a-z]+)"), F.lit(1))
+    a = articles(spark, d).select(F.col("doc_id").alias("id"), "title", "summary", F.regexp_extract("title", "([A-Z][a-z]+)", 1).alias("person"), every.alias("every"), (F.col("doc_id") % 10 / 10).alias("salience"))
+    return sheets_.person_boost(a.filter("person <> '' and size(every) > 0").withColumn("company", F.element_at("every", -1)))
+
+
+@query("SELECT c_custkey AS company, coalesce(CAST(nullif(regexp_extract(replace(e, ',', ''), '[0-9]+', 0), '') AS BIGINT) BETWEEN 50 AND 899, TRUE) AS fits FROM (SELECT c_custkey, CASE WHEN c_custkey % 4 > 0 THEN 'about ' || CAST(c_custkey % 1500 AS VARCHAR) || '-2,000' ELSE '' END AS e FROM customer)")
+def customer_size_bands(spark, d):
+    """Customers whose size lies in the band, by texts like ``about 120-2,000``; unknown sizes pass."""
+    k = F.col("c_custkey")
+    size = F.when(k % 4 > 0, F.concat(F.lit("about "), (k % 1500).cast("string"), F.lit("-2,000"))).otherwise("")
+    return business.size_band(table(spark, d, "customer").select(k.alias("company"), size.alias("employees")))

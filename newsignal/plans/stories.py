@@ -64,11 +64,11 @@ def relevance_gate(stories: DataFrame, targets: DataFrame) -> DataFrame:
     return j.select("id", "gate", ((F.col("gate") == "keep") | ((F.col("gate") == "ambiguous") & hit)).alias("kept"))
 
 
-def recent_targets(stories: DataFrame, targets: DataFrame) -> DataFrame:
-    """Stories that name a target of the last five days, or none that went silent; all of them if every target did."""
+def recent_targets(stories: DataFrame, targets: DataFrame, since: str = "2024-03-05 12:00:00") -> DataFrame:
+    """Stories that name a target that was named from ``since`` on, or none that went silent; all of them if every target did."""
     x = stories.withColumn("body", F.lower(F.concat_ws(" ", "title", "summary")))
     names = targets.select(F.lower("target").alias("t"))
-    recent = x.filter("published >= timestamp '2024-03-05 12:00:00'")
+    recent = x.filter(F.col("published") >= F.lit(since).cast("timestamp_ntz"))
     heard = recent.join(names, F.regexp_like("body", F.concat(F.lit(r"\b"), F.col("t"), F.lit(r"\b")))).select("t").distinct()  # texts against the few targets
     marked = names.join(heard.withColumn("heard", F.lit(True)), "t", "left").agg(F.collect_set(F.when(F.col("heard"), F.col("t"))).alias("left"), F.collect_set(F.when(F.col("heard").isNull(), F.col("t"))).alias("gone"))
     holds = lambda names: F.exists(names, lambda n: F.contains(F.col("body"), n))
