@@ -17,8 +17,8 @@ from .shared import ascii_lower, materialise, table
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 #: Pages are taken in chunks of about so many, each with the part of the models that its urls can use; the driver collects no model.
 CHUNK = 1_024
-#: Longest word that Viterbi considers.
-MAX_WORD = 24
+#: What each letter of an unknown word costs.
+LETTER = 2.0
 _RUN = re.compile("[a-z]+|[0-9]+|[^\x00-\x7f]+")
 
 
@@ -37,19 +37,29 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return rule, verdict
 
 
-def segment(word: str, logp: dict[str, float], total: float) -> list[str]:
-    """The most likely split of ``word`` under the unigram model; an unknown word costs more the longer it is."""
-    best, back = [0.0], [0]
+def segment(word: str, logp: dict[str, float], total: float, lengths: list[int] | None = None) -> list[str]:
+    """The most likely split of ``word`` under the unigram model; an unknown word costs more the longer it is, and of equally likely splits that with the longest last word counts.
+
+    ``lengths``: those of the known words, ascending; no others are looked up.  The best place where
+    an unknown word may begin is carried along, so words of any length count.
+    """
+    lengths = sorted({len(w) for w in logp}) if lengths is None else lengths
+    unknown = -math.log(max(total, 2.0))
+    best, back, reach, start = [0.0], [0], 0.0, 0
     for i in range(1, len(word) + 1):
-        top, at = -math.inf, i - 1
-        for j in range(max(0, i - MAX_WORD), i):
-            piece = word[j:i]
-            p = logp.get(piece)
-            s = best[j] + (p if p is not None else -math.log(max(total, 2.0)) - 2.0 * (i - j))
-            if s > top:
-                top, at = s, j
+        top, at = reach + unknown - LETTER * i, start
+        for n in lengths:
+            if n > i:
+                break
+            p = logp.get(word[i - n : i])
+            if p is not None:
+                s = best[i - n] + p
+                if s > top or s == top and i - n < at:
+                    top, at = s, i - n
         best.append(top)
         back.append(at)
+        if top + LETTER * i > reach:
+            reach, start = top + LETTER * i, i
     out, i = [], len(word)
     while i:
         out.append(word[back[i] : i])
@@ -63,6 +73,7 @@ class Segmenter:
     def __init__(self, counts: dict[str, int], total: int):
         self.total = float(total)
         self.logp = {w: math.log(n / self.total) for w, n in counts.items()}
+        self.lengths = sorted({len(w) for w in counts})
         self.cache: dict[str, list[str]] = {}
 
     def words(self, text: str, mark: str) -> list[str]:
@@ -73,7 +84,7 @@ class Segmenter:
                 continue
             got = self.cache.get(run)
             if got is None:
-                got = self.cache[run] = segment(run, self.logp, self.total)
+                got = self.cache[run] = segment(run, self.logp, self.total, self.lengths)
             out += [mark + w for w in got]
         return out
 
@@ -82,7 +93,7 @@ class Segmenter:
 
 
 def unigrams(pages: DataFrame) -> DataFrame:
-    """(word, n): counts over all pages of words a-z that Viterbi can consider.
+    """(word, n): counts over all pages of words a-z, of any length.
 
     Words come from the text (tags, character references and host names are none) and from the
     parts of urls that are words already: the last two labels of a host, the parts of labels with
@@ -92,11 +103,11 @@ def unigrams(pages: DataFrame) -> DataFrame:
     text = F.regexp_replace(F.lower("html"), r"<[^>]*>|&#?[a-z0-9]+;|[a-z0-9-]+([.][a-z0-9-]+)+", " ")
     hyphens = F.array_join(F.filter(F.split(host, "[.]"), lambda x: x.contains("-")), " ")
     words = F.split(F.concat_ws(" ", text, F.substring_index(host, ".", -2), hyphens, F.lower(path)), "[^a-z]+")
-    return pages.select(F.explode(words).alias("word")).filter(f"length(word) between 1 and {MAX_WORD}").groupBy("word").agg(F.count("*").alias("n"))
+    return pages.select(F.explode(words).alias("word")).filter("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
 
 
-def pieces(parsed: DataFrame) -> DataFrame:
-    """(_chunk, word): every piece of the letter runs of a chunk that could be a word."""
+def pieces(parsed: DataFrame, lengths: list[int]) -> DataFrame:
+    """(_chunk, word): every piece of the letter runs of a chunk that is as long as some word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -104,7 +115,7 @@ def pieces(parsed: DataFrame) -> DataFrame:
             for chunk, host, path in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 runs[chunk].update(r for r in _RUN.findall(host) + _RUN.findall(path.lower()) if "a" <= r[0] <= "z")
             for chunk, own in runs.items():
-                found = list({r[i:j] for r in own for i in range(len(r)) for j in range(i + 1, min(len(r), i + MAX_WORD) + 1)})
+                found = list({r[i : i + n] for r in own for n in lengths if n <= len(r) for i in range(len(r) - n + 1)})
                 yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(found), pa.int64()), pa.array(found, pa.string())], ["_chunk", "word"])
 
     return parsed.select("_chunk", "host", "path").mapInArrow(run, "_chunk long, word string").distinct()
@@ -113,7 +124,8 @@ def pieces(parsed: DataFrame) -> DataFrame:
 def tokenise(parsed: DataFrame, counts: DataFrame) -> DataFrame:
     """``parsed`` with the tokens of each page; a chunk meets the counts of its own pieces only."""
     total = counts.agg(F.sum("n")).first()[0] or 0
-    known = pieces(parsed).join(counts, "word")
+    lengths = sorted(n for (n,) in counts.select(F.length("word")).distinct().collect())  # numbers up to the longest word
+    known = pieces(parsed, lengths).join(counts, "word")
 
     def run(pages: pa.Table, words: pa.Table) -> pa.Table:
         seg = Segmenter(dict(zip(words["word"].to_pylist(), words["n"].to_pylist(), strict=True)), total)
@@ -147,7 +159,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> D
 
     Cases: a null url, or one without ``://``, has an empty host and path, no tokens, and the
     verdict of the prior; without pages of both verdicts the score is 0 and the verdict
-    ``allow``; repeated rows are judged alike; page_id may be null; extra columns are ignored.
+    ``allow``; repeated rows are judged alike; page_id may be null; extra columns are ignored; a very long url
+    is split whole; of rules that fit the longest decides, and a score of 0 allows; no pages give no rows.
     """
     host, path = split_url(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))

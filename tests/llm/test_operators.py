@@ -1,6 +1,7 @@
 """Small tests of each operator: brute force, round trips, and the cases that docstrings define."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -339,6 +340,64 @@ def test_segmentation_splits_known_words():
     assert "".join(urls.segment("qqfreezz", logp, total)) == "qqfreezz"
 
 
+def plain_segment(word, logp, total):
+    """The best of all splits, by trying each."""
+    cost = lambda p: logp.get(p, -math.log(max(total, 2.0)) - 2.0 * len(p))
+    best = None
+    for cuts in range(1 << (len(word) - 1)):
+        parts, at = [], 0
+        for k in range(1, len(word)):
+            if cuts >> (k - 1) & 1:
+                parts.append(word[at:k])
+                at = k
+        parts.append(word[at:])
+        score = sum(map(cost, parts))
+        if best is None or score > best[0] + 1e-12:
+            best = score, parts
+    return best
+
+
+def test_url_split_is_the_best_of_all():
+    rng = random.Random(5)
+    for _ in range(60):
+        words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) for _ in range(8)]
+        counts = {w: rng.randint(1, 50) for w in words}
+        total = sum(counts.values()) + rng.randint(0, 1000)
+        logp = {w: math.log(n / total) for w, n in counts.items()}
+        text = "".join(rng.choice([*words, "x", "yz"]) for _ in range(3))[:12]
+        got = urls.segment(text, logp, total)
+        cost = lambda parts: sum(logp.get(p, -math.log(max(total, 2.0)) - 2.0 * len(p)) for p in parts)
+        assert "".join(got) == text and cost(got) == pytest.approx(plain_segment(text, logp, total)[0])
+    long = "q" * 90
+    assert urls.segment(long + "free", {"free": -1.0, long: -2.0}, 100.0) == [long, "free"] and urls.segment("z" * 70, {"free": -1.0}, 100.0) == ["z" * 70]
+
+
+def test_url_verdicts_by_plain_loops(spark):
+    """Every word count, split, token count and score by dictionaries."""
+    from collections import Counter
+
+    pages = [(k, f"http://{a}{b}.{z}/{p}/{k}", f"<p>{a} {b} {a} reads {c}</p>") for k, (a, b, c, z, p) in enumerate((a, b, c, z, p) for a in ("casino", "news") for b in ("win", "daily") for c in ("bets", "story") for z in ("net", "org", "example.com", "io") for p in ("fr", "de"))]
+    pages += [(900, None, "<p>casino</p>"), (901, "no url", None), (902, "http://casinowindaily.io/x", "")]
+    out = {r["page_id"]: r for r in urls.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    split = {i: (m[1].lower(), m[2]) if u and (m := re.search(r"://([^/?#]*)([^?#]*)", u)) else ("", "") for i, u, _ in pages}
+    counts = Counter()
+    for i, _, h in pages:
+        host, path = split[i]
+        text = re.sub(r"<[^>]*>|&#?[a-z0-9]+;|[a-z0-9-]+([.][a-z0-9-]+)+", " ", h.lower()) if h else ""
+        hyphens = " ".join(x for x in host.split(".") if "-" in x)
+        counts.update(w for w in re.split("[^a-z]+", " ".join([text, ".".join(host.split(".")[-2:]), hyphens, path.lower()])) if w)
+    seg = urls.Segmenter(dict(counts), sum(counts.values()))
+    tokens = {i: seg.tokens(*split[i]) for i, _, _ in pages}
+    ruled = {i: max(((len(h + p), kind) for kind, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)), default=(0, None))[1] for i, (host, path) in split.items()}
+    b, a = (Counter(t for i, v in ruled.items() if v == kind for t in tokens[i]) for kind in ("block", "allow"))
+    every = len({*b, *a})
+    prior = math.log(sum(v == "block" for v in ruled.values()) / sum(v == "allow" for v in ruled.values()))
+    for i, t in tokens.items():
+        score = prior + sum(math.log((b[w] + 1) / (sum(b.values()) + every + 1)) - math.log((a[w] + 1) / (sum(a.values()) + every + 1)) for w in t if w in b or w in a)
+        assert out[i]["words"].split() == t and out[i]["score"] == pytest.approx(score)
+        assert out[i]["verdict"] == (ruled[i] or ("block" if score > 0 else "allow"))
+
+
 # --- 6 ---
 
 
@@ -681,3 +740,19 @@ def test_rans_blocks():
     damaged[100] ^= 1
     with pytest.raises(ValueError):
         rans.unpack(row["header"], row["lengths"], bytes(damaged), row["checkpoints"], freq)
+
+
+def test_toxicity_scores_by_plain_loops(spark, docs, prose):
+    """Every weight and every pair of factors, one by one."""
+    texts = [(k, prose(30, k) + (" you utter qwfool" if k % 2 else "")) for k in range(80)] + [(200, ""), (201, None), (202, " ".join(prose(400, 9) for _ in range(20)))]
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(80)], "doc_id long, quality int, toxic int")
+    d = docs(texts)
+    m = toxicity.train(d, labels)
+    place = {int(b): k for k, b in enumerate(m.buckets)}
+    out = {r["doc_id"]: r for r in toxicity.score_toxicity(d, m).collect()}
+    for i, t in texts:
+        buf = np.frombuffer((t or "").encode(), np.uint8)
+        own = [place[b] for b in {int(x) for x in toxicity.terms(buf, np.array([0, len(buf)]))[1]} if b in place]
+        z = m.bias + sum(m.weights[k] for k in own) + sum(float(m.factors[a] @ m.factors[b]) for n, a in enumerate(own) for b in own[:n])
+        assert out[i]["score"] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-9)
+        assert out[i]["predicted"] == int(out[i]["score"] >= toxicity.THRESHOLD)
