@@ -19,9 +19,9 @@ from .shared import table
 from .textkit import slices
 
 #: Distinct pieces whose encoding a worker keeps, and the longest that is kept, in bytes.
-CACHE, CACHED_PIECE = 250_000, 64
+CACHE, CACHED_PIECE = 120_000, 64
 #: Neighbours that a worker remembers.
-PAIRS = 300_000
+PAIRS = 150_000
 #: Texts are worked on together up to so many bytes.
 BATCH_BYTES = 1 << 20
 # Fixed value: the usual pattern of byte-level vocabularies.
@@ -39,7 +39,9 @@ class Vocabulary:
         self.longest = max(map(len, ranks), default=1)
         #: Every ending of a token: its own rank, or -1 if it is none.
         self.endings = {t[k:]: -1 for t in ranks for k in range(len(t))} | ranks
+        #: What was asked lately, and what was asked before that: when the first is half of PAIRS it becomes the second.
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.older: dict[tuple[int, int], bool] = {}
         self.reachable: dict[int, bool] = {}
 
     @classmethod
@@ -77,9 +79,12 @@ class Vocabulary:
         """Whether merging the bytes of a and b gives a, b again."""
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            known = self.older.get((a, b))
+            if known is None:
+                known = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            self.pairs[a, b] = known
+            if len(self.pairs) >= PAIRS // 2:
+                self.older, self.pairs = self.pairs, {}
         return known
 
 
@@ -193,7 +198,9 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary = vocabulary
+        #: Pieces of late, and those before them, as for neighbours.
         self.cache: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.older: dict[str, tuple[tuple[int, ...], str]] = {}
         self.split = splitter(pattern)
 
     def learn(self, pieces: set[str]) -> dict[str, tuple[tuple[int, ...], str]]:
@@ -214,16 +221,17 @@ class Encoder:
         split = [self.split(t) for t in texts]
         every = set().union(*split)
         new = every.difference(self.cache)
-        if len(self.cache) + len(new) > CACHE:
-            self.cache = {}
-            new = every
-        found = self.learn(new)
+        again = new.intersection(self.older)
+        found = self.learn(new - again)
         self.cache.update(found)
+        self.cache.update((p, self.older[p]) for p in again)
         for pieces in split:
             got = list(map(self.cache.__getitem__, pieces))
             yield list(chain.from_iterable(map(_IDS, got))), " ".join(map(_SHOWN, got))
         for piece in [p for p in found if len(p) > CACHED_PIECE]:
             del self.cache[piece]
+        if len(self.cache) >= CACHE // 2:
+            self.older, self.cache = self.cache, {}
 
     def encode(self, text: str) -> tuple[list[int], str]:
         return next(self.encode_all([text]))
