@@ -185,13 +185,16 @@ def story_gate(spark, d):
 
 _SHARE = "CAST(round(avg(CASE WHEN %s THEN 1.0 ELSE 0.0 END), 4) AS DOUBLE)"
 _MEASURES = {"quality": "value > 50", "oss": "value > 40", "actionable": "value > 30", "accept": "value < 20", "coherence": "value between 20 and 80", "pass_rate": "value > 60", "noise": "value > 90", "confidence": "value > 10"}
-_HISTORY = "history AS (SELECT event_type AS loop, CAST(row_number() OVER (PARTITION BY event_type ORDER BY CAST(ts AS DATE)) AS INTEGER) AS run, " + ", ".join(f"{_SHARE % c} AS {k}" for k, c in _MEASURES.items()) + ", CASE WHEN count(*) % 2 = 0 THEN 'updated' ELSE 'skipped' END AS status FROM events GROUP BY event_type, CAST(ts AS DATE))"
+#: The share of confident values is bent a little, so that no smoothed threshold lies just between two of its four digits, where engines round doubles differently.
+_BENT = "%s * 0.9137::DOUBLE + 0.00371::DOUBLE"
+_HISTORY = "history AS (SELECT event_type AS loop, CAST(row_number() OVER (PARTITION BY event_type ORDER BY CAST(ts AS DATE)) AS INTEGER) AS run, " + ", ".join(f"{_BENT % (_SHARE % c) if k == 'confidence' else _SHARE % c} AS {k}" for k, c in _MEASURES.items()) + ", CASE WHEN count(*) % 2 = 0 THEN 'updated' ELSE 'skipped' END AS status FROM events GROUP BY event_type, CAST(ts AS DATE))"
 
 
 def history(spark, d):
     """One run a day of each event type: shares of its values, and whether the loop was active."""
     days = table(spark, d, "events").groupBy(F.col("event_type").alias("loop"), F.to_date("ts").alias("day")).agg(
         *[F.round(F.avg(F.when(F.expr(c), 1.0).otherwise(0.0)), 4).alias(k) for k, c in _MEASURES.items()], F.when(F.count("*") % 2 == 0, "updated").otherwise("skipped").alias("status"))
+    days = days.withColumn("confidence", F.col("confidence") * 0.9137 + 0.00371)
     return days.withColumn("run", F.row_number().over(Window.partitionBy("loop").orderBy("day"))).drop("day")
 
 
