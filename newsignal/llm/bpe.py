@@ -19,9 +19,11 @@ from .shared import table
 from .textkit import slices
 
 #: Distinct pieces whose encoding a worker keeps, and the longest that is kept, in bytes.
-CACHE, CACHED_PIECE = 120_000, 64
+CACHE, CACHED_PIECE = 500_000, 64
 #: Neighbours that a worker remembers.
-PAIRS = 150_000
+PAIRS = 500_000
+#: The same where other stages share the workers: (pieces, neighbours).
+SMALL = 120_000, 150_000
 #: Texts are worked on together up to so many bytes.
 BATCH_BYTES = 1 << 20
 # Fixed value: the usual pattern of byte-level vocabularies.
@@ -39,7 +41,8 @@ class Vocabulary:
         self.longest = max(map(len, ranks), default=1)
         #: Every ending of a token: its own rank, or -1 if it is none.
         self.endings = {t[k:]: -1 for t in ranks for k in range(len(t))} | ranks
-        #: What was asked lately, and what was asked before that: when the first is half of PAIRS it becomes the second.
+        #: What was asked lately, and what was asked before that: when the first is half of ``most_pairs`` it becomes the second.
+        self.most_pairs = PAIRS
         self.pairs: dict[tuple[int, int], bool] = {}
         self.older: dict[tuple[int, int], bool] = {}
         self.reachable: dict[int, bool] = {}
@@ -83,7 +86,7 @@ class Vocabulary:
             if known is None:
                 known = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
             self.pairs[a, b] = known
-            if len(self.pairs) >= PAIRS // 2:
+            if len(self.pairs) >= self.most_pairs // 2:
                 self.older, self.pairs = self.pairs, {}
         return known
 
@@ -196,8 +199,9 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
 class Encoder:
     """A bounded cache, piece -> (ids, ids as decimal text), in front of ``Prefixes``."""
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str):
-        self.vocabulary = vocabulary
+    def __init__(self, vocabulary: Vocabulary, pattern: str, cache: int = CACHE, pairs: int = PAIRS):
+        self.vocabulary, self.most = vocabulary, cache
+        vocabulary.most_pairs = pairs
         #: Pieces of late, and those before them, as for neighbours.
         self.cache: dict[str, tuple[tuple[int, ...], str]] = {}
         self.older: dict[str, tuple[tuple[int, ...], str]] = {}
@@ -230,7 +234,7 @@ class Encoder:
             yield list(chain.from_iterable(map(_IDS, got))), " ".join(map(_SHOWN, got))
         for piece in [p for p in found if len(p) > CACHED_PIECE]:
             del self.cache[piece]
-        if len(self.cache) >= CACHE // 2:
+        if len(self.cache) >= self.most // 2:
             self.older, self.cache = self.cache, {}
 
     def encode(self, text: str) -> tuple[list[int], str]:
@@ -241,27 +245,29 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, pattern: str) -> Encoder:
+def encoder(path: str, pattern: str, cache: int = CACHE, pairs: int = PAIRS) -> Encoder:
     """One encoder for each worker process and vocabulary."""
-    return Encoder(Vocabulary.load(path), pattern)
+    return Encoder(Vocabulary.load(path), pattern, cache, pairs)
 
 
-def encode_texts(docs: DataFrame, path: str, pattern: str, keep_ids: bool = True) -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, pattern: str, keep_ids: bool = True, cache: int = CACHE, pairs: int = PAIRS) -> DataFrame:
     """``docs`` with n_tokens, ids_sha256, decoded_sha256 and, with ``keep_ids``, ids (array of int).
 
     Each match of ``pattern`` is encoded by itself, from the last tokens of its byte prefixes;
     ids_sha256 is over the decimal ids joined by one space, decoded_sha256 over the bytes that
     the ids decode to.  ``path`` is read on every worker: the vocabulary is part of the installation.
+    ``cache`` and ``pairs`` bound what a worker remembers; the result is the same with any.
 
-    Cases: a null or empty text has no ids, and the digests of no bytes; repeated rows are
-    encoded alike; columns of the same names are replaced, all others stay.
+    Cases: a null or empty text has no ids, and the digests of no bytes; a very long text is
+    encoded whole; repeated rows are encoded alike; columns of the same names are replaced, all
+    others stay; an empty table stays empty.
     """
     docs = docs.drop("n_tokens", "ids_sha256", "decoded_sha256", "ids")
     new = ", n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + new
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, pattern)
+        enc = encoder(path, pattern, cache, pairs)
 
         def out(rows: pa.RecordBatch, got: list) -> pa.RecordBatch:
             arrays = [*rows.columns, pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.string())]
