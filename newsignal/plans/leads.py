@@ -118,7 +118,7 @@ def lead_enrichment(spark, d):
 
 @query("""
 WITH l AS (SELECT l_orderkey, l_suppkey, l_partkey, round(l_extendedprice * (1 - l_discount), 4) AS revenue FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_shipdate < TIMESTAMP '1997-01-01')
-SELECT n_name, r_name, count(*) AS n_lines, round(sum(revenue), 2) AS revenue FROM l JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY n_name, r_name""")
+SELECT n_name, r_name, count(*) AS n_lines, CAST(round(sum(CAST(revenue AS DECIMAL(18, 4))), 2) AS DOUBLE) AS revenue FROM l JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY n_name, r_name""")
 def outreach_chain(spark, d):
     """A chain of joins from outreach rows to regions; the date filter and the columns reach the scan."""
     l = table(spark, d, "lineitem").filter("l_shipdate >= timestamp_ntz'1995-01-01' and l_shipdate < timestamp_ntz'1997-01-01'")
@@ -126,7 +126,7 @@ def outreach_chain(spark, d):
     n, r = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), table(spark, d, "region").select("r_regionkey", "r_name")
     j = l.select("l_suppkey", F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4).alias("revenue")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
     j = j.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
-    return j.groupBy("n_name", "r_name").agg(F.count("*").alias("n_lines"), F.round(F.sum("revenue"), 2).alias("revenue"))
+    return j.groupBy("n_name", "r_name").agg(F.count("*").alias("n_lines"), F.round(F.sum(F.col("revenue").cast("decimal(18,4)")), 2).cast("double").alias("revenue"))  # exact, in any order
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (WHERE quality = 1) AS positive, count(*) FILTER (WHERE quality = 0) AS negative, count(*) FILTER (WHERE quality = 1) >= 25 AND count(*) FILTER (WHERE quality = 0) >= 25 AS ready FROM labels")
