@@ -7,20 +7,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .shared import table
+from .shared import Workspace, table
 
 #: Buckets of the two multinomials.
 BITS = 17
 BUCKETS = 1 << BITS
 #: Bytes of a word's ending; see ``grams``.
 EDGE = 3
-#: Labelled rows of each quality at most that the threshold is fitted on, by hash order.
-FIT_ROWS = 5_000
 #: Parts of the trusted rows; each is scored under the counts of the others when the threshold is fitted.
 FOLDS = 2
 #: The threshold never rejects more than this share of the trusted rows it was fitted on.
@@ -97,18 +95,21 @@ def _parse(buf: np.ndarray, offs: np.ndarray):
 
 @dataclass
 class Ratio:
-    """log p(bucket | trusted) - log p(bucket | raw) for each bucket, and the least mean a text is kept with."""
+    """log p(bucket | trusted) - log p(bucket | raw) for each bucket, and the least mean a text is kept with.
+
+    ``weights`` may have a row for each fold.
+    """
 
     weights: np.ndarray
     threshold: float
 
-    def means(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """Log-likelihood ratio of each text, divided by its number of n-grams; 0 for a text without words."""
+    def means(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, hashes: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
+        """Log-likelihood ratio of each text (under the weights of its ``fold``), divided by its number of n-grams; 0 for a text without words."""
         n = len(first) - 1
         total, size = np.zeros(n), np.zeros(n)
         for bucket, at in grams(buf, starts, ends, first, hashes):
             text = tk.owners(at, first)
-            total += np.bincount(text, self.weights[bucket], n)
+            total += np.bincount(text, self.weights[bucket] if fold is None else self.weights[fold[text], bucket], n)
             size += np.bincount(text, minlength=n)
         return total / np.maximum(size, 1)
 
@@ -151,54 +152,60 @@ def ratio_weights(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.log(p) - np.log(q)
 
 
-def best_threshold(good: np.ndarray, bad: np.ndarray) -> float:
-    """The cut that tells the two best apart, in the middle of its gap, below which at most TRUSTED_LOSS of the good lie."""
-    if not len(good):
-        return -np.inf
-    if not len(bad):
-        return float(good.min()) - 1e-9
-    good, bad = np.sort(good), np.sort(bad)
-    most = int(TRUSTED_LOSS * len(good))
-    cuts = np.unique(np.concatenate([good, bad]))
-    lost, caught = np.searchsorted(good, cuts), np.searchsorted(bad, cuts)  # below the cut
-    gain = np.where(lost <= most, caught / len(bad) - lost / len(good), -1.0)
-    best = float(cuts[int(np.argmax(gain))])
-    below = max((x[np.searchsorted(x, best) - 1] for x in (good, bad) if np.searchsorted(x, best)), default=best - 1e-9)
-    return (float(below) + best) / 2
-
+def best_threshold(scored: DataFrame) -> float:
+    """The cut that tells good rows of (quality, mean) best from bad ones, in the middle of its gap, below which at most TRUSTED_LOSS of the good lie.
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ratio:
-    """Counts over all documents and all trusted ones; the threshold from at most ``fit_rows`` rows of each label.
+    Every row counts.  Distinct means are dealt out in ranges; what lies below a cut is the sum of
+    the ranges before its own and a running sum inside it.
+    """
+    work = Workspace(scored.sparkSession, "thresholds")
+    distinct = scored.groupBy("mean").agg(F.count_if(F.col("quality") > 0).alias("good"), F.count_if(F.col("quality") <= 0).alias("bad"))
+    values = work.keep(distinct.repartitionByRange("mean").withColumn("range", F.spark_partition_id()), "means")
+    good, bad, least = values.agg(F.sum("good"), F.sum("bad"), F.min(F.when(F.col("good") > 0, F.col("mean")))).first()
+    if not good or not bad:
+        work.drop_all_but()
+        return least - 1e-9 if good else -np.inf
+    ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    sums = values.groupBy("range").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    before = sums.select("range", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}_before") for c in ("good", "bad")])
+    inside = Window.partitionBy("range").orderBy("mean").rowsBetween(Window.unboundedPreceding, -1)
+    lost, caught = (F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"{c}_before") for c in ("good", "bad"))
+    cuts = values.join(F.broadcast(before), "range").select("mean", lost.alias("lost"), (caught / bad - lost / good).alias("gain"))
+    best = cuts.filter(F.col("lost") <= int(TRUSTED_LOSS * good)).orderBy(F.desc("gain"), "mean").first()["mean"]
+    below = values.filter(F.col("mean") < best).agg(F.max("mean")).first()[0]
+    work.drop_all_but()
+    return ((best - 1e-9 if below is None else below) + best) / 2
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Ratio:
+    """Counts over all documents and all trusted ones; the threshold from all labelled rows.
 
     The threshold is fitted out of sample: trusted rows are dealt over FOLDS by the hash of their
     doc_id, and a labelled row is scored under the counts of the other folds.  The result has the
     counts of all folds.  A doc_id with several labels is trusted if any of them is good; rows that
     share a doc_id count as one row of their mean score.
     """
-    spark = docs.sparkSession
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")
     rated = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rated = rated.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int"))
-    counts = count_grams(docs, rated.filter("quality > 0"))
+    counts = count_grams(docs, rated.filter("quality > 0").withColumn("fold", fold))
     target = counts[1:].sum(0)
-    others = [Ratio(ratio_weights(counts[0], target - counts[1 + k]), -np.inf) for k in range(FOLDS)]
-    by_hash = lambda cond: rated.filter(cond).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    sample = F.broadcast(by_hash("quality > 0").unionByName(by_hash("quality <= 0")))  # at most 2 x fit_rows ids
-    shared = spark.sparkContext.broadcast(others)
+    others = Ratio(np.stack([ratio_weights(counts[0], target - counts[1 + k]) for k in range(FOLDS)]), -np.inf)
+    shared = docs.sparkSession.sparkContext.broadcast(others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, buf, offs in tk.slices(b.column("text")):
                 parsed = _parse(buf, offs)
-                failed = base_failed(base_features(buf, offs, *parsed))
-                every = np.stack([r.means(buf, *parsed) for r in shared.value])
-                mean = every[np.asarray(b.column("fold")[i:j]), np.arange(j - i)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], b.column("quality")[i:j].cast(pa.int32()), pa.array(mean), pa.array(failed)], ["doc_id", "quality", "mean", "failed"])
-
-    scored = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "text", "quality", "fold").mapInArrow(run, "doc_id long, quality int, mean double, failed boolean")
-    got = scored.filter("not failed").groupBy("doc_id", "quality").agg(F.avg("mean").alias("mean")).toArrow()
+                passed = pa.array(~base_failed(base_features(buf, offs, *parsed)))
+                mean = pa.array(shared.value.means(buf, *parsed, np.asarray(b.column("fold")[i:j])))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], mean], ["doc_id", "mean"]).filter(passed)
+
+    # Texts are scored where they lie: only ids and means meet the labels.
+    means = docs.filter("doc_id is not null").select("doc_id", "text", fold.alias("fold")).mapInArrow(run, "doc_id long, mean double")
+    scored = means.groupBy("doc_id").agg(F.avg("mean").alias("mean")).join(rated.hint("merge"), "doc_id").select("quality", "mean")
+    threshold = best_threshold(scored)
     shared.destroy()
-    quality, mean = got.column("quality").to_numpy(), got.column("mean").to_numpy()
-    return Ratio(ratio_weights(counts[0], target), best_threshold(mean[quality > 0], mean[quality <= 0]))
+    return Ratio(ratio_weights(counts[0], target), threshold)
 
 
 def base_failed(base: dict[str, np.ndarray]) -> np.ndarray:

@@ -89,6 +89,48 @@ def test_quality_threshold_is_out_of_sample(spark, docs, prose):
     assert sum(not r["kept"] for r in out if r["doc_id"] < 60) == 0
 
 
+def brute_threshold(good, bad):
+    """Every cut, one after another; the first of the best."""
+    best, most = None, int(quality.TRUSTED_LOSS * len(good))
+    values = sorted({*good, *bad})
+    for c in values:
+        lost, caught = sum(x < c for x in good), sum(x < c for x in bad)
+        if lost <= most and (best is None or caught / len(bad) - lost / len(good) > best[0]):
+            best = (caught / len(bad) - lost / len(good), c)
+    return (max((x for x in values if x < best[1]), default=best[1] - 1e-9) + best[1]) / 2
+
+
+def test_quality_threshold_is_fitted_on_every_labelled_row(spark, docs, prose):
+    n, few = 5_600, 300
+    # Good rows beyond the first 5,000 by hash look like bad ones, so that a sample by hash sees none of them.
+    late = {r["id"] for r in spark.range(n).orderBy(F.xxhash64("id")).tail(600)}
+    texts = [(k, prose(40, k) + " #a" * 12 if k in late or k >= n and k % 3 else prose(50, k)) for k in range(n + few)]
+    labels = spark.createDataFrame([(k, int(k < n), 0) for k, _ in texts], "doc_id long, quality int, toxic int")
+    fold = dict(spark.range(n + few).select("id", F.pmod(F.xxhash64("id"), F.lit(quality.FOLDS))).collect())
+    counts, own = np.zeros((1 + quality.FOLDS, quality.BUCKETS)), {}
+    for k, t in texts:
+        buf = np.frombuffer(t.encode(), np.uint8)
+        own[k] = np.concatenate([b for b, _ in quality.grams(buf, *quality._parse(buf, np.array([0, len(buf)])))])
+        np.add.at(counts[0], own[k], 1)
+        if k < n:
+            np.add.at(counts[1 + fold[k]], own[k], 1)
+    weights = [quality.ratio_weights(counts[0], counts[1:].sum(0) - counts[1 + k]) for k in range(quality.FOLDS)]
+    mean = {k: weights[fold[k]][b].mean() for k, b in own.items()}
+    want = brute_threshold([mean[k] for k in range(n)], [mean[n + k] for k in range(few)])
+    assert quality.fit(docs(texts), labels).threshold == pytest.approx(want, abs=1e-12)
+
+
+def test_quality_threshold_by_plain_loops(spark):
+    rng = random.Random(3)
+    for size, spread in ((400, 0), (1200, 1), (1, 2)):
+        good = [round(rng.gauss(0.5, 0.3), 2) for _ in range(2 * size)]
+        bad = [round(rng.gauss(-0.4 * spread, 0.3), 2) for _ in range(size)]  # rounded: many ties
+        rows = [(1, x) for x in good] + [(0, x) for x in bad]
+        assert quality.best_threshold(spark.createDataFrame(rows, "quality int, mean double")) == brute_threshold(good, bad)
+    some = spark.createDataFrame([(1, 0.5), (1, 0.25)], "quality int, mean double")
+    assert quality.best_threshold(some) == 0.25 - 1e-9 and quality.best_threshold(some.limit(0)) == -np.inf
+
+
 def test_quality_cases(spark, docs, prose):
     good = [(k, prose(120, k)) for k in range(30)]
     labels = spark.createDataFrame([(i, 1, 0) for i, _ in good] * 3 + [(None, 0, 0), (5, 0, 0)], "doc_id long, quality int, toxic int")
