@@ -21,7 +21,6 @@ x falls below 2^31, lanes in ascending order.
 from __future__ import annotations
 
 import json
-import re
 import struct
 import uuid
 import zlib
@@ -29,23 +28,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import latin_class
 from .shared import materialise, shared_dir, table
-from .textkit import slices
+from .textkit import per_text, slices
 
 VERSION, SCALE, LANES, CHECKPOINT = 1, 22, 512, 256
 #: Documents join a block until it has so many tokens; a longer document is a block of its own.
 BLOCK_TOKENS = 1 << 17
 #: Aim for so many bytes of ids in one shard, which one task writes.
 SHARD_BYTES = 16 << 20
-#: Texts are tokenized together up to so many bytes; distinct words whose ids a worker keeps.
-BATCH_BYTES, CACHE = 2 << 20, 800_000
+#: Texts are tokenized together up to so many bytes; distinct pieces whose ids a worker keeps.
+BATCH_BYTES, CACHE = 4 << 20, 800_000
 _LOW = np.uint64(1 << 31)
-#: Characters that str.split takes for white space and the vocabulary's pattern doesn't.
-_SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Classes of characters that the vocabulary's pattern tells apart.
+_SPACE, _LETTER, _DIGIT, _SIGN = range(4)
 # The normaliser and the pattern of the lower-casing vocabulary.
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -184,22 +184,22 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in shown else chr(next(rest)) for b in range(256)}
 
 
-def beyond_latin(text: str) -> bool:
-    """Whether a text has a character beyond U+017F, after which lower case can leave the Latin blocks, or U+0130, which lower-cases to two."""
-    if text.isascii():
-        return False
-    units = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2")
-    return bool((units > 0x17F).any() or (units == 0x130).any())
+def beyond_latin(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Which texts have a character beyond U+017F, after which lower case can leave the Latin blocks, or U+0130, which lower-cases to two."""
+    far = buf > 0xC5  # U+0180 is C6 80
+    far[1:] |= (buf[1:] == 0xB0) & (buf[:-1] == 0xC4)
+    return per_text(far, offs) > 0
 
 
 class WordTokenizer:
-    """The tokenizers library behind a bounded cache of words, and of the pieces that its vocabulary splits them into.
-
-    For the lower-casing vocabulary with word ends, a text of Latin letters is split at white space,
-    which no piece spans, its words are lowered and split by an expression equal to the vocabulary's
-    own (both act on single characters there), and the library's model encodes each distinct piece
-    once.  Any other text, and any other vocabulary, is encoded by the library as a whole.  With ``added``, what stands for an added token in a text becomes
-    that token, as the library does by default, and such a text is encoded by the library as a whole too.
+    """The tokenizers library behind a bounded cache of the pieces that its vocabulary splits texts into.
+
+    For the lower-casing vocabulary with word ends, texts of Latin letters are lowered and split on
+    their bytes by rules equal to the vocabulary's own expression (both act on single characters
+    there), and the library's model encodes each distinct piece once.  Any other text, and any other
+    vocabulary, is encoded by the library as a whole.  With ``added``, what stands for an added
+    token in a text becomes that token, as the library does by default, and such a text is encoded
+    by the library as a whole too.
     """
 
     def __init__(self, path: str, plain: bool = False, added: bool = False):
@@ -212,45 +212,100 @@ class WordTokenizer:
         parts = json.loads(self.tokenizer.to_str())
         # Special tokens are only ids where the library looks for them; others, and those that the normaliser may make, always are.
         looked = [t for t in parts["added_tokens"] if added or not t["special"]]
-        self.added = re.compile("|".join(re.escape(t["content"]) for t in looked)).search if looked else None
+        self.added = [t["content"] for t in looked]
         self.plain = plain or any(t["normalized"] for t in looked) or parts["normalizer"] != _NORMALIZER or parts["pre_tokenizer"]["pretokenizers"][0]["pattern"] != {"Regex": _SPLIT}
-        self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        letter, digit, space = latin_class(r"\p{L}"), latin_class(r"\p{N}"), latin_class(r"\s")
-        self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^{space}{letter}{digit}]+").findall
+        self.classes = np.full(0x250, _SIGN, np.uint8)
+        for kind, expression in ((_LETTER, r"\p{L}"), (_DIGIT, r"\p{N}"), (_SPACE, r"\s")):
+            self.classes[[c for c in range(0x250) if regex.match(expression, chr(c))]] = kind
         self.letters = _byte_letters()
         self.raw = [k.to_bytes(self.kind.itemsize, "little") for k in range(self.size)]
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
 
     def _piece(self, piece: str) -> bytes:
         """Ids of one piece by the library's model, which writes bytes as letters; ASCII letters and signs stand for themselves."""
         shown = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
-        ids = b"".join([self.raw[t.id] for t in self.tokenizer.model.tokenize(shown)])
-        if len(piece) <= 64:
-            self.pieces[piece] = ids
-        return ids
-
-    def _word(self, word: str) -> bytes:
-        """Ids of what stands between white space, piece by piece."""
-        known = self.pieces.get
-        return b"".join([known(p) or self._piece(p) for p in self.split(word.lower())])
+        return b"".join([self.raw[t.id] for t in self.tokenizer.model.tokenize(shown)])
+
+    def split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """(pieces of all texts one after another, number of the first piece of each text and after the last); Latin texts without nulls."""
+        if not len(texts):
+            return texts, np.zeros(1, np.int64)
+        _, _, buf, offs = next(slices(pc.utf8_lower(texts), 1 << 40))
+        if not len(buf):
+            return texts[:0], np.zeros(len(offs), np.int64)
+        kind = self.classes[buf]
+        lead = np.flatnonzero(buf >= 0xC0)  # of two bytes each
+        kind[lead] = kind[lead + 1] = self.classes[(buf[lead].astype(np.int64) & 0x1F) << 6 | buf[lead + 1] & 0x3F]
+        opens = np.zeros(len(buf) + 1, bool)  # where a text begins or the last one ends
+        opens[offs] = True
+        begin = opens[:-1].copy()
+        begin[1:] |= kind[1:] != kind[:-1]
+        begin |= kind == _DIGIT
+        begin &= (kind != _SPACE) & ((buf & 0xC0) != 0x80)
+        # Contractions: a lone apostrophe takes one or two of the letters after it.
+        mark = np.flatnonzero((buf == ord("'")) & begin)
+        mark = mark[~opens[mark + 1]]
+        one = mark[np.isin(buf[mark + 1], np.frombuffer(b"stmd", np.uint8))]
+        two = mark[~opens[np.minimum(mark + 2, len(buf))]]
+        x, y = buf[two + 1], buf[two + 2]
+        two = two[((x == ord("r")) | (x == ord("v"))) & (y == ord("e")) | (x == ord("l")) & (y == ord("l"))]
+        for at, letters in ((one, 1), (two, 2)):
+            begin[at + 1] = False
+            after = at + 1 + letters
+            after = after[~opens[after]]
+            begin[after[kind[after] == _LETTER]] = True
+        starts = np.flatnonzero(begin)
+        shown = kind != _SPACE
+        before = np.cumsum(shown, dtype=np.int32)
+        places = np.concatenate([before[starts] - 1, before[-1:]])
+        return pa.StringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(buf[shown])), np.searchsorted(starts, offs)
+
+    def _ids_of(self, distinct: list[str]) -> list[bytes]:
+        """Ids of distinct pieces; pieces up to 64 characters are kept."""
+        found = list(map(self.pieces.get, distinct))
+        new = [k for k, x in enumerate(found) if x is None]
+        if len(self.pieces) + len(new) > CACHE:
+            self.pieces = {}
+        for k in new:
+            piece = distinct[k]
+            found[k] = ids = self._piece(piece)
+            if len(piece) <= 64:
+                self.pieces[piece] = ids
+        return found
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, number of ids of each text); null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        alone = np.full(len(texts), self.plain)  # texts for the library as a whole
+        if not self.plain:
+            for i, j, buf, offs in slices(texts):
+                alone[i:j] = beyond_latin(buf, offs)
+            for content in self.added:
+                alone |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        whole = {k: self._whole(texts[k].as_py()) for k in np.flatnonzero(alone).tolist()}
+        pieces, first = self.split(pc.if_else(pa.array(alone), "", texts) if whole else texts)
+        coded = pieces.dictionary_encode()
+        number = coded.indices.to_numpy()
+        found = self._ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        # The ids of all pieces, each taken from where its piece lies among the distinct ones.
+        store = np.frombuffer(b"".join(found), self.kind)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+        sizes = size[number]
+        last = np.concatenate([[0], np.cumsum(sizes)])
+        ids = store[np.repeat((np.cumsum(size) - size)[number] - last[:-1], sizes) + np.arange(last[-1])]
+        cuts = last[first]
+        if whole:
+            parts = [whole[k] if k in whole else ids[cuts[k] : cuts[k + 1]] for k in range(len(texts))]
+            return np.concatenate(parts), np.array([len(p) for p in parts])
+        return ids, np.diff(cuts)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of ``kind``."""
-        # str.split would also cut at U+001C to U+001F; a text with one of them is taken as one word.
-        split = [None if self.plain or beyond_latin(t) or (self.added and self.added(t)) else [t] if any(x in t for x in _SEPARATORS) else t.split() for t in texts]
-        every = set().union(*(s for s in split if s))
-        new = every.difference(self.words)
-        if len(self.words) + len(new) > CACHE:
-            self.words, self.pieces, new = {}, {}, every
-        self.words.update({w: self._word(w) for w in new})
-        get = self.words.__getitem__
-        out = [self._whole(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
-        for w in [w for w in new if len(w) > 64]:
-            del self.words[w]
-        return out
+        ids, lengths = self.encode_column(pa.array(texts, pa.string()))
+        return [x.tobytes() for x in np.split(ids, np.cumsum(lengths)[:-1])] if texts else []
 
 
 _LOADED: dict[tuple[str, bool, bool], WordTokenizer] = {}
@@ -267,11 +322,17 @@ def tokenize(docs: DataFrame, path: str, end_id: int, plain: bool = False, added
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(path, plain, added)
-        end = np.array([end_id], tok.kind).tobytes()
+        width = tok.kind.itemsize
         for b in batches:
             for i, j, _, _ in slices(b.column("text"), BATCH_BYTES):
-                ids = [x + end for x in tok.encode([t or "" for t in b.column("text")[i:j].to_pylist()])]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                ids, lengths = tok.encode_column(b.column("text")[i:j])
+                cuts = np.concatenate([[0], np.cumsum(lengths + 1)])
+                every = np.full(cuts[-1], end_id, tok.kind)
+                inner = np.ones(cuts[-1], bool)
+                inner[cuts[1:] - 1] = False
+                every[inner] = ids
+                held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(width * cuts), pa.py_buffer(every)])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], held.cast(pa.binary())], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 

@@ -764,6 +764,25 @@ def test_every_latin_character_is_read_like_the_library():
         assert np.frombuffer(raw, tok.kind).tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_pieces_of_many_texts_at_once_are_those_of_the_pattern():
+    import public_tokenizers
+    import pyarrow as pa
+    import regex
+
+    tok = rans.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"), added=True)
+    rng = random.Random(4)
+    texts = ["", "'", "s'", "s", "'", "ll 'l", "l'rex 'v", "e''s -'s 'm'd'll've", "\xa0é'S\x1c1½2", ""]
+    texts += ["".join(rng.choice("abEÉß01½ \n'-.\x1c\x85\xa0stmdlrve") for _ in range(rng.randint(0, 25))) for _ in range(3000)]
+    want = [regex.findall(rans._SPLIT, t.lower()) for t in texts]
+    for rows in (texts, texts[:1], texts[:0]):
+        pieces, first = tok.split(pa.array([None, *rows], pa.string())[1:])
+        assert [pieces[i:j].to_pylist() for i, j in zip(first, first[1:])] == want[: len(rows)]
+    seen = []
+    tok._piece, one = lambda p: seen.append(p) or one(p), tok._piece
+    ids = tok.encode(texts) + tok.encode(texts)
+    assert ids[: len(texts)] == ids[len(texts) :] and len(seen) == len(set(seen)) == len({p for w in want for p in w})
+
+
 def test_rans_blocks():
     rng = np.random.default_rng(5)
     counts = np.zeros(1000, np.int64)
