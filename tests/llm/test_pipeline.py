@@ -70,6 +70,16 @@ def test_near_copies_are_judged_by_row(spark, docs, prose, tmp_path):
     assert out == sorted([(3, x), (5, y), (9, z)])
 
 
+def test_the_quality_stage_hears_every_label(spark, docs, prose, tmp_path):
+    n, few = 5_600, 3_000
+    # Good rows beyond the first 5,000 by hash look like bad ones: a threshold from a sample by hash drops them all.
+    late = {r["id"] for r in spark.range(n).orderBy(F.xxhash64("id")).tail(600)}
+    d = docs([(k, prose(40, k) + " #a" * 12 if k in late or k >= n else prose(52, k)) for k in range(n + few)])
+    spark.createDataFrame([(k, int(k < n), 0) for k in range(n + few)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_low_quality(spark, d, str(tmp_path)).select("doc_id").collect()}
+    assert n - len([k for k in kept if k < n]) <= quality.TRUSTED_LOSS * n
+
+
 def test_one_query_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality rules", "n-gram Jaccard join", "benchmark decontamination", "byte-level BPE"]
