@@ -588,6 +588,43 @@ def test_toxicity_on_held_out_rows(spark, docs, prose):
     assert toxicity.score_toxicity(docs([]), toxicity.train(docs([]), l.limit(0))).count() == 0
 
 
+def late_insults(spark, prose):
+    """(texts, labels) in which the toxic rows beyond the first 4,000 by hash, and held-out ones, have an insult of their own."""
+    n, few = 6_400, 8_000
+    learnt = [r["id"] for r in spark.range(n).filter(~toxicity.held_out(F.col("id"))).orderBy(F.xxhash64("id")).collect()]
+    early = set(learnt[:4_000])
+    assert len(learnt) >= 4_500
+    texts = [(k, prose(12, k) + ("" if k >= n else " qwfool" if k in early else " zorgle")) for k in range(n + few)]
+    return texts, spark.createDataFrame([(k, 1, int(k < n)) for k in range(n + few)], "doc_id long, quality int, toxic int")
+
+
+@pytest.mark.parametrize("bounds", [{}, {"shard_terms": 50_000}])
+def test_toxicity_is_learnt_from_every_labelled_row(spark, docs, prose, bounds):
+    texts, labels = late_insults(spark, prose)
+    d = docs(texts)
+    m = toxicity.train(d, labels, **bounds)
+    out = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(d, m).collect()}
+    assert sum(out[k] == int(k < 6_400) for k, _ in texts) >= 0.999 * len(texts)
+    again = toxicity.train(d.repartition(7), labels.repartition(3), **bounds)
+    assert m.bias == again.bias and (m.weights == again.weights).all() and (m.factors == again.factors).all()
+
+
+def test_toxicity_on_one_shard_by_plain_rows(spark, docs, prose):
+    texts = [(k, prose(40, k) + (" idiotic" if k % 3 == 0 else "") + (" aye" if k % 4 < 2 else "") + (" nay" if k % 4 in (1, 2) else "")) for k in range(900)]
+    toxic = lambda k: int(k % 3 == 0 or k % 4 in (1, 3))
+    labels = spark.createDataFrame([(k, 1, toxic(k)) for k, _ in texts], "doc_id long, quality int, toxic int")
+    m = toxicity.train(docs(texts), labels)
+    plain = []
+    for k, t in texts:
+        if zlib.crc32(str(k).encode()) % 4 != 2:
+            buf = np.frombuffer(t.encode(), np.uint8)
+            plain.append((toxic(k), toxicity.terms(buf, np.array([0, len(buf)]))[1]))
+    pos = sum(y for y, _ in plain)
+    want = toxicity.fit(plain, (len(plain) - pos, pos))
+    assert len(m.buckets) and m.buckets.tolist() == want.buckets.tolist() and m.bias == pytest.approx(want.bias, abs=1e-9)
+    assert np.allclose(m.weights, want.weights, atol=1e-9) and np.allclose(m.factors, want.factors, atol=1e-9)
+
+
 def test_machine_learns_a_pair_that_no_weight_shows():
     rng = np.random.default_rng(0)
     data = []

@@ -8,7 +8,7 @@ import corpus_pipeline
 from newsignal.llm import bpe, quality, queries, toxicity
 from newsignal.llm.shared import table
 
-from .test_operators import brute_components
+from .test_operators import brute_components, late_insults
 
 
 def test_stages_against_a_plain_version(spark, small):
@@ -80,6 +80,14 @@ def test_the_quality_stage_hears_every_label(spark, docs, prose, tmp_path):
     assert n - len([k for k in kept if k < n]) <= quality.TRUSTED_LOSS * n
 
 
+def test_the_toxicity_stage_hears_every_label(spark, docs, prose, tmp_path):
+    texts, labels = late_insults(spark, prose)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs(texts), str(tmp_path)).select("doc_id").collect()}
+    # A machine that learns from the first 4,000 toxic rows by hash keeps all others.
+    assert len([k for k in kept if k < 6_400]) <= 5 and len([k for k in kept if k >= 6_400]) >= 7_990
+
+
 def test_one_query_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality rules", "n-gram Jaccard join", "benchmark decontamination", "byte-level BPE"]
