@@ -68,8 +68,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text has no ids; a very long text is encoded whole; repeated rows are encoded
     alike; a null doc_id stays null; other columns are left out; no documents give no rows.
     """
-    pieces, pairs = bpe.SMALL  # the stages before have filled the workers
-    return bpe.encode_texts(docs.select("doc_id", "text"), *bpe.public_vocabulary(), cache=pieces, pairs=pairs).drop("text")
+    pieces, pairs = bpe.SMALL  # the stages before have filled the workers, and the next run uses them again
+    return bpe.encode_texts(docs.select("doc_id", "text"), *bpe.public_vocabulary(), cache=pieces, pairs=pairs, forget=True).drop("text")
 
 
 STAGES = [

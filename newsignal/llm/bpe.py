@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .shared import table
-from .textkit import slices
+from .textkit import give_back, slices
 
 #: Distinct pieces whose encoding a worker keeps, and the longest that is kept, in bytes.
 CACHE, CACHED_PIECE = 500_000, 64
@@ -220,6 +220,11 @@ class Encoder:
             found[raw.decode("utf-8", "surrogatepass")] = ids, " ".join(map(str, ids))
         return found
 
+    def forget(self) -> None:
+        """Let go of all pieces and neighbours that are remembered."""
+        self.cache, self.older = {}, {}
+        self.vocabulary.pairs, self.vocabulary.older = {}, {}
+
     def encode_all(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
         """(ids, ids in decimal joined by spaces) of each whole text."""
         split = [self.split(t) for t in texts]
@@ -250,13 +255,14 @@ def encoder(path: str, pattern: str, cache: int = CACHE, pairs: int = PAIRS) ->
     return Encoder(Vocabulary.load(path), pattern, cache, pairs)
 
 
-def encode_texts(docs: DataFrame, path: str, pattern: str, keep_ids: bool = True, cache: int = CACHE, pairs: int = PAIRS) -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, pattern: str, keep_ids: bool = True, cache: int = CACHE, pairs: int = PAIRS, forget: bool = False) -> DataFrame:
     """``docs`` with n_tokens, ids_sha256, decoded_sha256 and, with ``keep_ids``, ids (array of int).
 
     Each match of ``pattern`` is encoded by itself, from the last tokens of its byte prefixes;
     ids_sha256 is over the decimal ids joined by one space, decoded_sha256 over the bytes that
     the ids decode to.  ``path`` is read on every worker: the vocabulary is part of the installation.
-    ``cache`` and ``pairs`` bound what a worker remembers; the result is the same with any.
+    ``cache`` and ``pairs`` bound what a worker remembers, with ``forget`` until its task ends; the
+    result is the same with any.
 
     Cases: a null or empty text has no ids, and the digests of no bytes; a very long text is
     encoded whole; repeated rows are encoded alike; columns of the same names are replaced, all
@@ -276,13 +282,18 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, keep_ids: bool = True
                 arrays, names = [*arrays, pa.array([g[3] for g in got], pa.list_(pa.int32()))], [*names, "ids"]
             return pa.RecordBatch.from_arrays(arrays, names)
 
-        for b in batches:
-            for i, j, _, _ in slices(b.column("text"), BATCH_BYTES):
-                got = []
-                for ids, shown in enc.encode_all([t or "" for t in b.column("text")[i:j].to_pylist()]):
-                    decoded = enc.decode(ids)
-                    got.append((len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest(), ids if keep_ids else None))
-                yield out(b[i:j], got)
+        try:
+            for b in batches:
+                for i, j, _, _ in slices(b.column("text"), BATCH_BYTES):
+                    got = []
+                    for ids, shown in enc.encode_all([t or "" for t in b.column("text")[i:j].to_pylist()]):
+                        decoded = enc.decode(ids)
+                        got.append((len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest(), ids if keep_ids else None))
+                    yield out(b[i:j], got)
+        finally:
+            if forget:
+                enc.forget()
+            give_back()
 
     return docs.mapInArrow(run, schema)
 

@@ -342,7 +342,7 @@ class IndexShards:
         size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.shards = max(1, -(-size // index_bytes))
         self.items = items.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(self.shards)))
-        self.terms = work.keep(self.items.select("shard", "text").mapInArrow(_terms, "shard long, term long, n long, size long"), "terms")
+        self.terms = work.keep(self.items.select("shard", "text").mapInArrow(tk.lean(_terms), "shard long, term long, n long, size long"), "terms")
         row = self.terms.filter("term is null").agg(F.sum("n"), F.sum("size")).first()
         self.total, self.words = row[0] or 0, row[1] or 0
 
@@ -376,7 +376,7 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_
     work = Workspace(docs.sparkSession, "leaks")
     shards = IndexShards(benchmark, index_bytes, work)
     for shard, index in enumerate(shards):
-        rest = docs.mapInArrow(_without(index), docs.schema)
+        rest = docs.mapInArrow(tk.lean(_without(index)), docs.schema)
         if len(shards) > 1:
             rest = work.keep(rest, f"rest-{shard}")
             index.destroy()
@@ -414,7 +414,7 @@ def _search(docs: DataFrame, index) -> DataFrame:
                         ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "leaked"],
                     )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, leaked boolean")
+    return docs.select("doc_id", "text").mapInArrow(tk.lean(run), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, leaked boolean")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

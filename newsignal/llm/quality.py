@@ -136,7 +136,7 @@ def count_grams(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(full), *(pa.array(c[full]) for c in counts)], ["bucket", *names])
 
     sums = [F.sum(n).alias(n) for n in names]
-    rows = marked.mapInArrow(run, "bucket long, " + ", ".join(f"{n} long" for n in names)).groupBy("bucket").agg(*sums).toArrow()
+    rows = marked.mapInArrow(tk.lean(run), "bucket long, " + ", ".join(f"{n} long" for n in names)).groupBy("bucket").agg(*sums).toArrow()
     out = np.zeros((1 + FOLDS, BUCKETS))
     for k, n in enumerate(names):
         out[k, rows.column("bucket").to_numpy()] = rows.column(n).to_numpy()
@@ -201,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Ratio:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], mean], ["doc_id", "mean"]).filter(passed)
 
     # Texts are scored where they lie: only ids and means meet the labels.
-    means = docs.filter("doc_id is not null").select("doc_id", "text", fold.alias("fold")).mapInArrow(run, "doc_id long, mean double")
+    means = docs.filter("doc_id is not null").select("doc_id", "text", fold.alias("fold")).mapInArrow(tk.lean(run), "doc_id long, mean double")
     scored = means.groupBy("doc_id").agg(F.avg("mean").alias("mean")).join(rated.hint("merge"), "doc_id").select("quality", "mean")
     threshold = best_threshold(scored)
     shared.destroy()
@@ -233,10 +233,11 @@ def drop_rejected(docs: DataFrame, ratio: Ratio) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                yield b.filter(pa.array(_rate(shared.value, b.column("text"))[place]))
+            for i, j, _, _ in tk.slices(b.column("text")):  # what goes back is never a second whole batch
+                part = b[i:j]
+                yield part.filter(pa.array(_rate(shared.value, part.column("text"))[place]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tk.lean(run), docs.schema)
 
 
 def rate_quality(docs: DataFrame, ratio: Ratio) -> DataFrame:
@@ -257,7 +258,7 @@ def rate_quality(docs: DataFrame, ratio: Ratio) -> DataFrame:
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, _rate(shared.value, b.column("text")))], [*b.schema.names, *(n for n, _ in _NEW)])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in _NEW)]))
+    return docs.mapInArrow(tk.lean(run), T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in _NEW)]))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

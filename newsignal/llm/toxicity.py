@@ -127,16 +127,16 @@ def telling_terms(seen: np.ndarray, rows: tuple[int, int]) -> tuple[np.ndarray,
     return np.flatnonzero((z >= LEAST_Z) & (both >= LEAST_DOCS)), some, z[some]
 
 
-def joint_counts(shard: Shard, width: int) -> np.ndarray:
-    """How many rows of each label have both of two places."""
-    both = np.zeros((2, width, width), np.float32)
+def joint_counts(shard: Shard, width: int, both: np.ndarray | None = None) -> np.ndarray:
+    """How many rows of each label have both of two places; added to ``both`` if given."""
+    both = np.zeros((2, width, width), np.int32) if both is None else both
     for label in (0, 1):
         own = np.flatnonzero(shard.y == label)
         for lo in range(0, len(own), 1024):
             block = np.zeros((min(1024, len(own) - lo), width), np.float32)
             for k, i in enumerate(own[lo : lo + 1024]):
                 block[k, shard.flat[shard.offs[i] : shard.offs[i + 1]]] = 1
-            both[label] += block.T @ block
+            np.add(both[label], block.T @ block, out=both[label], casting="unsafe")  # whole numbers up to 1024
     return both
 
 
@@ -235,7 +235,7 @@ def training_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     # Texts are read where they lie for this: only ids and hashes meet the labels.
     hashed = docs.filter("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("hash"))
-    keys = hashed.mapInArrow(passages, "doc_id long, hash long, key long").groupBy("doc_id").agg(F.min(F.struct("key", "hash")).alias("x"))
+    keys = hashed.mapInArrow(tk.lean(passages), "doc_id long, hash long, key long").groupBy("doc_id").agg(F.min(F.struct("key", "hash")).alias("x"))
     rows = keys.join(labels.hint("merge"), "doc_id").select("doc_id", "label", "x.key", "x.hash")
     alone = F.when(F.col("key") == -1, F.col("doc_id")).alias("alone")  # texts without a passage are no copies
     first = rows.groupBy("label", "key", alone).agg(F.min(F.struct("doc_id", "hash")).alias("x")).select("x.doc_id", "x.hash", "label")
@@ -258,7 +258,7 @@ def count_terms(texts: DataFrame) -> DataFrame:
         full = np.flatnonzero(seen.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(seen[0, full]), pa.array(seen[1, full])], ["bucket", "clean", "toxic"])
 
-    return texts.mapInArrow(run, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    return texts.mapInArrow(tk.lean(run), "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
 def shards_of(texts: DataFrame, buckets: np.ndarray, n: int) -> DataFrame:
@@ -282,7 +282,7 @@ def shards_of(texts: DataFrame, buckets: np.ndarray, n: int) -> DataFrame:
         sizes = np.array([len(x) // 4 for x in own], np.uint32).tobytes()
         return pa.table({"shard": rows.column("shard")[:1], "labels": [labels], "sizes": [sizes], "terms": [b"".join(own)]})
 
-    dealt = texts.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).mapInArrow(run, "shard int, doc_id long, label int, terms binary")
+    dealt = texts.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).mapInArrow(tk.lean(run), "shard int, doc_id long, label int, terms binary")
     return dealt.groupBy("shard").applyInArrow(pack, "shard int, labels binary, sizes binary, terms binary")
 
 
@@ -300,7 +300,7 @@ def pairs_of_shards(shards: DataFrame, some: np.ndarray, alone: np.ndarray, rows
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = np.zeros((2, width, width), np.int32)
         for _, shard in _read_shards(batches):
-            both += joint_counts(shard.placed(some), width).astype(np.int32)
+            joint_counts(shard.placed(some), width, both)
         for lo in range(0, width if both.any() else 0, PART):
             yield pa.RecordBatch.from_arrays([pa.array([lo], pa.int32()), pa.array([both[:, lo : lo + PART, lo:].tobytes()])], ["part", "counts"])
 
@@ -311,7 +311,7 @@ def pairs_of_shards(shards: DataFrame, some: np.ndarray, alone: np.ndarray, rows
                 lo, total = part, total + np.frombuffer(counts.as_buffer(), np.int32).reshape(2, -1, width - part).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(telling_pairs(total, lo, alone, rows))], ["place"])
 
-    found = shards.mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(decide, "place long").distinct().toArrow()
+    found = shards.mapInArrow(tk.lean(count), "part int, counts binary").groupBy("part").applyInArrow(decide, "place long").distinct().toArrow()
     return np.sort(some[found.column("place").to_numpy()])
 
 
@@ -366,7 +366,7 @@ def _train_shards(shards: DataFrame, n: int, buckets: np.ndarray, state: np.ndar
 
     for at in range(0, EPOCHS, together):
         shared = shards.sparkSession.sparkContext.broadcast((state, at))
-        out = shards.mapInArrow(learn, "place long, " + ", ".join(f"{c} long" for c in columns)).groupBy("place").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()
+        out = shards.mapInArrow(tk.lean(learn), "place long, " + ", ".join(f"{c} long" for c in columns)).groupBy("place").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()
         state = np.empty_like(state)
         for k, c in enumerate(columns):
             state[out.column("place").to_numpy(), k] = out.column(c).to_numpy() * UNIT
@@ -405,7 +405,7 @@ def score_toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
             scores = score(b.column("text"))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], [*b.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tk.lean(run), schema)
 
 
 def drop_toxic(docs: DataFrame, machine: Machine) -> DataFrame:
@@ -415,9 +415,11 @@ def drop_toxic(docs: DataFrame, machine: Machine) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _scorer(shared.value)
         for b in batches:
-            yield b.filter(pa.array(score(b.column("text")) < THRESHOLD))
+            for i, j, _, _ in tk.slices(b.column("text")):  # what goes back is never a second whole batch
+                part = b[i:j]
+                yield part.filter(pa.array(score(part.column("text")) < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tk.lean(run), docs.schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

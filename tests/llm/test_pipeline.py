@@ -88,6 +88,22 @@ def test_the_toxicity_stage_hears_every_label(spark, docs, prose, tmp_path):
     assert len([k for k in kept if k < 6_400]) <= 5 and len([k for k in kept if k >= 6_400]) >= 7_990
 
 
+def test_the_encoding_stage_leaves_no_pieces_in_the_workers(spark, docs, prose, tmp_path):
+    """Workers are used again by later stages, which need the memory."""
+    import pyarrow as pa
+
+    d = docs([(k, prose(200, k)) for k in range(40)]).repartition(4)
+    assert corpus_pipeline.encode(spark, d, str(tmp_path)).agg(F.sum("n_tokens")).first()[0] > 8_000
+    vocabulary, bounds = bpe.public_vocabulary(), bpe.SMALL
+
+    def left(batches):
+        for b in batches:
+            e = bpe.encoder(*vocabulary, *bounds)
+            yield pa.RecordBatch.from_arrays([pa.array([len(e.cache) + len(e.older) + len(e.vocabulary.pairs) + len(e.vocabulary.older)])], ["n"])
+
+    assert {r["n"] for r in spark.range(0, 8, 1, 8).mapInArrow(left, "n long").collect()} == {0}
+
+
 def test_one_query_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality rules", "n-gram Jaccard join", "benchmark decontamination", "byte-level BPE"]

@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -44,3 +45,35 @@ def test_empty_input():
     assert list(tk.slices(pa.array([], pa.string()))) == []
     starts, ends, first = tk.word_spans(np.empty(0, np.uint8), np.array([0, 0]))
     assert not len(starts) and first.tolist() == [0, 0]
+
+
+def test_a_lean_task_gives_memory_back_however_it_ends(monkeypatch):
+    ends = []
+    monkeypatch.setattr(tk, "give_back", lambda: ends.append(1))
+
+    def broken(batches):
+        yield next(batches)
+        raise ValueError
+
+    assert list(tk.lean(lambda x: (2 * b for b in x))(iter([1, 2]))) == [2, 4] and len(ends) == 1
+    early = tk.lean(lambda x: x)(iter([1, 2]))
+    next(early)
+    early.close()
+    assert len(ends) == 2
+    with pytest.raises(ValueError):
+        list(tk.lean(broken)(iter([1])))
+    assert len(ends) == 3
+
+
+def test_free_arrow_memory_goes_back():
+    def held():
+        return sum(int(line.split()[1]) for line in open("/proc/self/smaps_rollup") if line.startswith("Pss_Anon")) >> 10
+
+    def run(batches):
+        for _ in batches:
+            many = [pa.array(np.zeros(1 << 17, np.int64)).take(pa.array(np.arange(1 << 17))) for _ in range(200)]  # 200 MB
+            yield len(many)
+
+    before = held()
+    assert list(tk.lean(run)(iter([1]))) == [200]
+    assert held() - before < 60
