@@ -83,3 +83,30 @@ def exact_percentiles(df: DataFrame, group: str, value: str, shares: list[float]
     out = work.keep(out)
     work.drop_all_but(out)
     return out
+
+
+def smallest(df: DataFrame, group: str, key: str, most: int, work: Scratch) -> DataFrame:
+    """The ``most`` rows of each group with the smallest keys (whole numbers), or all if there are no more.
+
+    No group is sorted or held: each pass counts the keys of the range that the last wanted row lies
+    in, by PARTS parts of it, until the range is one key.  Of rows that share this key any count.
+
+    Cases: null groups and rows with a null key are left out.
+    """
+    rows = df.filter(F.col(group).isNotNull() & F.col(key).isNotNull())
+    if most <= 0:
+        return rows.filter("false")
+    wanted = rows.groupBy(group).agg(F.count("*").alias("_n"), F.min(key).alias("_low"), F.max(key).alias("_high")).filter(F.col("_n") > most)
+    wanted = work.keep(wanted.select(group, F.lit(most).cast("long").alias("_rest"), "_low", "_high"))
+    away = lambda a: (F.col(a).cast("decimal(20,0)") - F.col("_low")).cast("double")
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # PARTS rows
+    while not wanted.filter("_low < _high").isEmpty():
+        met = rows.join(wanted, group).filter(F.col(key).between(F.col("_low"), F.col("_high")))
+        part = F.when(F.col("_high") > F.col("_low"), F.least(F.floor(away(key) / away("_high") * PARTS), F.lit(PARTS - 1))).otherwise(0)
+        counts = met.groupBy(group, "_rest", part.alias("_part")).agg(F.count("*").alias("_n"), F.min(key).alias("_low"), F.max(key).alias("_high"))
+        placed = counts.withColumn("_at", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        wanted = work.keep(placed.filter((F.col("_rest") > F.col("_at")) & (F.col("_rest") <= F.col("_at") + F.col("_n"))).select(group, (F.col("_rest") - F.col("_at")).alias("_rest"), "_low", "_high"))
+    cut = rows.join(wanted.select(group, "_rest", F.col("_low").alias("_cut")), group, "left")
+    below = cut.filter(F.col("_cut").isNull() | (F.col(key) < F.col("_cut"))).select(*df.columns)
+    last = top_per_key(cut.filter(F.col(key) == F.col("_cut")), group, [F.col(key)], F.col("_rest"), "_place")
+    return below.unionByName(last.select(*df.columns))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import business as B
 from ..operators import rank, runs
+from ..operators.store import Scratch
 
 
 def adaptation_freeze(t: DataFrame) -> DataFrame:
@@ -75,10 +76,12 @@ def contact_arms(roles: DataFrame, priors: DataFrame) -> DataFrame:
 def auto_labels(t: DataFrame) -> DataFrame:
     """Labels from sure scores and rejections, each text once, neither class more than twice the other."""
     l = t.select("id", "text", F.when(F.col("score") >= 0.85, 1).when(F.col("rejected"), 0).alias("label")).filter("label is not null")
-    once = rank.first_of(l, [F.md5("text")], [F.col("id")])
-    sizes = once.agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
-    k = rank.top_per_key(once, "label", [F.col("id")], 5000, "n")  # a class is never larger
-    return k.join(F.broadcast(sizes)).filter("n <= 2 * least(pos, neg)").select("id", "label")
+    work = Scratch(t.sparkSession)
+    once = work.keep(rank.first_of(l, [F.md5("text")], [F.col("id")]).select("id", "label"))
+    sizes = once.agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")).first()
+    out = work.keep(rank.smallest(once, "label", "id", 2 * min(sizes["pos"], sizes["neg"]), work))
+    work.drop_all_but(out)
+    return out
 
 
 # --- stored companies and contacts ---------------------------------------------------------------

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from newsignal.functions import text as T
 from newsignal.operators import dedup, learning, rank, search, store
 from newsignal.plans import catalog, kernels, leads, signals, stories  # noqa: F401  the others add their queries to the catalog
+from newsignal.plans import runs as plans_runs
 from newsignal.sources.tables import first_nonempty, latest_complete, read_log
 
 from .cases import business, runs, sheets, tables  # noqa: F401  the others add their cases
@@ -226,3 +227,18 @@ def test_balanced_labels_keep_texts_with_one_opening(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(0, 1), (1, 1), (2, 1), (3, 0), (4, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     assert sorted(tuple(r) for r in catalog.QUERIES["balanced_labels"](spark, str(tmp_path)).collect()) == [(0, 1), (1, 1), (3, 0), (4, 0)]
+
+
+def test_auto_labels_have_no_other_cap(spark):
+    # 12,000 sure documents against 5,800 rejected ones: each text once, then twice the smaller class.
+    rows = spark.range(18000).select("id", F.when(F.col("id") < 12000, F.concat(F.lit("good "), "id")).otherwise(F.concat(F.lit("bad "), F.greatest("id", F.lit(12200)))).alias("text"), F.when(F.col("id") < 12000, 0.95).otherwise(0.1).alias("score"), (F.col("id") >= 12000).alias("rejected"))
+    got = {r["label"]: (r["n"], r["top"]) for r in plans_runs.auto_labels(rows).groupBy("label").agg(F.count("*").alias("n"), F.max("id").alias("top")).collect()}
+    assert got == {1: (11600, 11599), 0: (5800, 17999)}
+
+
+def test_smallest_keys_of_groups(spark):
+    random.seed(5)
+    for most in (0, 1, 7, 500, 2000):
+        rows = [("a", random.choice([-(2**62), 0, 2**62]) + random.randrange(9000)) for _ in range(1000)] + [("b", 3)] * 900 + [("c", k) for k in range(5)]
+        got = rank.smallest(spark.createDataFrame(rows, "g string, k long"), "g", "k", most, store.Scratch(spark)).collect()
+        assert sorted(map(tuple, got)) == sorted(x for g in "abc" for x in sorted(r for r in rows if r[0] == g)[:most])
