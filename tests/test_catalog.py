@@ -242,3 +242,24 @@ def test_smallest_keys_of_groups(spark):
         rows = [("a", random.choice([-(2**62), 0, 2**62]) + random.randrange(9000)) for _ in range(1000)] + [("b", 3)] * 900 + [("c", k) for k in range(5)]
         got = rank.smallest(spark.createDataFrame(rows, "g string, k long"), "g", "k", most, store.Scratch(spark)).collect()
         assert sorted(map(tuple, got)) == sorted(x for g in "abc" for x in sorted(r for r in rows if r[0] == g)[:most])
+
+
+def test_blended_pairs_equal_a_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(search, "PAIR_BLOCK", 4)
+    monkeypatch.setattr(search, "STRIP", 2)
+    random.seed(3)
+    rows = [(k, random.choice([None, [0.0] * 3, [random.gauss(0, 1) for _ in range(3)]]) if k % 3 == 0 else [random.gauss(0, 1) for _ in range(3)], None if k == 7 else random.sample(range(9), k % 6), None if k % 5 == 0 else k % 4, k * 3_600_000_000 * random.randrange(40)) for k in range(20)]
+    rows += [rows[2], rows[11]]
+    df = spark.createDataFrame(rows, "id long, v array<double>, words array<long>, source long, at long")
+
+    def blend(x, y):
+        n = lambda v: math.sqrt(sum(t * t for t in v or []))
+        semantic = max(0, min(1, sum(s * t for s, t in zip(x[1], y[1])) / n(x[1]) / n(y[1]))) if n(x[1]) and n(y[1]) else 0
+        w, z = set(x[2] or []), set(y[2] or [])
+        h = abs(x[4] - y[4]) / 3.6e9
+        return (0.35 * semantic + 0.05 * (len(w & z) / len(w | z) if w | z else 0) + 0.10 * max(math.exp(-h * h / 128), math.exp(-h * h / 10368)) + 0.15 * (0.3 if x[3] is not None and x[3] == y[3] else 1)) / 0.65
+
+    want = sorted((x[0], y[0], blend(x, y)) for x in rows if x[0] % 2 == 0 for y in rows if x[0] != y[0])
+    got = sorted(map(tuple, search.blended_pairs(df.filter("id % 2 = 0"), df, "id").collect()))
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=1e-12)
