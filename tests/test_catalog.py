@@ -263,3 +263,24 @@ def test_blended_pairs_equal_a_plain_version(spark, monkeypatch):
     got = sorted(map(tuple, search.blended_pairs(df.filter("id % 2 = 0"), df, "id").collect()))
     assert [g[:2] for g in got] == [w[:2] for w in want]
     assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=1e-12)
+
+
+def test_kept_tables_leave_no_shuffle_files(spark):
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = files()
+    kept = store.Scratch(spark).keep(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert kept.count() == 7
+    assert not files() - before
+
+
+def test_few_pairs_that_are_not_similar_are_compared(spark):
+    texts = dict(noisy_texts(8, 240))
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string").groupBy("text").agg(F.min("id").alias("id"))
+    texts = {r["id"]: r["text"] for r in docs.collect()}
+    work = store.Scratch(spark)
+    vecs = dedup.vectors(docs, "id", F.col("text"), work)
+    first = work.keep(dedup.prefixes(vecs, 0.7))
+    more = (dedup.profiles(vecs, 0.7),) if hasattr(dedup, "profiles") else ()
+    met = {(r["a"], r["b"]) for r in dedup.meeting_pairs(first, first, 0.7, *more).collect()}
+    true = {k for k, v in plain_cosines(texts).items() if v >= 0.7}
+    assert true <= met and len(met) < 1.5 * len(true), (len(met), len(true))
