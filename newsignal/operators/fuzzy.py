@@ -30,26 +30,52 @@ def ratio(a: str, b: str) -> float:
     return 200.0 * float(best[-1]) / (len(x) + len(y))
 
 
-def similar_texts(texts: DataFrame, least: float, work: Scratch) -> DataFrame:
-    """(x, y, ratio) of all distinct texts x < y (column s) whose ratio reaches ``least``, exactly.
+def letter_bits(s: str) -> int:
+    """64 bits of a text: whether letters of each of 32 kinds stand in it, once and twice.
+
+    A letter that is left out or put in changes one bit at most.
+    """
+    once = twice = 0
+    for c in s:
+        bit = 1 << (ord(c) & 31)
+        twice |= once & bit
+        once |= bit
+    return once | (twice << 32)
+
+
+def text_pairs(texts: DataFrame, least: float, work: Scratch) -> DataFrame:
+    """(x, y) of distinct texts x < y (column s) that may reach a ratio of ``least``; no pair that does is missing.
 
     With a ratio of r hundredths at most (1 - r) of both lengths are left out or put in, and each
     such letter takes two pairs of neighbouring letters of a text at most.  So two similar texts
     share one of the first pairs of each, the rarest first; their lengths tell how many these are.
+    Of texts that meet so, those count whose ``letter_bits`` differ by no more than that many letters.
     """
     r = least / 100
     edits = F.floor(F.col("n") * (1 - r) * 2 / r + 1e-9)  # the other text has at most (2 / r - 1) times the letters
     padded = F.concat(F.lit("\u0002"), "s", F.lit("\u0003"))
-    grams = texts.filter("s <> ''").select("s", F.length("s").alias("n"), F.posexplode(F.transform(F.sequence(F.lit(1), F.length("s") + 1), lambda i: F.substring(padded, i, F.lit(2)))).alias("at", "g"))
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            yield part.append_column("bits", pa.array(np.array([letter_bits(s) for s in part.column("s").to_pylist()], np.uint64).view(np.int64)))
+
+    marked = texts.select("s").filter("s <> ''").mapInArrow(bits, "s string, bits long")
+    grams = marked.select("s", F.length("s").alias("n"), "bits", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("s") + 1), lambda i: F.substring(padded, i, F.lit(2)))).alias("at", "g"))
     same = Window.partitionBy("s", "g").orderBy("at")  # one text
-    numbered = work.keep(grams.withColumn("k", F.row_number().over(same)).select("s", "n", "g", "k"))
+    numbered = work.keep(grams.withColumn("k", F.row_number().over(same)).select("s", "n", "bits", "g", "k"))
     often = numbered.groupBy("g", "k").agg(F.count("*").alias("df"))
     order = Window.partitionBy("s").orderBy("df", "g", "k")  # one text
     first = numbered.join(often, ["g", "k"]).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= 2 * edits + 1).filter("df > 1")
-    first = work.keep(first.select("s", "n", "g", "k"))
-    a, b = first.select("g", "k", F.col("s").alias("x"), F.col("n").alias("nx")), first.select("g", "k", F.col("s").alias("y"), F.col("n").alias("ny"))
-    near = F.least("nx", "ny") * 2 >= r * (F.col("nx") + F.col("ny")) - 1e-9
-    pairs = a.join(b, ["g", "k"]).filter((F.col("x") < F.col("y")) & near).select("x", "y").distinct()
+    first = work.keep(first.select("s", "n", "bits", "g", "k"))
+    a, b = (first.select("g", "k", F.col("s").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits_{c}")) for c in "xy")
+    both = F.col("nx") + F.col("ny")
+    near = (F.least("nx", "ny") * 2 >= r * both - 1e-9) & (F.bit_count(F.col("bits_x").bitwiseXOR(F.col("bits_y"))) <= (1 - r) * both + 1e-9)
+    return a.join(b, ["g", "k"]).filter(near & (F.col("x") < F.col("y"))).select("x", "y").distinct()
+
+
+def similar_texts(texts: DataFrame, least: float, work: Scratch) -> DataFrame:
+    """(x, y, ratio) of all distinct texts x < y (column s) whose ratio reaches ``least``, exactly."""
+    pairs = text_pairs(texts, least, work)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:

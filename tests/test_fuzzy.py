@@ -69,3 +69,13 @@ def test_name_groups_query(spark, small):
     out = kernels.name_groups(spark, small).collect()
     led = {r["name"]: r["canonical"] for r in out}
     assert len(led) == len(out) and all(led[c] == c for c in led.values())
+
+
+def test_few_texts_that_are_not_similar_are_compared(spark):
+    rng = random.Random(4)
+    parts = ["ing", "tion", "ed", "ver", "or", "at", "en", "osh", "ra", "ga", "ly", "th"]
+    texts = sorted({"".join(rng.choice(parts) for _ in range(rng.randint(2, 5))) for _ in range(500)})
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    met = {(r["x"], r["y"]) for r in fuzzy.text_pairs(df, 85.0, Scratch(spark)).collect()}
+    true = {(a, b) for a in texts for b in texts if a < b and plain_ratio(a, b) >= 85.0}
+    assert true <= met and len(met) < 2 * len(texts), (len(met), len(true))  # all pairs are 250 times as many as texts
