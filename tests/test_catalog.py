@@ -284,3 +284,17 @@ def test_few_pairs_that_are_not_similar_are_compared(spark):
     met = {(r["a"], r["b"]) for r in dedup.meeting_pairs(first, first, 0.7, *more).collect()}
     true = {k for k, v in plain_cosines(texts).items() if v >= 0.7}
     assert true <= met and len(met) < 1.5 * len(true), (len(met), len(true))
+
+
+def test_sharing_pairs_equal_a_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(search, "ASKED_BLOCK", 5)
+    monkeypatch.setattr(search, "HELD_BLOCK", 7)
+    monkeypatch.setattr(search, "PAIRS", 11)
+    random.seed(6)
+    rows = [(k, None if k == 9 else [1] * (k % 3 > 0) + random.sample(range(2, 30), k % 7)) for k in range(40)]
+    rows += [(None, [1, 2, 3]), rows[4], rows[10]]
+    df = spark.createDataFrame(rows, "id long, names array<long>")
+    want = [(x[0], y[0], len({*x[1]} & {*y[1]}), len(x[1]), len(y[1])) for x in rows for y in rows if None not in (*x, *y) and x[0] % 2 == 0 and x[0] != y[0] and {*x[1]} & {*y[1]}]
+    found = search.sharing_pairs(df.filter("id % 2 = 0"), df, "id", "names")
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert search.sharing_pairs(df.limit(0), df, "id", "names").count() == 0
