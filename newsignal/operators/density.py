@@ -7,10 +7,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import BLOCK, nearest_in_blocks
+from .cluster import last_of_nearest
 from .graph import DIGITS, spanning_tree
 from .store import Scratch
 
+#: Rows of a block, of which one task compares two, or one with its group.
+BLOCK = 8_192
 #: Rows of a cluster and neighbours of a core at least, and the soft membership from which on a row outside all clusters joins one.
 LEAST_SIZE, LEAST_CORE, SOFT = 5, 3, 0.10
 _TINY = 1e-12
@@ -118,10 +120,9 @@ def density_clusters(df: DataFrame, group: str, key: str, vector: str, soft: flo
     placed = unit.join(sizes.withColumnRenamed("_name", "_same"), F.col("_name").eqNullSafe(F.col("_same"))).drop("_same", "_norm", "_first")
     # Numbered in the order of keys, so that ties go to the smaller key; written down, so that a number stays what it is.
     placed = work.keep(placed.repartitionByRange("_group", "_key").sortWithinPartitions("_group", "_key").withColumn("_row", F.monotonically_increasing_id()))
-    most = placed.agg(F.max("_near").alias("m")).first()["m"] or 1
-    near = nearest_in_blocks(placed.select("_group", "_row", "_v", "_blocks"), int(most))
-    core = near.join(placed.select(F.col("_row").alias("src"), "_near"), "src").filter("rank <= _near").groupBy("src").agg(F.round(F.greatest(F.lit(0.0), 1 - F.min("sim")), DIGITS).alias("_core"))
-    ready = work.keep(placed.join(core.withColumnRenamed("src", "_row"), "_row", "left").fillna({"_core": 2.0}))
+    near = last_of_nearest(placed.select("_group", "_row", "_v", "_near", "_blocks"))
+    core = near.select(F.col("src").alias("_row"), F.round(F.greatest(F.lit(0.0), 1 - F.col("sim")), DIGITS).alias("_core"))
+    ready = work.keep(placed.join(core, "_row", "left").fillna({"_core": 2.0}))
     tree = spanning_tree(ready.select("_group", "_row", "_v", "_core", "_blocks"), work)
 
     def run(x: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
